@@ -1,5 +1,6 @@
 """SQL counterpart of every query that SQL can express."""
 
 from claimloom.plans.oracle_claims import ORACLE as _CLAIMS
+from claimloom.plans.oracle_documents import ORACLE as _DOCUMENTS
 
-ORACLE_SQL: dict[str, str] = {**_CLAIMS}
+ORACLE_SQL: dict[str, str] = {**_CLAIMS, **_DOCUMENTS}

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.rules import APPEAL_PRIOR, DENIAL_REASONS
+from claimloom.storage import materialize
 
 # Code lists.
 PROCEDURE_CODES = ["99213", "99214", "99215", "93000", "36415", "80053", "71046", "97110", "20610", "45378"]
@@ -149,6 +149,9 @@ def claims_base_sql(add_days: AddDays) -> str:
     return f"SELECT * FROM {source}"
 
 
+_STAGED: dict[tuple[str, str, str], DataFrame] = {}
+
+
 @dataclass(frozen=True)
 class Tables:
     """Mapped tables of one data folder; every property is a lazy DataFrame."""
@@ -159,8 +162,22 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    @cached_property
+    @property
     def base(self) -> DataFrame:
+        """The mapped claim rows, staged once per application and folder.
+
+        Operators get a stored claims table to scan, as they would in production, and
+        every later filter and column choice reaches that scan.
+        """
+        return self._staged("claims", self.mapped)
+
+    def _staged(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STAGED:
+            _STAGED[key] = materialize(build(), name)
+        return _STAGED[key]
+
+    def mapped(self) -> DataFrame:
         orders, customer = self.raw("orders"), self.raw("customer")
         df = orders.join(customer, orders.o_custkey == customer.c_custkey)
         for depth, layer in enumerate(mapping_layers(spark_add_days)):
@@ -191,9 +208,9 @@ class Tables:
 
     @property
     def lines(self) -> DataFrame:
-        return self.raw("lineitem").selectExpr(
-            *[f"{expr} AS {name}" for name, expr in LINE_COLUMNS], f"struct({', '.join(LINE_ORDER)}) AS line_key"
-        )
+        columns = [f"{expr} AS {name}" for name, expr in LINE_COLUMNS]
+        key = f"struct({', '.join(LINE_ORDER)}) AS line_key"
+        return self._staged("lines", lambda: self.raw("lineitem").selectExpr(*columns, key))
 
     @property
     def payers(self) -> DataFrame:
