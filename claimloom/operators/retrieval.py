@@ -70,7 +70,9 @@ def _local_top(vectors: DataFrame, ids: Sequence, matrix: np.ndarray, scopes: li
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query_ids, q, qn, scope = shared.value
-        kept: list[tuple] = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))] * len(query_ids)
+        empty = (np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        kept = [empty] * len(query_ids)
+        bound = np.full(len(query_ids), -np.inf)
         if scope is not None:
             wanted = np.array([np.nan if s is None else float(s) for s in scope])
         for batch in batches:
@@ -83,15 +85,17 @@ def _local_top(vectors: DataFrame, ids: Sequence, matrix: np.ndarray, scopes: li
             cos = (q @ m.T) / product
             if scope is not None:
                 payer = batch["payer_id"].to_numpy(dtype="float64", na_value=np.nan)
-                open_doc = np.isnan(payer)
-                allowed = open_doc[None, :] | np.isnan(wanted)[:, None] | (payer[None, :] == wanted[:, None])
+                hidden = ~np.isnan(payer)[None, :] & ~np.isnan(wanted)[:, None] & (payer[None, :] != wanted[:, None])
+                cos[hidden] = -np.inf
             a, b = batch["document_id"].to_numpy("int64"), batch["chunk_index"].to_numpy("int64")
-            for i in range(len(query_ids)):
-                pick = np.flatnonzero(allowed[i]) if scope is not None else np.arange(len(a))
-                s, da, db = kept[i]
-                s, da, db = np.concatenate([s, cos[i][pick]]), np.concatenate([da, a[pick]]), np.concatenate([db, b[pick]])
+            # Only queries that this batch can improve (or tie) are looked at.
+            for i in np.flatnonzero(cos.max(axis=1) >= bound):
+                pick = np.flatnonzero((cos[i] >= bound[i]) & (cos[i] > -np.inf))
+                s, da, db = (np.concatenate(x) for x in zip(kept[i], (cos[i][pick], a[pick], b[pick])))
                 best = _best(s, da, db, k)
                 kept[i] = (s[best], da[best], db[best])
+                if len(best) == k:
+                    bound[i] = kept[i][0][-1]
         for query_id, (s, da, db) in zip(query_ids, kept):
             if len(s):
                 yield pd.DataFrame({"query_id": query_id, "document_id": da, "chunk_index": db, "score": s})
@@ -162,15 +166,24 @@ def group_centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return means.groupBy("query_id").agg(F.transform(ordered, lambda s: s["m"]).alias("vector"))
 
 
-def first_document_with(documents: DataFrame, keywords: dict[str, str], text: str) -> DataFrame:
-    """Per keyword name: smallest document id whose `text` contains the keyword, ignoring case.
+def first_document_with(documents: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
+    """Per keyword: smallest document id whose `text` contains it, ignoring case.
 
-    The keywords are matched in one pass with an Aho-Corasick automaton; the aggregate
-    then has one row per keyword.
+    `keywords` has query_id and text and is handled in blocks. One pass over the documents
+    matches a whole block with an Aho-Corasick automaton; the aggregate then has one row
+    per keyword.
     """
-    names = sorted(keywords)
-    lowered = [keywords[n].lower() for n in names]
+    found = None
+    for block in _query_blocks(keywords.select("query_id", "text")):
+        part = _first_with(documents, [r["query_id"] for r in block], [r["text"].lower() for r in block], text)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        kind = dict(keywords.dtypes)["query_id"]
+        return documents.sparkSession.createDataFrame([], f"query_id {kind}, expected_document_id bigint")
+    return found
 
+
+def _first_with(documents: DataFrame, ids: list, lowered: list[str], text: str) -> DataFrame:
     @F.pandas_udf("array<int>")
     def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         try:
@@ -193,8 +206,20 @@ def first_document_with(documents: DataFrame, keywords: dict[str, str], text: st
 
     hits = documents.select("document_id", F.explode(matches(F.col(text))).alias("_i"))
     first = hits.groupBy("_i").agg(F.min("document_id").alias("expected_document_id"))
-    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_i") + 1)
-    return first.select(name.alias("name"), "expected_document_id")
+    name = F.element_at(F.array(*[F.lit(n) for n in ids]), F.col("_i") + 1)
+    return first.select(name.alias("query_id"), "expected_document_id")
+
+
+def reason_documents(documents: DataFrame) -> DataFrame:
+    """Expected policy document per denial reason (query_id is the reason), by title keyword."""
+    rows = list(REASON_DOCUMENT_KEYWORDS.items())
+    keywords = documents.sparkSession.createDataFrame(rows, "query_id string, text string")
+    return first_document_with(documents, keywords, "title")
+
+
+def reason_queries(reasons: DataFrame) -> DataFrame:
+    """The retrieval query of each reason in `reasons` (query_id)."""
+    return reasons.select("query_id", F.concat(F.col("query_id"), F.lit(" appeal policy")).alias("text"))
 
 
 def hit_ranks(results: DataFrame, expected: DataFrame, k_values: Sequence[int] = (1, 3, 5)) -> DataFrame:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from claimloom.plans import claims, documents  # noqa: F401
+from claimloom.plans import claims, documents, learned  # noqa: F401
 from claimloom.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]

@@ -83,10 +83,7 @@ def vector_topk(t: Tables) -> DataFrame:
 
 
 def _recall_ranks(t: Tables) -> DataFrame:
-    passages = {str(r["item_id"]): r["text"] for r in t.raw("benchmark").limit(retrieval.QUERY_BLOCK).collect()}
-    expected = retrieval.first_document_with(t.documents, passages, "text").select(
-        F.col("name").cast("bigint").alias("query_id"), "expected_document_id"
-    )
+    expected = retrieval.first_document_with(t.documents, benchmark_queries(t), "text")
     found = retrieval.retrieve(stored_chunks(t), benchmark_queries(t).select("query_id", "text"), k=5, scoped=False)
     return retrieval.hit_ranks(found, expected)
 
