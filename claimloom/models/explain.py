@@ -34,7 +34,7 @@ def tree_nodes(model: Model, spark) -> list[list[dict]]:
     path = new_path(spark, "trees")
     model.write().save(path)
     rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").orderBy("treeID", "id").collect()
-    weights = {r["treeID"]: r["weights"] for r in spark.read.parquet(f"{path}/treesMetadata").collect()}
+    weights = {r[0]: r[2] for r in spark.read.parquet(f"{path}/treesMetadata").collect()}
     boosted = isinstance(model, GBTClassificationModel)
     trees: dict[int, list[dict]] = {}
     for r in rows:
