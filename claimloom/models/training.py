@@ -295,7 +295,7 @@ def train_candidates(
         ).fit(stored)
         labels = tuple(indexer.labels)
         labelled = indexer.transform(stored)
-    train, test = chrono_split(labelled, spec.ts, spec.key, rows=rows)
+    train, test = chrono_split(labelled, spec.ts, spec.key)
     prep = preprocessor(spec).fit(train)
     train_rows = int(rows * 0.8)
     ready = balanced_weights(prep.transform(train)).select(spec.key, "label", "weight", "features").persist()

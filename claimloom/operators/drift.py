@@ -8,9 +8,11 @@ decile histogram are read from the same running counts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimloom.functions.numbers import half_up
 from claimloom.functions.rules import drift_status
@@ -54,38 +56,58 @@ def numeric_prefix(both: DataFrame, features: Sequence[str]) -> DataFrame:
     return ordered_prefix(_numeric_counts(both, features), ["value"], ["n_ref", "n_cur"], ["feature_name"])
 
 
-def _feature_totals(prefix: DataFrame) -> DataFrame:
-    return prefix.groupBy("feature_name").agg(
-        F.sum("n_ref").alias("ref_total"), F.sum("n_cur").alias("cur_total")
-    )
+@dataclass(frozen=True)
+class Profile:
+    """Row counts of both slices and the distinct reference quantiles of one feature."""
+
+    ref_total: int
+    cur_total: int
+    edges: tuple[float, ...]
 
 
-def quantile_edges(prefix: DataFrame, bins: int = 10) -> DataFrame:
-    """Distinct reference quantiles per feature (`edges`), interpolated linearly."""
-    totals = _feature_totals(prefix).select("feature_name", F.col("ref_total").alias("n_total"))
+def feature_profiles(prefix: DataFrame, bins: int = 10) -> dict[str, Profile]:
+    """Profiles by feature, at most bins + 1 numbers each, so they travel as literals."""
+    totals = prefix.groupBy("feature_name").agg(F.sum("n_ref").alias("n_total"), F.sum("n_cur").alias("cur_total"))
     probs = [i / bins for i in range(bins + 1)]
     quantiles = exact_quantiles(
-        prefix.filter(F.col("n_ref") > 0), "value", "n_ref", totals, probs, ["feature_name"]
+        prefix.filter(F.col("n_ref") > 0), "value", "n_ref", totals.drop("cur_total"), probs, ["feature_name"]
     )
-    return quantiles.select("feature_name", F.array_distinct("quantiles").alias("edges"))
+    rows = totals.join(quantiles, "feature_name", "left").select("*", F.array_distinct("quantiles").alias("edges"))
+    return {
+        r["feature_name"]: Profile(r["n_total"], r["cur_total"], tuple(r["edges"] or ())) for r in rows.collect()
+    }
+
+
+def _by_feature(values: dict[str, Column]) -> Column:
+    """Look up a literal by the row's feature_name."""
+    chain = F.lit(None)
+    for name, value in values.items():
+        chain = F.when(F.col("feature_name") == name, value).otherwise(chain)
+    return chain
+
 
+def _counts_of(profiles: dict[str, Profile], field: str) -> Column:
+    return _by_feature({name: F.lit(getattr(p, field)) for name, p in profiles.items()})
 
-def histogram(prefix: DataFrame, edges: DataFrame) -> DataFrame:
+
+def histogram(prefix: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
     """Counts of both slices per (feature_name, bin); the last bin is closed, outside values drop out.
 
-    `edges` has one row per feature and at most bins + 1 numbers in it.
+    Bins without any row are not listed.
     """
-    joined = prefix.join(edges, "feature_name").filter(
+    binnable = {n: p.edges for n, p in profiles.items() if len(p.edges) >= 2}
+    if not binnable:
+        return prefix.limit(0).select(
+            "feature_name", F.lit(1).alias("bin"), F.col("n_ref").alias("ref_count"), F.col("n_cur").alias("cur_count")
+        )
+    arrays = _by_feature({n: F.array(*[F.lit(e) for e in edges]) for n, edges in binnable.items()})
+    placed = prefix.select("feature_name", "value", "n_ref", "n_cur", arrays.alias("edges")).filter(
         F.col("value").between(F.element_at("edges", 1), F.element_at("edges", -1))
     )
     index = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
-    counts = joined.groupBy("feature_name", index.alias("bin")).agg(
+    return placed.groupBy("feature_name", index.alias("bin")).agg(
         F.sum("n_ref").alias("ref_count"), F.sum("n_cur").alias("cur_count")
     )
-    bins = edges.filter(F.size("edges") >= 2).select(
-        "feature_name", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin")
-    )
-    return bins.join(counts, ["feature_name", "bin"], "left").na.fill(0, ["ref_count", "cur_count"])
 
 
 def _psi_term(ref_share: Column, cur_share: Column) -> Column:
@@ -93,50 +115,51 @@ def _psi_term(ref_share: Column, cur_share: Column) -> Column:
     return (c - r) * F.ln(c / r)
 
 
-def psi_numeric(prefix: DataFrame, bins: int = 10) -> DataFrame:
+def _one_row_each(spark: SparkSession, profiles: dict[str, Profile]) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in profiles], "feature_name string")
+
+
+def psi_numeric(prefix: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
     """PSI per numeric feature over reference deciles.
 
-    0 when a slice has fewer than 10 values or the reference has fewer than 3 edges.
+    0 when a slice has fewer than 10 values or the reference has fewer than 3 edges. A bin
+    that is empty on both sides adds nothing, so it need not be listed.
     """
-    edges = quantile_edges(prefix, bins)
-    counts = histogram(prefix, edges)
-    sums = counts.groupBy("feature_name").agg(F.sum("ref_count").alias("rs"), F.sum("cur_count").alias("cs"))
-    term = _psi_term(
-        F.col("ref_count") / F.greatest("rs", F.lit(1)), F.col("cur_count") / F.greatest("cs", F.lit(1))
-    )
-    psi = counts.join(sums, "feature_name").groupBy("feature_name").agg(F.sum(term).alias("psi"))
-    usable = (
-        (F.col("ref_total") >= MIN_PER_SIDE) & (F.col("cur_total") >= MIN_PER_SIDE) & (F.size("edges") >= 3)
-    )
-    return (
-        _feature_totals(prefix)
-        .join(edges, "feature_name", "left")
-        .join(psi, "feature_name", "left")
-        .select("feature_name", F.when(usable, half_up(F.col("psi"), 6)).otherwise(0.0).alias("psi"))
+    usable = {
+        n: p
+        for n, p in profiles.items()
+        if p.ref_total >= MIN_PER_SIDE and p.cur_total >= MIN_PER_SIDE and len(p.edges) >= 3
+    }
+    counts = histogram(prefix, usable)
+    # At most `bins` rows per feature.
+    per_feature = Window.partitionBy("feature_name")
+    shares = counts.select(
+        "feature_name",
+        (F.col("ref_count") / F.greatest(F.sum("ref_count").over(per_feature), F.lit(1))).alias("r"),
+        (F.col("cur_count") / F.greatest(F.sum("cur_count").over(per_feature), F.lit(1))).alias("c"),
     )
+    psi = shares.groupBy("feature_name").agg(half_up(F.sum(_psi_term(F.col("r"), F.col("c"))), 6).alias("psi"))
+    everywhere = _one_row_each(prefix.sparkSession, profiles)
+    return everywhere.join(psi, "feature_name", "left").select("feature_name", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
-def ks_two_sample(prefix: DataFrame) -> DataFrame:
+def ks_two_sample(prefix: DataFrame, profiles: dict[str, Profile]) -> DataFrame:
     """Two-sample KS statistic per feature with the asymptotic p-value."""
-    totals = _feature_totals(prefix)
-    gap = F.abs(F.col("cum_n_ref") / F.col("ref_total") - F.col("cum_n_cur") / F.col("cur_total"))
-    stats = (
-        prefix.join(totals, "feature_name")
-        .groupBy("feature_name")
-        .agg(F.max(gap).alias("d"), F.first("ref_total").alias("nr"), F.first("cur_total").alias("nc"))
-    )
-    z = F.col("d") * F.sqrt(F.col("nr") * F.col("nc") / (F.col("nr") + F.col("nc")))
+    usable = {n: p for n, p in profiles.items() if p.ref_total > 0 and p.cur_total >= 2}
+    nr, nc = _counts_of(usable, "ref_total"), _counts_of(usable, "cur_total")
+    gap = F.abs(F.col("cum_n_ref") / nr - F.col("cum_n_cur") / nc)
+    stats = prefix.groupBy("feature_name").agg(F.max(gap).alias("d"))
+    z = F.col("d") * F.sqrt(nr * nc / (nr + nc))
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)),
         F.lit(0.0),
         lambda acc, k: acc + F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * z * z),
     )
     p = F.when(z < 0.2, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * series)))
-    usable = (F.col("nr") > 0) & (F.col("nc") >= 2)
     return stats.select(
         "feature_name",
-        F.when(usable, half_up(F.col("d"), 6)).otherwise(0.0).alias("ks_statistic"),
-        F.when(usable, half_up(p, 6)).otherwise(1.0).alias("ks_pvalue"),
+        F.coalesce(half_up(F.col("d"), 6), F.lit(0.0)).alias("ks_statistic"),
+        F.when(F.col("d").isNotNull(), half_up(p, 6)).otherwise(1.0).alias("ks_pvalue"),
     )
 
 
@@ -225,11 +248,12 @@ def drift_report(
     """
     both = materialize(both.select(*numeric, *categorical, "is_ref"), "drift")
     prefix = numeric_prefix(both, numeric)
+    profiles = feature_profiles(prefix)
     stats = slice_stats(both, numeric)
     status = drift_status(F.col("psi"), warning, critical)
     numeric_rows = (
-        psi_numeric(prefix)
-        .join(ks_two_sample(prefix), "feature_name", "left")
+        psi_numeric(prefix, profiles)
+        .join(ks_two_sample(prefix, profiles), "feature_name", "left")
         .join(stats, "feature_name", "right")
         .select(
             F.lit("data_drift").alias("metric_type"),
@@ -282,7 +306,8 @@ def drift_report(
 def prediction_drift(reference: DataFrame, current: DataFrame, score: str, warning: float = 0.10, critical: float = 0.25):
     """PSI, means and share at or above 0.5 of a score column; one row."""
     both = tagged(reference, current, [score])
-    psi = psi_numeric(numeric_prefix(both, [score]))
+    prefix = numeric_prefix(both, [score])
+    psi = psi_numeric(prefix, feature_profiles(prefix))
     value = F.col(score)
 
     def mean(inside: Column, of: Column) -> Column:
@@ -327,30 +352,30 @@ def segment_drift(df: DataFrame, segment: str, score: str, bins: int = 10) -> Da
     counts = df.filter(F.col(score).isNotNull()).groupBy(segment, F.col(score).alias("value")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    overall = counts.groupBy("value").agg(F.sum("n").alias("n")).withColumn("_all", F.lit(0))
-    probs = [i / bins for i in range(bins + 1)]
-    whole = ordered_prefix(overall, ["value"], ["n"], ["_all"])
-    total = whole.groupBy("_all").agg(F.sum("n").alias("n_total"))
-    edges = exact_quantiles(whole, "value", "n", total, probs, ["_all"]).select(
-        "_all", F.array_distinct("quantiles").alias("edges")
+    overall = counts.groupBy("value").agg(F.sum("n").alias("n_ref")).select(
+        F.lit(score).alias("feature_name"), "value", "n_ref", F.lit(0).cast("bigint").alias("n_cur")
     )
-    # One row: the edges of all segments.
-    binned = counts.withColumn("_all", F.lit(0)).join(F.broadcast(edges), "_all")
-    index = F.least(F.size(F.filter("edges", lambda e: e <= F.col("value"))), F.size("edges") - 1)
-    per_bin = binned.groupBy(segment, index.alias("bin"), F.size("edges").alias("m")).agg(F.sum("n").alias("n"))
-    everywhere = per_bin.groupBy("bin").agg(F.sum("n").alias("all_n"))
+    whole = ordered_prefix(overall, ["value"], ["n_ref"], ["feature_name"])
+    profile = feature_profiles(whole, bins)
+    if not profile:
+        return counts.limit(0).select(
+            segment, "n", *[F.lit(0.0).alias(c) for c in ("mean_score", "median_score", "psi")]
+        ).withColumnRenamed("n", "rows")
+    edges = profile[score].edges
+    everywhere = {r["bin"]: r["ref_count"] for r in histogram(whole, profile).collect()}
+    total = max(sum(everywhere.values()), 1)
+    bounds = F.array(*[F.lit(e) for e in edges])
+    index = F.least(F.size(F.filter(bounds, lambda e: e <= F.col("value"))), F.lit(max(len(edges) - 1, 1)))
+    per_bin = counts.groupBy(segment, index.alias("bin")).agg(F.sum("n").alias("n"))
     segments = counts.groupBy(segment).agg(
         F.sum("n").alias("rows"),
         (F.sum(F.col("value").cast("decimal(20,8)") * F.col("n")).cast("double") / F.sum("n")).alias("mean_score"),
     )
-    grid = segments.select(segment, "rows").withColumn("_all", F.lit(0)).join(
-        F.broadcast(everywhere.withColumn("_all", F.lit(0))), "_all"
-    )
-    full = grid.join(per_bin.select(segment, "bin", "n"), [segment, "bin"], "left")
-    all_rows = F.sum("all_n")
-    term = _psi_term(F.col("all_n") / F.col("_total"), F.coalesce("n", F.lit(0)) / F.col("rows"))
-    totals = everywhere.agg(all_rows.alias("_total")).withColumn("_all", F.lit(0))
-    psi = full.join(F.broadcast(totals), "_all").groupBy(segment).agg(half_up(F.sum(term), 6).alias("psi"))
+    bin_shares = F.array(*[F.struct(F.lit(b).alias("bin"), F.lit(n / total).alias("share")) for b, n in everywhere.items()])
+    grid = segments.select(segment, "rows", F.explode(bin_shares).alias("b")).select(segment, "rows", "b.*")
+    full = grid.join(per_bin, [segment, "bin"], "left")
+    term = _psi_term(F.col("share"), F.coalesce("n", F.lit(0)) / F.col("rows"))
+    psi = full.groupBy(segment).agg(half_up(F.sum(term), 6).alias("psi"))
     ranked = ordered_prefix(counts, ["value"], ["n"], [segment])
     medians = exact_quantiles(
         ranked, "value", "n", segments.select(segment, F.col("rows").alias("n_total")), [0.5], [segment]

@@ -8,7 +8,7 @@ the totals of the slices before it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -75,22 +75,29 @@ def ordered_prefix(
     )
 
 
-def row_at(df: DataFrame, order: Sequence[str], position: int) -> Row | None:
-    """Order-column values of the row at a 1-based global position.
+def rows_at(df: DataFrame, order: Sequence[str], positions: Callable[[int], Sequence[int]]) -> list[Row | None]:
+    """Order-column values of the rows at the 1-based positions that `positions(row count)` asks for.
 
-    Only the counts per slice reach the driver; the row itself is found inside its
-    slice.
+    Only the counts per slice reach the driver; each row is then found inside its slice.
     """
     names = [c.lstrip("-") for c in order]
     table = sliced(df.select(*names), order)
-    seen = 0
-    for entry in table.groupBy(SLICE).count().orderBy(SLICE).collect():
-        if seen + entry["count"] >= position > seen:
-            part = table.filter(F.col(SLICE) == entry[SLICE]).select(*names)
-            found = part.orderBy(*[_sort_key(c) for c in order]).offset(position - seen - 1).limit(1).collect()
-            return found[0] if found else None
-        seen += entry["count"]
-    return None
+    counts = [(r[SLICE], r["count"]) for r in table.groupBy(SLICE).count().orderBy(SLICE).collect()]
+    found: dict[int, Row | None] = {}
+    wanted = positions(sum(n for _, n in counts))
+    for position in set(wanted):
+        found[position], seen = None, 0
+        for number, n in counts:
+            if seen < position <= seen + n:
+                part = table.filter(F.col(SLICE) == number).select(*names).orderBy(*[_sort_key(c) for c in order])
+                found[position] = part.offset(position - seen - 1).limit(1).collect()[0]
+                break
+            seen += n
+    return [found[p] for p in wanted]
+
+
+def row_at(df: DataFrame, order: Sequence[str], position: int) -> Row | None:
+    return rows_at(df, order, lambda _: [position])[0]
 
 
 def at_or_before(order: Sequence[str], bound: Row | None) -> Column:
@@ -103,12 +110,9 @@ def at_or_before(order: Sequence[str], bound: Row | None) -> Column:
     return condition
 
 
-def chrono_split(
-    df: DataFrame, ts: str, key: str, frac: float = 0.8, rows: int | None = None
-) -> tuple[DataFrame, DataFrame]:
+def chrono_split(df: DataFrame, ts: str, key: str, frac: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """First `frac` of rows by (ts, key) and the rest, as two filters over `df`."""
-    rows = df.count() if rows is None else rows
-    cut = row_at(df, [ts, key], int(rows * frac))
+    cut = rows_at(df, [ts, key], lambda n: [int(n * frac)])[0]
     inside = at_or_before([ts, key], cut)
     return df.filter(inside), df.filter(~inside)
 
@@ -122,14 +126,15 @@ def reference_current_conditions(
     window the whole rest is current. If there is no rest, the last min(window, n) rows
     of all are current.
     """
-    rows = keys.count()
-    split = int(rows * frac)
+
+    def cuts(n: int) -> list[int]:
+        split = int(n * frac)
+        if not window:
+            return [split, split]
+        return [split, max(split, n - window) if split < n else max(n - window, 0)]
+
     order = [ts, key]
-    split_row = row_at(keys, order, split)
-    start = split
-    if window:
-        start = max(split, rows - window) if split < rows else max(rows - window, 0)
-    start_row = split_row if start == split else row_at(keys, order, start)
+    split_row, start_row = rows_at(keys, order, cuts)
     return at_or_before(order, split_row), ~at_or_before(order, start_row)
 
 

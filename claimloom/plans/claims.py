@@ -13,7 +13,8 @@ from claimloom.operators.ordered import average_pct_rank, chrono_split, referenc
 from claimloom.plans.registry import query
 from claimloom.sources.fixtures import AS_OF, Tables
 
-AS_OF_COLUMN = F.lit(AS_OF).cast("timestamp")
+def as_of():
+    return F.lit(AS_OF).cast("timestamp")
 
 
 def joined_list(column, sep: str = "|"):
@@ -34,18 +35,18 @@ def appeal_matrix(t: Tables) -> DataFrame:
 
 @query
 def recovery_queue_topk(t: Tables) -> DataFrame:
-    queue = recovery.recovery_queue(t.claims, t.denials, AS_OF_COLUMN)
+    queue = recovery.recovery_queue(t.claims, t.denials, as_of())
     return recovery.queue_page(queue, "priority_score", limit=50)
 
 
 @query
 def recovery_queue_all(t: Tables) -> DataFrame:
-    return recovery.recovery_queue(t.claims, t.denials, AS_OF_COLUMN)
+    return recovery.recovery_queue(t.claims, t.denials, as_of())
 
 
 @query
 def recovery_queue_payer_tier(t: Tables) -> DataFrame:
-    queue = recovery.recovery_queue(t.claims, t.denials, AS_OF_COLUMN, tier="HIGH", payer_id=7)
+    queue = recovery.recovery_queue(t.claims, t.denials, as_of(), tier="HIGH", payer_id=7)
     return recovery.queue_page(queue, "expected_recovery", limit=20, offset=2)
 
 
@@ -292,7 +293,8 @@ def drift_frame(t: Tables, columns: list[str], window: int | None = 500) -> Data
 @query
 def psi_numeric(t: Tables) -> DataFrame:
     both = drift_frame(t, features.DENIAL_NUMERIC)
-    return drift.psi_numeric(drift.numeric_prefix(both, features.DENIAL_NUMERIC))
+    prefix = drift.numeric_prefix(both, features.DENIAL_NUMERIC)
+    return drift.psi_numeric(prefix, drift.feature_profiles(prefix))
 
 
 @query
@@ -310,7 +312,8 @@ def category_frequencies(t: Tables) -> DataFrame:
 @query
 def ks_statistic(t: Tables) -> DataFrame:
     both = drift_frame(t, features.DENIAL_NUMERIC)
-    return drift.ks_two_sample(drift.numeric_prefix(both, features.DENIAL_NUMERIC)).drop("ks_pvalue")
+    prefix = drift.numeric_prefix(both, features.DENIAL_NUMERIC)
+    return drift.ks_two_sample(prefix, drift.feature_profiles(prefix)).drop("ks_pvalue")
 
 
 @query

@@ -19,8 +19,8 @@ from claimloom.models import training
 from claimloom.models.forest import IsolationForest, ForestModel, anomaly_report, anomaly_scores, column_moments
 from claimloom.operators import analytics, drift, features, metrics, recovery, retrieval
 from claimloom.operators.ordered import chrono_split, reference_current_conditions
-from claimloom.plans.claims import WHAT_IF, appeal_matrix, denial_matrix
-from claimloom.plans.documents import stored_chunks
+from claimloom.plans.claims import WHAT_IF, appeal_matrix, as_of, denial_matrix
+from claimloom.plans.documents import _open, _policy_results, stored_chunks
 from claimloom.plans.registry import query
 from claimloom.sources.fixtures import Tables
 
@@ -204,9 +204,7 @@ def full_drift_check(t: Tables) -> DataFrame:
 @query
 def recovery_queue_model(t: Tables) -> DataFrame:
     """Queue with model probabilities where the model has one."""
-    from claimloom.plans.claims import AS_OF_COLUMN
-
-    queue = recovery.recovery_queue(t.claims, t.denials, AS_OF_COLUMN, appeal_scores=appeal_probabilities(t))
+    queue = recovery.recovery_queue(t.claims, t.denials, as_of(), appeal_scores=appeal_probabilities(t))
     return recovery.queue_page(queue, "priority_score", limit=50)
 
 
@@ -229,8 +227,6 @@ def what_if_denial_risk(t: Tables) -> DataFrame:
 @query
 def investigation_bundle(t: Tables) -> DataFrame:
     """Everything known about each open denial in one row of structs."""
-    from claimloom.plans.documents import _open, _policy_results
-
     results = _policy_results(t)
     bundles = retrieval.policy_bundles(results, stored_chunks(t))
     packets = retrieval.appeal_packets(_open(t), t.lines, bundles).select("claim_id", "evidence", "citations")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.operators.drift import histogram, numeric_prefix, quantile_edges
+from claimloom.operators.drift import feature_profiles, histogram, numeric_prefix
 from claimloom.operators.features import claim_line_features
 from claimloom.plans.registry import query
 from claimloom.sources.fixtures import CLAIM_COLUMNS, Tables
@@ -81,9 +81,9 @@ def stream_daily_drift(t: Tables) -> DataFrame:
     """Daily PSI of event values against the distribution of all events."""
     reference = t.raw("events").select("value", F.lit(True).alias("is_ref"))
     prefix = numeric_prefix(reference, ["value"])
-    edges = quantile_edges(prefix)
-    bins = histogram(prefix, edges).orderBy("bin").collect()
-    bounds = edges.first()["edges"]
-    counts = drained(t, jobs.stream_daily_counts(event_stream(t), "created_at", "value", bounds), "daily")
-    daily = jobs.daily_psi(counts, [r["ref_count"] for r in bins])
+    profiles = feature_profiles(prefix)
+    bounds = profiles["value"].edges
+    found = {r["bin"]: r["ref_count"] for r in histogram(prefix, profiles).collect()}
+    counts = drained(t, jobs.stream_daily_counts(event_stream(t), "created_at", "value", list(bounds)), "daily")
+    daily = jobs.daily_psi(counts, [found.get(i, 0) for i in range(1, len(bounds))])
     return daily.withColumn("day", F.date_format("day", "yyyy-MM-dd"))

@@ -13,7 +13,8 @@ from claimloom.operators.recovery import capacity_plan, worked_claims
 def psi_of(spark, reference, current):
     r = spark.createDataFrame([(float(v),) for v in reference], "v double")
     c = spark.createDataFrame([(float(v),) for v in current], "v double")
-    return drift.psi_numeric(drift.numeric_prefix(drift.tagged(r, c, ["v"]), ["v"])).first()["psi"]
+    prefix = drift.numeric_prefix(drift.tagged(r, c, ["v"]), ["v"])
+    return drift.psi_numeric(prefix, drift.feature_profiles(prefix)).first()["psi"]
 
 
 def plain_psi(reference, current):
@@ -52,7 +53,8 @@ def test_ks_statistic(spark, small_slices):
     a, b = np.round(rng.normal(size=300), 2), np.round(rng.normal(0.3, 1, 200), 2)
     r = spark.createDataFrame([(float(v),) for v in a], "v double")
     c = spark.createDataFrame([(float(v),) for v in b], "v double")
-    row = drift.ks_two_sample(drift.numeric_prefix(drift.tagged(r, c, ["v"]), ["v"])).first()
+    prefix = drift.numeric_prefix(drift.tagged(r, c, ["v"]), ["v"])
+    row = drift.ks_two_sample(prefix, drift.feature_profiles(prefix)).first()
     points = np.unique(np.concatenate([a, b]))
     gap = max(abs((a <= p).mean() - (b <= p).mean()) for p in points)
     assert row["ks_statistic"] == pytest.approx(gap, abs=1e-6)
