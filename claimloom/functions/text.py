@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 CHUNK_SIZE = 700
 CHUNK_OVERLAP = 100
 VECTOR_DIM = 384
+# Words whose slot a task remembers.
+KNOWN_TOKENS = 500_000
 _WHITESPACE = re.compile(r"\s+")
+_TOKEN = re.compile("[a-z0-9]+")
 
 
 def split_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
@@ -85,8 +89,29 @@ def slot_sign(slot: Column) -> Column:
 
 
 def token_slots(text: Column) -> Column:
-    """array<int> with one slot per token: the input of the dense scorer, made without a shuffle."""
-    return F.transform(tokens(text), token_slot)
+    """array<int> with one slot per token: the input of the dense scorer, made without a shuffle.
+
+    An Arrow batch function, because it can remember the slot of a word it has seen: most
+    tokens cost one dictionary look-up, where `token_slot` would hash each of them.
+    """
+
+    @F.pandas_udf("array<int>")
+    def slots(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+
+        def slot(token: str) -> int:
+            value = int.from_bytes(hashlib.md5(token.encode()).digest(), "big") % (2 * VECTOR_DIM)
+            if len(known) < KNOWN_TOKENS:
+                known[token] = value
+            return value
+
+        def of(t: str) -> list[int]:
+            return [known[w] if w in known else slot(w) for w in _TOKEN.findall(t.lower())]
+
+        for batch in batches:
+            yield batch.map(lambda t: None if t is None else of(t))
+
+    return slots(text)
 
 
 def sparse_weights(df: DataFrame, keys: list[str], text: str) -> DataFrame:

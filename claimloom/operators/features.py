@@ -9,6 +9,7 @@ from claimloom.functions.numbers import flag, money, whole_days
 from claimloom.functions.rules import filing_breach
 from claimloom.operators.history import with_asof_rates
 from claimloom.operators.ordered import average_pct_rank, ordered_prefix
+from claimloom.storage import materialize
 
 # Feature lists in model order.
 DENIAL_CATEGORICAL = ["claim_type", "place_of_service", "payer_type", "provider_specialty", "procedure_code"]
@@ -69,7 +70,15 @@ def assert_no_leakage(features: list[str]) -> None:
 
 
 def claim_line_features(lines: DataFrame) -> DataFrame:
-    """Per-claim line aggregates; `line_key` orders the lines of a claim."""
+    """Per-claim line aggregates; `line_key` orders the lines of a claim.
+
+    Distinct codes are counted as sets: a set is at most the code list, and two exact
+    distinct counts would triple the rows instead.
+    """
+
+    def distinct(column: str) -> Column:
+        return F.size(F.collect_set(column)).cast("bigint")
+
     amount = money(F.col("line_amount"))
     n = F.col("line_count").cast("double")
     s1, s2 = F.col("_s1").cast("double"), F.col("_s2").cast("double")
@@ -78,8 +87,8 @@ def claim_line_features(lines: DataFrame) -> DataFrame:
     )
     grouped = lines.groupBy("claim_id").agg(
         F.count(F.lit(1)).alias("line_count"),
-        F.count_distinct("procedure_code").alias("procedure_count"),
-        F.count_distinct("diagnosis_code").alias("diagnosis_count"),
+        distinct("procedure_code").alias("procedure_count"),
+        distinct("diagnosis_code").alias("diagnosis_count"),
         F.count_if(F.coalesce(F.col("modifiers"), F.lit("")) != "").alias("modifier_count"),
         F.min_by("procedure_code", "line_key").alias("first_procedure"),
         F.bool_and(coded).alias("lines_coded"),
@@ -133,9 +142,9 @@ def denial_features(
     only from the day it was known.
     """
     labels = latest_denials(denials).select("claim_id", "denial_reason_code", "denial_date")
+    # Rates come first, on claims and labels alone, so the line aggregate runs once.
     base = (
-        with_lines(with_dimensions(claims, payers, providers), lines)
-        .join(labels, "claim_id", "left")
+        claims.join(labels, "claim_id", "left")
         .withColumn("is_denied", F.col("denial_reason_code").isNotNull().cast("int"))
         .withColumn("auth_missing", flag(F.col("authorization_status") == "MISSING"))
         .withColumn("eligibility_fail", flag(F.col("eligibility_status") == "FAIL"))
@@ -162,8 +171,9 @@ def denial_features(
         )
     else:
         raise ValueError(f"unknown mode: {mode}")
+    full = with_lines(with_dimensions(rated, payers, providers), lines)
     keep = ["claim_id", "payer_id", "provider_id", "submission_date", "service_date"]
-    return rated.select(*keep, *DENIAL_CATEGORICAL, *DENIAL_NUMERIC, "is_denied", "denial_reason_code")
+    return full.select(*keep, *DENIAL_CATEGORICAL, *DENIAL_NUMERIC, "is_denied", "denial_reason_code")
 
 
 def resolved_appeals(appeals: DataFrame, denials: DataFrame, claims: DataFrame) -> DataFrame:
@@ -185,7 +195,7 @@ def appeal_features(
     label_time: str | None = None,
 ) -> DataFrame:
     """Appeal-success matrix with rates as of the appeal date."""
-    rows = with_lines(with_dimensions(resolved_appeals(appeals, denials, claims), payers, providers), lines)
+    rows = resolved_appeals(appeals, denials, claims)
     timing = F.greatest(whole_days(F.col("appeal_date"), F.col("denial_date")), F.lit(0).cast("bigint"))
     rows = (
         rows.withColumn("authorization_missing", flag(F.col("authorization_status") == "MISSING"))
@@ -198,8 +208,9 @@ def appeal_features(
         rows, APPEAL_RATE_KEYS, "appeal_date", "appeal_success", MIN_OBSERVATIONS, APPEAL_RATE_PRIOR,
         label_time=label_time,
     )
+    full = with_lines(with_dimensions(rated, payers, providers), lines)
     keep = ["appeal_id", "claim_id", "payer_id", "appeal_date"]
-    return rated.select(*keep, *APPEAL_CATEGORICAL, *APPEAL_NUMERIC, "appeal_success")
+    return full.select(*keep, *APPEAL_CATEGORICAL, *APPEAL_NUMERIC, "appeal_success")
 
 
 def appeal_serving_features(
@@ -212,7 +223,7 @@ def appeal_serving_features(
 ) -> DataFrame:
     """Appeal features of denied claims before an appeal is filed: rates as of the denial, timing 0."""
     named = denials.withColumnRenamed("denial_reason_code", "denial_reason")
-    rows = with_lines(with_dimensions(named.join(claims, "claim_id"), payers, providers), lines)
+    rows = named.join(claims, "claim_id")
     rows = (
         rows.withColumn("authorization_missing", flag(F.col("authorization_status") == "MISSING"))
         .withColumn("eligibility_fail", flag(F.col("eligibility_status") == "FAIL"))
@@ -226,7 +237,8 @@ def appeal_serving_features(
         rows, APPEAL_RATE_KEYS, "denial_date", "appeal_success", MIN_OBSERVATIONS, APPEAL_RATE_PRIOR,
         events=events, event_ts="appeal_date",
     )
-    return rated.select(
+    full = with_lines(with_dimensions(rated, payers, providers), lines)
+    return full.select(
         "claim_id", "denial_id", "payer_id", "denial_date", *APPEAL_CATEGORICAL, *APPEAL_NUMERIC
     )
 
@@ -303,6 +315,8 @@ def anomaly_features(claims: DataFrame, lines: DataFrame) -> DataFrame:
         "procedure_code",
         F.coalesce("line_amount_variance", F.lit(0.0)).alias("claim_line_amount_variance"),
     )
+    # Ranks, baselines and duplicate counts all read this table; the line aggregate runs once.
+    base = materialize(base, "anomaly-base")
     ranked = average_pct_rank(base, "claim_amount", "claim_amount_percentile")
     keyed = with_group_baselines(
         ranked, {"provider": "provider_id", "payer": "payer_id", "procedure": "procedure_code"}, "claim_amount"

@@ -14,7 +14,7 @@ from claimloom.streaming import jobs
 
 
 def source(t: Tables, name: str) -> DataFrame:
-    schema = t.raw(name).schema
+    schema = t.scan(name).schema
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.rules import APPEAL_PRIOR, DENIAL_REASONS
-from claimloom.storage import materialize
+from claimloom.storage import materialize, spread
 
 # Code lists.
 PROCEDURE_CODES = ["99213", "99214", "99215", "93000", "36415", "80053", "71046", "97110", "20610", "45378"]
@@ -159,9 +159,12 @@ class Tables:
     spark: SparkSession
     folder: str
 
-    def raw(self, name: str) -> DataFrame:
+    def scan(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def raw(self, name: str) -> DataFrame:
+        return spread(self.scan(name))
+
     @property
     def base(self) -> DataFrame:
         """The mapped claim rows, staged once per application and folder.
@@ -178,7 +181,7 @@ class Tables:
         return _STAGED[key]
 
     def mapped(self) -> DataFrame:
-        orders, customer = self.raw("orders"), self.raw("customer")
+        orders, customer = self.raw("orders"), self.scan("customer")
         df = orders.join(customer, orders.o_custkey == customer.c_custkey)
         for depth, layer in enumerate(mapping_layers(spark_add_days)):
             keep = [] if depth == 0 else ["*"]
@@ -214,7 +217,7 @@ class Tables:
 
     @property
     def payers(self) -> DataFrame:
-        return self.raw("nation").selectExpr(
+        return self.scan("nation").selectExpr(
             "cast(n_nationkey AS bigint) AS payer_id",
             "n_name AS name",
             f"{pick('n_nationkey % 3', PAYER_TYPES)} AS payer_type",
@@ -222,7 +225,7 @@ class Tables:
 
     @property
     def providers(self) -> DataFrame:
-        return self.raw("supplier").selectExpr(
+        return self.scan("supplier").selectExpr(
             "s_suppkey AS provider_id",
             "cast(1000000000 + s_suppkey AS string) AS npi",
             "s_name AS name",
