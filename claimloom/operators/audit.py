@@ -12,7 +12,7 @@ from claimloom.operators.ordered import ordered_prefix
 
 # Rows per chain segment. A chain is a sequence by nature; segments bound how long one
 # sequence can get, so a hot entity is many tasks' work.
-SEGMENT_ROWS = 10_000
+SEGMENT_ROWS = 1_000
 
 # Actions an agent may run by itself.
 ALLOWED_ACTIONS = [
