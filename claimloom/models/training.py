@@ -77,7 +77,7 @@ DENIAL_REASON = ModelSpec(
 def candidates(spec: ModelSpec, rows: int) -> dict[str, Estimator]:
     """Estimators by name. The two boosters are MLlib gradient boosting with two settings."""
     common = {"featuresCol": "features", "labelCol": "label"}
-    weighted = {**common, "weightCol": "weight"} if spec.calibrated else {**common, "weightCol": "weight"}
+    weighted = {**common, "weightCol": "weight"}
     forest = RandomForestClassifier(
         numTrees=spec.forest_trees, maxDepth=spec.forest_depth, seed=SEED, **weighted
     )
