@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontamination, url_filters, warc
+from claimloom.llm import bpe, decontamination, url_filters, warc
 
 URL_RULES = (
     url_filters.Rule("net", "/", "block"),
@@ -19,6 +20,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    made = bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
+    return made.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.round_trip(_table(spark, folder, "pages")).where("kind = 'record'")
     return records.select(
@@ -42,4 +54,4 @@ def op10_url_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op7_warc_salvage, op9_decontamination, op10_url_equivalence)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_warc_salvage, op9_decontamination, op10_url_equivalence)}
