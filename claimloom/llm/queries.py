@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontamination, url_filters, warc
+from claimloom.llm import bpe, decontamination, jaccard_join, url_filters, warc
 
 URL_RULES = (
     url_filters.Rule("net", "/", "block"),
@@ -31,6 +31,10 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.join(_table(spark, folder, "documents"))
+
+
 def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.round_trip(_table(spark, folder, "pages")).where("kind = 'record'")
     return records.select(
@@ -54,4 +58,4 @@ def op10_url_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op7_warc_salvage, op9_decontamination, op10_url_equivalence)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op6_jaccard_join, op7_warc_salvage, op9_decontamination, op10_url_equivalence)}
