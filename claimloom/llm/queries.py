@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontamination, jaccard_join, url_filters, warc
+from claimloom.llm import bpe, decontamination, jaccard_join, toxicity, url_filters, warc
 
 URL_RULES = (
     url_filters.Rule("net", "/", "block"),
@@ -42,6 +42,13 @@ def op7_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    model = toxicity.fit(docs, _table(spark, folder, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.scan(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return found.select(
@@ -58,4 +65,4 @@ def op10_url_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op6_jaccard_join, op7_warc_salvage, op9_decontamination, op10_url_equivalence)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
