@@ -7,6 +7,7 @@ Candidates, complete for any pair of classes with Jaccard similarity of at least
 
 1. Tokens are in hash order. A set of n tokens indexes its first p + k - 1 tokens, where p = n - ceil(n * part / whole) + 1 and
    k grows with p. Two similar sets share at least k tokens of these extended prefixes (k of the smaller one).
+   A set that shares fewer with all others together has no link and leaves.
 2. Tokens with at most RARE entries in the index are rare and index single: a bucket each. A set with fewer than k frequent
    tokens in its extended prefix shares a rare one with any similar set, so it is done.
 3. The other sets are few: they consist of frequent tokens to a good part. Among them tokens are counted over their whole
@@ -143,12 +144,12 @@ def combination_keys(tokens: np.ndarray, part: int, whole: int) -> list[int]:
 
 
 def _second_index(sets: DataFrame, frequent: DataFrame, part: int, whole: int) -> DataFrame:
-    """(key, node) for sets (node, tokens) with many frequent tokens: rare tokens of the new prefix, or combinations."""
+    """(key, node, n) for sets (node, tokens) with many frequent tokens: rare tokens of the new prefix, or combinations."""
     common = sets.select("node", F.explode("tokens").alias("h")).join(frequent, "h").groupBy("node").agg(F.collect_list("h").alias("often"))
 
     def run(batches):
         for batch in batches:
-            nodes, keys = [], []
+            nodes, keys, sizes = [], [], []
             for row, (tokens, often) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 tokens = np.array(tokens, np.int64).view(np.uint64)
                 rare = tokens[~np.isin(tokens, np.array(often or [], np.int64).view(np.uint64))]
@@ -158,10 +159,11 @@ def _second_index(sets: DataFrame, frequent: DataFrame, part: int, whole: int) -
                     own += combination_keys(tokens, part, whole)
                 nodes += [row] * len(own)
                 keys += own
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(nodes, pa.int32()))], names=["key", "node"])
+                sizes += [len(tokens)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(nodes, pa.int32())), pa.array(sizes, pa.int64())], names=["key", "node", "n"])
 
     kind = sets.schema["node"].dataType.simpleString()
-    return sets.join(common, "node", "left").select("node", "tokens", "often").mapInArrow(run, f"key bigint, node {kind}")
+    return sets.join(common, "node", "left").select("node", "tokens", "often").mapInArrow(run, f"key bigint, node {kind}, n bigint")
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = PART, whole: int = WHOLE, size: int = SHINGLE, rare: int = RARE) -> DataFrame:
@@ -173,23 +175,23 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = PA
     indexed = usable.groupBy("set_key").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = indexed.select("node", "n", F.explode("prefix").alias("key"))
     counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    met = materialize(entries.join(counts, "key").select("key", "node", "n", (F.col("held") > rare).alias("often")), "index")
-    single = met.where("not often").select("key", "node")
-    # smallest k that a similar set may ask for: that of the smallest partner
+    met = entries.join(counts, "key").select("key", "node", "n", (F.col("held") > rare).alias("often"))
+    met = materialize(met, "index")
+    # smallest k that a similar set may ask for, that of the smallest partner; who shares fewer tokens with anyone has no link
     lowest = F.ceil(F.col("n") * part / whole)
     k = 1 + F.floor((lowest - F.ceil(lowest * part / whole) + 1) / 4)
-    heavy = met.where("often").groupBy("node").agg(F.count(F.lit(1)).alias("often"), F.first("n").alias("n")).where(F.col("often") >= k).select("node")
-    heavy = materialize(heavy, "heavy")
-
-    wanted = single.select("node").union(heavy).distinct()
-    chosen = docs.join(narrowed(wanted.withColumnRenamed("node", id)), id, "left_semi")
-    sets = token_sets(chosen, id, text, size).withColumnRenamed("id", "node")
-    # rows with a node's id may hold other texts: keep each set once
-    sets = materialize(sets, "sets")
-    dense = sets.join(heavy, "node", "left_semi")
+    able = met.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.sum(F.col("often").cast("int")).alias("often"), F.first("n").alias("n"))
+    able = materialize(able.where(F.col("met") >= k).select("node", "n", (F.col("often") >= k).alias("heavy")), "able")
+    heavy = able.where("heavy").select("node")
+    single = met.where("not often").join(able.select("node"), "node", "left_semi").select("key", "node", "n")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        chosen = docs.join(narrowed(nodes.withColumnRenamed("node", id)), id, "left_semi")
+        return token_sets(chosen, id, text, size).withColumnRenamed("id", "node").dropDuplicates(["node", "tokens"])
+
+    dense = materialize(sets_of(heavy), "sets")
     counted = dense.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > rare).select("h")
-    buckets = single.union(_second_index(dense, counted, part, whole))
-    found = linked(buckets, sets, part, whole)
+    found = linked(single.union(_second_index(dense, counted, part, whole)), sets_of, part, whole)
 
     named = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "set_key").join(named, "set_key", "left")

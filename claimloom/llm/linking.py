@@ -15,6 +15,8 @@ map-side combine, and the joins on hot keys can be split by adaptive execution.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,29 +49,38 @@ def is_link(part: int, whole: int) -> Column:
     return common * whole >= (F.col("n_a") + F.col("n_b") - common) * part
 
 
-def linked(buckets: DataFrame, sets: DataFrame, part: int, whole: int) -> DataFrame:
-    """(node, component) of all nodes with a link: sets whose Jaccard similarity is at least part / whole."""
-    stars = buckets.groupBy("key").agg(F.min("node").alias("star"), F.max("node").alias("last")).where("star < last").select("key", "star")
-    members = materialize(buckets.join(stars, "key").where("node <> star").select("key", "star", "node").distinct(), "members")
-    first = materialize(
-        with_jaccard(members.select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), sets).withColumn("link", is_link(part, whole)), "stars"
-    )
+def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+    """(node, component) of all nodes with a link: sets whose Jaccard similarity is at least part / whole.
+
+    `buckets` has key, node and n, the size of the node's set; `token_sets` gives the sets (node, tokens) of a list of nodes.
+    """
+    stars = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("star"), F.max("node").alias("last")).where("star.node < last")
+    members = buckets.join(stars.select("key", F.col("star.node").alias("star"), F.col("star.n").alias("n_star")), "key").where("node <> star")
+    members = materialize(members.select("key", "star", "n_star", "node", "n").distinct(), "members")
+    fit = sizes_allow(F.col("n"), F.col("n_star"), part, whole)
+    pairs = materialize(members.where(fit).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    first = materialize(with_jaccard(pairs, materialize(token_sets(nodes), "sets")).withColumn("link", is_link(part, whole)), "stars")
     links = first.where("link").select("a", "b")
-    loose = first.where("not link").select(F.col("a").alias("star"), F.col("b").alias("node"))
+    loose = first.where("not link").select(F.col("a").alias("star"), F.col("b").alias("node")).union(members.where(~fit).select("star", "node")).distinct()
     if loose.limit(1).count() == 0:
         return components(links)
 
-    before = components(links)
+    # distance to the star: known, or for sizes that forbid a link between `low` and 1
     distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    facts = first.select(F.col("a").alias("star"), F.col("b").alias("node"), distance.alias("far"), F.col("n_b").alias("n"))
-    facts = materialize(facts.join(before, "node", "left").select("star", "node", "far", "n", F.coalesce("component", "node").alias("part_of")), "facts")
-    outside = members.join(loose, ["star", "node"]).select("key", "star", F.col("node").alias("x"))
-    one, two = (facts.select("star", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "far", "n", "part_of")]) for k in "xy")
-    meet = outside.join(one, (one["star"] == outside["star"]) & (F.col("node_x") == F.col("x"))).select("key", outside["star"].alias("hub"), "node_x", "far_x", "n_x", "part_of_x")
-    others = members.join(two, (two["star"] == members["star"]) & (F.col("node_y") == F.col("node"))).select("key", "node_y", "far_y", "n_y", "part_of_y")
-    tolerance = 1e-9
-    near = F.abs(F.col("far_x") - F.col("far_y")) <= 1 - part / whole + tolerance
-    pairs = meet.join(others, "key").where((F.col("node_x") != F.col("node_y")) & (F.col("part_of_x") != F.col("part_of_y")) & near & sizes_allow(F.col("n_x"), F.col("n_y"), part, whole))
-    pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    rest = with_jaccard(pairs, sets).where(is_link(part, whole)).select("a", "b")
+    known = first.select(F.col("a").alias("star"), F.col("b").alias("node"), F.col("n_b").cast("bigint").alias("n"), distance.alias("low"), distance.alias("high"))
+    apart = members.where(~fit).select("star", "node", "n", (1 - F.least("n", "n_star") / F.greatest("n", "n_star")).alias("low"), F.lit(1.0).alias("high")).distinct()
+    before = materialize(components(links), "before")
+    facts = known.union(apart).join(before, "node", "left").select("star", "node", "n", "low", "high", F.coalesce("component", "node").alias("part_of"))
+    facts = materialize(facts, "facts")
+    outside = members.select("key", "star", "node").join(loose, ["star", "node"]).join(facts, ["star", "node"])
+    others = members.select("key", "star", "node").join(facts, ["star", "node"])
+    x, y = outside.drop("star").alias("x"), others.drop("star").alias("y")
+    most = 1 - part / whole + 1e-9
+    differ = (F.col("x.node") != F.col("y.node")) & (F.col("x.part_of") != F.col("y.part_of"))
+    near = (F.col("x.low") - F.col("y.high") <= most) & (F.col("y.low") - F.col("x.high") <= most)
+    again = x.join(y, F.col("x.key") == F.col("y.key")).where(differ & near & sizes_allow(F.col("x.n"), F.col("y.n"), part, whole))
+    again = materialize(again.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
+    nodes = again.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    rest = with_jaccard(again, materialize(token_sets(nodes), "sets")).where(is_link(part, whole)).select("a", "b")
     return components(links.union(rest))
