@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontamination, jaccard_join, toxicity, url_filters, warc
+from claimloom.llm import bpe, decontamination, jaccard_join, quality, toxicity, url_filters, warc
 
 URL_RULES = (
     url_filters.Rule("net", "/", "block"),
@@ -20,6 +20,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(_table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     made = bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
@@ -65,4 +70,4 @@ def op10_url_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_byte_bpe, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
