@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontamination, jaccard_join, quality, toxicity, url_filters, warc
+from claimloom.llm import bpe, decontamination, jaccard_join, quality, secrets, toxicity, url_filters, warc
 
 URL_RULES = (
     url_filters.Rule("net", "/", "block"),
@@ -36,6 +36,12 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_randomness_tests(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(_table(spark, folder, "documents").select("doc_id", "text"))
+    counts = {f"n_{kind}": F.size(F.filter("base", lambda s: s["rank"] == secrets.KINDS.index(kind))).cast("bigint") for kind in secrets.KINDS[:3]}
+    return found.withColumns(counts).select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
 def op6_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.join(_table(spark, folder, "documents"))
 
@@ -70,4 +76,4 @@ def op10_url_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_byte_bpe, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_byte_bpe, op3_randomness_tests, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
