@@ -34,7 +34,7 @@ HEX = r"[0-9a-f]{24,}"
 ASSIGN_LENGTH = 6
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
-ALPHA, FALSE_DISCOVERIES = 0.01, 0.001
+ALPHA, FALSE_DISCOVERIES = 0.01, 0.01
 #: Steps of the p-value grid and their number to a power of ten.
 GRID, GRID_STEPS = 400, 10
 _LOW, _UP, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
