@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontamination, jaccard_join, quality, secrets, suffixes, toxicity, url_filters, warc
+from claimloom.llm import bpe, decontamination, jaccard_join, paragraphs, quality, secrets, suffixes, toxicity, url_filters, warc
 
 URL_RULES = (
     url_filters.Rule("net", "/", "block"),
@@ -42,6 +42,11 @@ def op3_randomness_tests(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns(counts).select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op4_paragraph_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = paragraphs.repeated(_table(spark, folder, "documents"))
+    return found.select("doc_id", "place", "begin", "end", "words", "component_id", "first_place", "removed")
+
+
 def op5_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
     cut = suffixes.dedup(_table(spark, folder, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -81,4 +86,4 @@ def op10_url_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_byte_bpe, op3_randomness_tests, op5_suffix_array, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_byte_bpe, op3_randomness_tests, op4_paragraph_minhash, op5_suffix_array, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
