@@ -176,13 +176,14 @@ def _thresholds(found: DataFrame, rate: float) -> dict[int, int]:
     return {r["class"]: r["step"] for r in fit.groupBy("class").agg(F.min("step").alias("step")).collect()}
 
 
-def scan(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERIES, name: str = "secrets") -> DataFrame:
-    """`docs` without its text, with `base` and `spans`: sorted arrays of (start, rank in KINDS, end)."""
+def scan(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERIES, keep_text: bool = False, name: str = "secrets") -> DataFrame:
+    """`docs`, without its text unless asked for, with `base` and `spans`: sorted arrays of (start, rank in KINDS, end)."""
     body = F.coalesce(F.col(text), F.lit(""))
     first = docs.withColumn("base", base_spans(body))
     none = F.expr("cast(array() as array<struct<start: int, end: int, test: struct<class: int, step: int>>>)")
     tested = F.when(body.rlike("[A-Za-z0-9+/_-]{20}"), _tested(body, F.col("base"))).otherwise(none)
-    found = materialize(first.withColumn("tested", tested).drop(text), name)
+    first = first.withColumn("tested", tested)
+    found = materialize(first if keep_text else first.drop(text), name)
     limits = _thresholds(found, rate)
     limit = lambda c: F.lit(GRID)
     if limits:
