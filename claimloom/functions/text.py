@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,31 +16,33 @@ CHUNK_OVERLAP = 100
 VECTOR_DIM = 384
 # Words whose slot a task remembers.
 KNOWN_TOKENS = 500_000
-_WHITESPACE = re.compile(r"\s+")
+_FULL_STOP = re.compile(r"\.(?= )")
 _TOKEN = re.compile("[a-z0-9]+")
 
 
+def _cut_after(start: int, breaks: list[int], length: int, size: int) -> int:
+    """End of the chunk that starts at `start`: the last sentence break in its later half, else its full size."""
+    full = start + size
+    if full >= length:
+        return length
+    last = bisect_left(breaks, full) - 1
+    return breaks[last] if last >= 0 and 2 * (breaks[last] - 1 - start) > size else full
+
+
 def split_chunks(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[str]:
-    """Windows of at most `size` characters that prefer to end after a sentence.
+    """Chunks of at most `size` characters of the text with its white space collapsed.
 
-    Each window starts `overlap` characters before the end of the one before it. A
-    window is cut after its last ". " when that lies past the middle of the window.
+    A chunk ends after a full stop that a blank follows, if there is one in its later half. The next one starts `overlap`
+    characters earlier, or right there if the chunk is no longer than the overlap.
     """
-    clean = _WHITESPACE.sub(" ", text).strip()
-    total, begin, pieces = len(clean), 0, []
-    while begin < total:
-        stop = min(begin + size, total)
-        if stop < total:
-            dot = clean.rfind(". ", begin, stop)
-            if dot - begin > size / 2:
-                stop = dot + 1
-        piece = clean[begin:stop].strip()
-        if piece:
-            pieces.append(piece)
-        if stop == total:
-            break
-        begin = stop - overlap if stop - overlap > begin else stop
-    return pieces
+    flat = " ".join(text.split())
+    breaks = [m.end() for m in _FULL_STOP.finditer(flat)]
+    starts, ends = [0], [_cut_after(0, breaks, len(flat), size)]
+    while ends[-1] < len(flat):
+        back = ends[-1] - overlap
+        starts.append(back if back > starts[-1] else ends[-1])
+        ends.append(_cut_after(starts[-1], breaks, len(flat), size))
+    return [chunk for a, b in zip(starts, ends, strict=True) if (chunk := flat[a:b].strip())]
 
 
 def chunk_column(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -35,7 +35,7 @@ from claimloom.functions.numbers import half_up
 from claimloom.operators import features as fe
 from claimloom.operators.metrics import binary_metrics, multiclass_metrics
 from claimloom.operators.ordered import chrono_split
-from claimloom.operators.registry import is_number, promote_if_better, version_label, version_tag
+from claimloom.operators.registry import gate_history, is_number, version_label, version_tag
 from claimloom.storage import materialize
 
 FOLDS = 3
@@ -341,11 +341,17 @@ def version_rows(trained: Sequence[Trained], run_ts: datetime, dataset_version:
     ]
 
 
-def pick_champion(trained: Sequence[Trained], incumbent: Mapping[str, float] | None = None) -> Trained | None:
+def pick_champion(spark: SparkSession, trained: Sequence[Trained], incumbent: Mapping[str, float] | None = None) -> Trained | None:
+    """The candidate of this run that the gate promotes over the incumbent's metrics, or None."""
     if not trained:
         return None
-    name = promote_if_better({t.name: t.metrics for t in trained}, incumbent, trained[0].spec.metric)
-    return next((t for t in trained if t.name == name), None)
+    spec = trained[0].spec
+    # the incumbent was trained first, so that a candidate as good as it wins
+    rows = [("", "", spec.model_type, 0, {k: float(v) for k, v in (incumbent or {}).items() if is_number(v)})]
+    rows += [(t.tag, t.name, spec.model_type, 1, {k: float(v) for k, v in t.metrics.items() if is_number(v)}) for t in trained]
+    versions = spark.createDataFrame(rows, "version_id string, model_name string, model_type string, trained_at int, metrics map<string,double>")
+    held = gate_history(versions, spec.metric).first()
+    return next((t for t in trained if held and t.tag == held["champion_version"]), None)
 
 
 def retrain_all(

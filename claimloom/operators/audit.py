@@ -163,7 +163,7 @@ def verify_chain(log: DataFrame, entity: str = "entity_id") -> DataFrame:
     )
     opens = F.col("seq") == F.col("_first")
     expected_prev = F.when(opens, F.col("anchor")).otherwise(F.coalesce("_before", F.lit("")))
-    bad = (F.col("prev_hash") != expected_prev) | (F.col("hash") != record_hash(expected_prev))
+    bad = ~F.col("prev_hash").eqNullSafe(expected_prev) | ~F.col("hash").eqNullSafe(record_hash(expected_prev))
     return (
         linked.withColumn("_bad", bad)
         .filter("_bad")

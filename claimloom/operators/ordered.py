@@ -78,22 +78,13 @@ def ordered_prefix(
 def rows_at(df: DataFrame, order: Sequence[str], positions: Callable[[int], Sequence[int]]) -> list[Row | None]:
     """Order-column values of the rows at the 1-based positions that `positions(row count)` asks for.
 
-    Only the counts per slice reach the driver; each row is then found inside its slice.
+    Positions are found in the range slices; only the row count and the wanted rows reach the driver.
     """
     names = [c.lstrip("-") for c in order]
-    table = sliced(df.select(*names), order)
-    counts = [(r[SLICE], r["count"]) for r in table.groupBy(SLICE).count().orderBy(SLICE).collect()]
-    found: dict[int, Row | None] = {}
-    wanted = positions(sum(n for _, n in counts))
-    for position in set(wanted):
-        found[position], seen = None, 0
-        for number, n in counts:
-            if seen < position <= seen + n:
-                part = table.filter(F.col(SLICE) == number).select(*names).orderBy(*[_sort_key(c) for c in order])
-                found[position] = part.offset(position - seen - 1).limit(1).collect()[0]
-                break
-            seen += n
-    return [found[p] for p in wanted]
+    placed = ordered_prefix(df.select(*names), order)
+    wanted = positions(placed.count())
+    found = {r["pos"]: r for r in placed.filter(F.col("pos").isin(*set(wanted))).collect()}
+    return [found.get(position) for position in wanted]
 
 
 def row_at(df: DataFrame, order: Sequence[str], position: int) -> Row | None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -29,43 +28,23 @@ def is_number(value: object) -> bool:
     return isinstance(value, (int, float)) and not isinstance(value, bool) and not math.isnan(value)
 
 
-def promote_if_better(
-    candidates: Mapping[str, Mapping[str, float]],
-    incumbent: Mapping[str, float] | None,
-    metric: str = "pr_auc",
-    higher_is_better: bool = True,
-) -> str | None:
-    """Name of the candidate of one training run that becomes champion, or None.
-
-    Candidates without a numeric metric (NaN included) do not take part. The best one must
-    be at least as good as the incumbent; an incumbent without a numeric metric loses.
-    """
-    valid = {n: m[metric] for n, m in candidates.items() if is_number(m.get(metric))}
-    if not valid:
-        return None
-    sign = 1 if higher_is_better else -1
-    best = max(valid, key=lambda n: sign * valid[n])
-    held = None if incumbent is None else incumbent.get(metric)
-    if is_number(held) and sign * valid[best] < sign * held:
-        return None
-    return best
-
-
 def champions(versions: DataFrame, promotions: DataFrame) -> DataFrame:
     """Exactly one champion per model type: the version of its latest promotion."""
     current = latest(promotions, ["model_type"], ["promoted_at", "version_id"])
     return versions.join(current.select("model_type", "version_id"), ["model_type", "version_id"], "left_semi")
 
 
-def gate_history(versions: DataFrame, metric: str = "pr_auc") -> DataFrame:
+def gate_history(versions: DataFrame, metric: str = "pr_auc", higher_is_better: bool = True) -> DataFrame:
     """Champion after replaying the gate over all versions of each type in time order.
 
     A version is promoted when it is at least as good as the champion so far, so the
-    final champion is the best metric, the latest one on ties.
+    final champion is the best metric, the latest one on ties. Versions without a
+    numeric metric do not take part.
     """
     value = F.col("metrics")[metric]
     valid = versions.filter(value.isNotNull() & ~F.isnan(value))
-    best = F.max(F.struct(value.alias("value"), "trained_at", "version_id", "model_name"))
+    good = value if higher_is_better else -value
+    best = F.max(F.struct(good.alias("good"), "trained_at", "version_id", "model_name", value.alias("value")))
     return valid.groupBy("model_type").agg(F.count(F.lit(1)).alias("candidates"), best.alias("b")).select(
         "model_type",
         "candidates",

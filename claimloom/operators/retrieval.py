@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from claimloom.functions import rules
 from claimloom.functions.numbers import half_up
-from claimloom.functions.text import chunk_documents, slot_matrix, token_slots
+from claimloom.functions.text import VECTOR_DIM, chunk_documents, slot_matrix, token_slots
+from claimloom.storage import materialize
 
 TOP_K = 5
 # Queries scored in one pass over the chunks. Their vectors travel to every task, so the
@@ -44,37 +45,38 @@ def _best(scores: np.ndarray, first: np.ndarray, second: np.ndarray, k: int) ->
     return candidates[order[:k]]
 
 
+def _numbered(queries: DataFrame) -> DataFrame:
+    """The queries with a number each, stored, so that repeated ids stay apart and blocks have sharp edges."""
+    return materialize(queries.withColumn("_n", F.monotonically_increasing_id()), "queries")
+
+
 def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    """Queries in driver-sized blocks by (query_id) range, never all at once."""
-    last = None
-    while True:
-        rest = queries if last is None else queries.filter(F.col("query_id") > F.lit(last))
-        block = rest.orderBy("query_id").limit(QUERY_BLOCK).collect()
-        if not block:
-            return
+    """Numbered queries in driver-sized blocks, never all at once."""
+    last = -1
+    while block := queries.filter(F.col("_n") > last).orderBy("_n").limit(QUERY_BLOCK).collect():
         yield block
-        if len(block) < QUERY_BLOCK:
-            return
-        last = block[-1]["query_id"]
+        last = block[-1]["_n"]
+
 
+def _comparable(values: pd.Series) -> np.ndarray:
+    """Ids as an array that sorts and compares: whole numbers, else text."""
+    return values.to_numpy("int64") if pd.api.types.is_integer_dtype(values.dtype) else values.astype(str).to_numpy("U")
 
-def _local_top(vectors: DataFrame, ids: Sequence, matrix: np.ndarray, scopes: list | None, k: int, query_type: str):
-    """Per task: score batches against all query vectors and keep the best k per query.
 
-    No query x chunk pair leaves the task; only k rows per query and task are emitted.
+def _local_top(vectors: DataFrame, block: list, matrix: np.ndarray, scoped: bool, k: int) -> DataFrame:
+    """Per task: score batches against a block of query vectors and keep the best k per query.
+
+    No query x chunk pair leaves the task; only k rows per query and task are emitted, under the query's number.
     """
-    sparkc = vectors.sparkSession.sparkContext
     norms = (matrix * matrix).sum(axis=1)
-    shared = sparkc.broadcast((list(ids), matrix, norms, scopes))
+    scopes = [r["payer_id"] for r in block] if scoped else None
+    shared = vectors.sparkSession.sparkContext.broadcast(([r["_n"] for r in block], matrix, norms, scopes))
     dense = "vector" in vectors.columns
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, q, qn, scope = shared.value
-        empty = (np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
-        kept = [empty] * len(query_ids)
-        bound = np.full(len(query_ids), -np.inf)
-        if scope is not None:
-            wanted = np.array([np.nan if s is None else float(s) for s in scope])
+        numbers, q, qn, scope = shared.value
+        kept: list = [None] * len(numbers)
+        bound = np.full(len(numbers), -np.inf)
         for batch in batches:
             if not len(batch):
                 continue
@@ -84,29 +86,40 @@ def _local_top(vectors: DataFrame, ids: Sequence, matrix: np.ndarray, scopes: li
             product[product == 0] = 1.0
             cos = (q @ m.T) / product
             if scope is not None:
-                payer = batch["payer_id"].to_numpy(dtype="float64", na_value=np.nan)
-                hidden = ~np.isnan(payer)[None, :] & ~np.isnan(wanted)[:, None] & (payer[None, :] != wanted[:, None])
-                cos[hidden] = -np.inf
-            a, b = batch["document_id"].to_numpy("int64"), batch["chunk_index"].to_numpy("int64")
+                # codes of payers, -1 for none: any type of id compares exactly
+                codes = pd.factorize(pd.concat([pd.Series(scope, dtype=object), batch["payer_id"].astype(object)], ignore_index=True))[0]
+                wanted, payer = codes[: len(scope)], codes[len(scope) :]
+                cos[(payer[None, :] >= 0) & (wanted[:, None] >= 0) & (payer[None, :] != wanted[:, None])] = -np.inf
+            a, b = _comparable(batch["document_id"]), batch["chunk_index"].to_numpy("int64")
             # Only queries that this batch can improve (or tie) are looked at.
             for i in np.flatnonzero(cos.max(axis=1) >= bound):
                 pick = np.flatnonzero((cos[i] >= bound[i]) & (cos[i] > -np.inf))
-                s, da, db = (np.concatenate(x) for x in zip(kept[i], (cos[i][pick], a[pick], b[pick])))
+                found = (cos[i][pick], a[pick], b[pick])
+                s, da, db = found if kept[i] is None else (np.concatenate(x) for x in zip(kept[i], found))
                 best = _best(s, da, db, k)
                 kept[i] = (s[best], da[best], db[best])
                 if len(best) == k:
                     bound[i] = kept[i][0][-1]
-        for query_id, (s, da, db) in zip(query_ids, kept):
-            if len(s):
-                yield pd.DataFrame({"query_id": query_id, "document_id": da, "chunk_index": db, "score": s})
+        for number, found in zip(numbers, kept):
+            if found is not None and len(found[0]):
+                yield pd.DataFrame({"_n": number, "document_id": found[1], "chunk_index": found[2], "score": found[0]})
 
-    schema = f"query_id {query_type}, document_id bigint, chunk_index bigint, score double"
-    return vectors.mapInPandas(score, schema)
+    kind = vectors.schema["document_id"].dataType.simpleString()
+    return vectors.mapInPandas(score, f"_n bigint, document_id {kind}, chunk_index bigint, score double")
 
 
-def _merge(local: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "document_id", "chunk_index")
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def _top(vectors: DataFrame, queries: DataFrame, matrix_of: Callable[[list], np.ndarray], scoped: bool, k: int) -> DataFrame:
+    """query_id, document_id, chunk_index, score, rank: the k best rows of each query."""
+    numbered = _numbered(queries)
+    local = None
+    for block in _query_blocks(numbered):
+        part = _local_top(vectors, block, matrix_of(block), scoped, k)
+        local = part if local is None else local.unionByName(part)
+    if local is None:
+        local = _local_top(vectors, [], np.zeros((0, VECTOR_DIM)), scoped, k).limit(0)
+    order = Window.partitionBy("_n").orderBy(F.col("score").desc(), "document_id", "chunk_index")
+    best = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.join(numbered.select("_n", "query_id"), "_n").select("query_id", "document_id", "chunk_index", "score", "rank")
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, scoped: bool = True) -> DataFrame:
@@ -117,25 +130,10 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, scoped: bool
     sees documents of its payer and global ones. The dot products are of whole numbers,
     so equal texts tie exactly.
     """
-    query_type = dict(queries.dtypes)["query_id"]
     names = ["document_id", "chunk_index", "slots"] + (["payer_id"] if scoped else [])
     vectors = chunks.filter(F.col("slots").isNotNull()).select(*names)
     ready = queries.select("query_id", *(["payer_id"] if scoped else []), token_slots(F.col("text")).alias("slots"))
-    local = None
-    for block in _query_blocks(ready):
-        part = _local_top(
-            vectors,
-            [r["query_id"] for r in block],
-            slot_matrix([r["slots"] for r in block]),
-            [r["payer_id"] for r in block] if scoped else None,
-            k,
-            query_type,
-        )
-        local = part if local is None else local.unionByName(part)
-    if local is None:
-        schema = f"query_id {query_type}, document_id bigint, chunk_index bigint, score double, rank int"
-        return chunks.sparkSession.createDataFrame([], schema)
-    return _merge(local, k)
+    return _top(vectors, ready, lambda block: slot_matrix([r["slots"] for r in block]), scoped, k)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -143,17 +141,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
 
     `vectors`: id, vector. `queries`: query_id, vector.
     """
-    query_type = dict(queries.dtypes)["query_id"]
     keyed = vectors.select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), "vector")
-    local = None
-    for block in _query_blocks(queries.select("query_id", "vector")):
-        matrix = np.array([r["vector"] for r in block], dtype="float64")
-        part = _local_top(keyed, [r["query_id"] for r in block], matrix, None, k, query_type)
-        local = part if local is None else local.unionByName(part)
-    if local is None:
-        schema = f"query_id {query_type}, id bigint, score double, rank int"
-        return vectors.sparkSession.createDataFrame([], schema)
-    return _merge(local, k).select("query_id", F.col("document_id").alias("id"), "score", "rank")
+    found = _top(keyed, queries.select("query_id", "vector"), lambda block: np.array([r["vector"] for r in block], dtype="float64"), False, k)
+    return found.select("query_id", F.col("document_id").alias("id"), "score", "rank")
 
 
 def group_centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -169,45 +159,20 @@ def group_centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 def first_document_with(documents: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
     """Per keyword: smallest document id whose `text` contains it, ignoring case.
 
-    `keywords` has query_id and text and is handled in blocks. One pass over the documents
-    matches a whole block with an Aho-Corasick automaton; the aggregate then has one row
-    per keyword.
+    `keywords` has query_id and text and is handled in blocks: one pass over the documents looks for a whole block, and the
+    aggregate then has one row per keyword. Keywords without a document are left out.
     """
+    numbered = _numbered(keywords.select("query_id", "text").filter(F.col("text").isNotNull()))
+    body = F.lower(F.col(text))
     found = None
-    for block in _query_blocks(keywords.select("query_id", "text")):
-        part = _first_with(documents, [r["query_id"] for r in block], [r["text"].lower() for r in block], text)
+    for block in _query_blocks(numbered):
+        words = F.array(*[F.struct(F.lit(r["_n"]).alias("n"), F.lit(r["text"].lower()).alias("w")) for r in block])
+        held = documents.select("document_id", F.explode(F.filter(words, lambda k: F.contains(body, k["w"]))["n"]).alias("_n"))
+        part = held.groupBy("_n").agg(F.min("document_id").alias("expected_document_id"))
         found = part if found is None else found.unionByName(part)
     if found is None:
-        kind = dict(keywords.dtypes)["query_id"]
-        return documents.sparkSession.createDataFrame([], f"query_id {kind}, expected_document_id bigint")
-    return found
-
-
-def _first_with(documents: DataFrame, ids: list, lowered: list[str], text: str) -> DataFrame:
-    @F.pandas_udf("array<int>")
-    def matches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            import ahocorasick
-
-            automaton = ahocorasick.Automaton()
-            for word in set(lowered):
-                automaton.add_word(word, [i for i, w in enumerate(lowered) if w == word])
-            automaton.make_automaton()
-
-            def found(t: str) -> list[int]:
-                return sorted({i for _, hits in automaton.iter(t) for i in hits})
-        except ImportError:
-
-            def found(t: str) -> list[int]:
-                return [i for i, w in enumerate(lowered) if w in t]
-
-        for batch in batches:
-            yield batch.map(lambda t: found(t.lower()) if t else [])
-
-    hits = documents.select("document_id", F.explode(matches(F.col(text))).alias("_i"))
-    first = hits.groupBy("_i").agg(F.min("document_id").alias("expected_document_id"))
-    name = F.element_at(F.array(*[F.lit(n) for n in ids]), F.col("_i") + 1)
-    return first.select(name.alias("query_id"), "expected_document_id")
+        return numbered.select("query_id", F.lit(None).cast(documents.schema["document_id"].dataType).alias("expected_document_id"))
+    return found.join(numbered.select("_n", "query_id"), "_n").select("query_id", "expected_document_id")
 
 
 def reason_documents(documents: DataFrame) -> DataFrame:
@@ -281,42 +246,31 @@ def _letter(missing: Column) -> Column:
     lines = F.array_join(
         F.transform("cited", lambda c: F.concat(F.lit("- "), c["title"], F.lit(": "), c["line"], F.lit("..."))), "\n"
     )
-    policies = F.when(F.size("cited") > 0, lines).otherwise("- No policy documents retrieved.")
+    policies = F.when(F.size("cited") > 0, lines).otherwise("- none")
     reason = F.col("denial_reason_code")
     gaps = F.when(
         F.size(missing) > 0,
-        F.concat(F.lit("Missing evidence still required: "), F.array_join(missing, ", "), F.lit("\n")),
+        F.concat(F.lit("Still to be supplied: "), F.array_join(missing, ", "), F.lit("\n")),
     ).otherwise("")
-    # Wording of the draft letter.
     parts = [
-        F.lit("APPEAL DRAFT (synthetic demo — human review required before any submission)\n\nClaim: "),
+        F.lit("DRAFT APPEAL - synthetic data, not to be sent before a person has approved it\n\nClaim "),
         F.col("claim_number"),
-        F.lit("\nDenial reason: "),
+        F.lit(", denied as "),
         reason,
-        F.lit("\n\nClaim facts:\n- Billed amount: $"),
+        F.lit("\n\nOn record:\n* amount billed: "),
         rules.plain_number(F.col("claim_amount")),
-        F.lit("\n- Service date: "),
+        F.lit("\n* date of service: "),
         F.date_format("service_date", "yyyy-MM-dd HH:mm:ss"),
-        F.lit("\n- Documentation completeness: "),
+        F.lit("\n* documents complete, percent: "),
         rules.plain_number(F.col("documentation_completeness")),
-        F.lit("%\n- Authorization status: "),
+        F.lit("\n* authorization: "),
         F.coalesce("authorization_status", F.lit("None")),
-        F.lit("\n\nRelevant policy references:\n"),
+        F.lit("\n\nPolicies found:\n"),
         policies,
-        F.lit(
-            "\n\nArgument: Based on the claim facts above and the referenced payer policy, "
-            "this claim should be reconsidered for the reason on file ("
-        ),
+        F.lit("\n\nWe ask for a new decision on "),
         reason,
-        F.lit(
-            "). All factual statements above are drawn directly from claim records and the "
-            "retrieved policy excerpts cited; no facts have been added beyond what is in the record.\n\n"
-        ),
+        F.lit(". The request rests on the record and the policies quoted above alone.\n"),
         gaps,
-        F.lit(
-            "\nThis draft requires human review and approval before submission. "
-            "Appeals are never submitted autonomously."
-        ),
     ]
     return F.concat(*parts)
 

@@ -113,7 +113,7 @@ def reason_model_scores(t: Tables) -> DataFrame:
 def appeal_model_comparison(t: Tables) -> DataFrame:
     """Registry metrics of every candidate of one training run."""
     trained = training.train_candidates(appeal_rows(t), APPEAL, RUN_TS)
-    best = training.pick_champion(trained)
+    best = training.pick_champion(t.spark, trained)
     rows = [
         (m.name, m.tag, *[m.metrics.get(k) for k in ("pr_auc", "roc_auc", "f1", "brier_score")], best is not None and m.name == best.name)
         for m in trained

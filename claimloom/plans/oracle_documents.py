@@ -193,16 +193,13 @@ def _plain(x: str) -> str:
 
 
 _letter = (
-    "'APPEAL DRAFT (synthetic demo — human review required before any submission)' || chr(10) || chr(10) || 'Claim: ' || claim_number || chr(10) || "
-    "'Denial reason: ' || denial_reason_code || chr(10) || chr(10) || 'Claim facts:' || chr(10) || '- Billed amount: $' || "
-    f"{_plain('claim_amount')} || chr(10) || '- Service date: ' || strftime(service_date, '%Y-%m-%d %H:%M:%S') || chr(10) || "
-    f"'- Documentation completeness: ' || {_plain('documentation_completeness')} || '%' || chr(10) || '- Authorization status: ' || authorization_status || "
-    "chr(10) || chr(10) || 'Relevant policy references:' || chr(10) || coalesce(lines, '- No policy documents retrieved.') || chr(10) || chr(10) || "
-    "'Argument: Based on the claim facts above and the referenced payer policy, this claim should be reconsidered for the reason on file (' || "
-    "denial_reason_code || '). All factual statements above are drawn directly from claim records and the retrieved policy excerpts cited; "
-    "no facts have been added beyond what is in the record.' || chr(10) || chr(10) || CASE WHEN missing_evidence <> '' THEN "
-    "'Missing evidence still required: ' || replace(missing_evidence, ',', ', ') || chr(10) ELSE '' END || chr(10) || "
-    "'This draft requires human review and approval before submission. Appeals are never submitted autonomously.'"
+    "'DRAFT APPEAL - synthetic data, not to be sent before a person has approved it' || chr(10) || chr(10) || 'Claim ' || claim_number || "
+    "', denied as ' || denial_reason_code || chr(10) || chr(10) || 'On record:' || chr(10) || '* amount billed: ' || "
+    f"{_plain('claim_amount')} || chr(10) || '* date of service: ' || strftime(service_date, '%Y-%m-%d %H:%M:%S') || chr(10) || "
+    f"'* documents complete, percent: ' || {_plain('documentation_completeness')} || chr(10) || '* authorization: ' || authorization_status || "
+    "chr(10) || chr(10) || 'Policies found:' || chr(10) || coalesce(lines, '- none') || chr(10) || chr(10) || "
+    "'We ask for a new decision on ' || denial_reason_code || '. The request rests on the record and the policies quoted above alone.' || chr(10) || "
+    "CASE WHEN missing_evidence <> '' THEN 'Still to be supplied: ' || replace(missing_evidence, ',', ', ') || chr(10) ELSE '' END"
 )
 register(
     "packets",

@@ -49,9 +49,9 @@ def metrics_with_prefix(df: DataFrame, prefix: str, column: str = "metric_name")
     return df.filter(F.col(column).startswith(prefix))
 
 
-def page(df: DataFrame, sort: list[Column], limit: int, offset: int = 0, cap: int = 200) -> DataFrame:
+def page(df: DataFrame, sort: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """One result page; `sort` must end in a unique key for a stable order."""
-    return df.orderBy(*sort).offset(offset).limit(min(limit, cap))
+    return df.orderBy(*sort).offset(offset).limit(limit)
 
 
 def read_policy_corpus(spark: SparkSession, path: str) -> DataFrame:

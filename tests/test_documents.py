@@ -155,3 +155,32 @@ def test_action_policy(spark):
     kinds = {r["action"]: r["violation"] for r in audit.policy_violations(df).collect()}
     assert "draft_appeal" not in kinds and len(kinds) == len(names) - 1
     assert all(kinds[a] == "blocked" for a in audit.BLOCKED_ACTIONS) and kinds["drop_table"] == "unknown"
+
+
+def test_repeated_and_text_ids_over_block_edges(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    chunks = retrieval.with_slots(
+        spark.createDataFrame([("d1", 0, "alpha beta", "p1"), ("d2", 0, "gamma delta", None), ("d3", 0, "alpha gamma", "p2")], "document_id string, chunk_index bigint, chunk_text string, payer_id string")
+    )
+    queries = spark.createDataFrame([("q1", "alpha", "p1"), ("q2", "gamma", "p1"), ("q2", "alpha", "p2"), ("q3", "delta", None)], "query_id string, text string, payer_id string")
+    got = sorted((r["query_id"], r["document_id"]) for r in retrieval.retrieve(chunks, queries, k=1).collect())
+    assert got == [("q1", "d1"), ("q2", "d2"), ("q2", "d3"), ("q3", "d2")]
+    first = retrieval.first_document_with(chunks.withColumnRenamed("chunk_text", "t"), queries.select("query_id", "text"), "t")
+    assert sorted(map(tuple, first.collect())) == [("q1", "d1"), ("q2", "d1"), ("q2", "d2"), ("q3", "d2")]
+    assert retrieval.retrieve(chunks, queries.limit(0)).count() == 0
+
+
+def test_null_hash_breaks_the_chain(spark):
+    events = spark.createDataFrame([(i, 1, "u", "e", '{"a": 1}', i) for i in range(1, 6)], "event_id bigint, entity_id bigint, actor_type string, event_type string, payload string, t bigint")
+    log = audit.build_chain(events.withColumn("created_at", F.timestamp_seconds("t")).drop("t"))
+    assert audit.verify_chain(log).count() == 0
+    last = F.col("event_id") == 5
+    edited = log.withColumn("hash", F.when(~last, F.col("hash"))).withColumn("payload", F.when(last, F.lit("{}")).otherwise(F.col("payload")))
+    assert [r["first_bad_event"] for r in audit.verify_chain(edited).collect()] == [5]
+
+
+def test_pages_are_not_capped(spark):
+    from claimloom.operators.recovery import queue_page
+
+    queue = spark.range(900).select(F.col("id").alias("claim_id"), F.lit(1.0).alias("priority_score"))
+    assert queue_page(queue, limit=500).count() == 500

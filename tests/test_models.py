@@ -34,12 +34,12 @@ def trained(labelled):
     return {t.name: t for t in training.train_candidates(labelled, SPEC, datetime(2020, 2, 1))}
 
 
-def test_all_candidates_learn_and_the_gate_picks_the_best(trained):
+def test_all_candidates_learn_and_the_gate_picks_the_best(spark, trained):
     assert set(trained) == {"logistic_regression", "random_forest", "boosted_trees_sampled", "boosted_trees_full"}
     assert all(t.metrics["roc_auc"] > 0.75 for t in trained.values())
-    best = training.pick_champion(list(trained.values()))
+    best = training.pick_champion(spark, list(trained.values()))
     assert best.metrics["pr_auc"] == max(t.metrics["pr_auc"] for t in trained.values())
-    assert training.pick_champion(list(trained.values()), {"pr_auc": 1.1}) is None
+    assert training.pick_champion(spark, list(trained.values()), {"pr_auc": 1.1}) is None
     rows = training.version_rows(list(trained.values()), datetime(2020, 2, 1), "d1", "/models")
     assert rows[0]["artifact_path"] == "/models/denial_risk/20200201-000000-logistic_regression"
 
@@ -144,13 +144,18 @@ def test_path_lengths():
     assert average_path(256) == pytest.approx(10.2448, abs=1e-3)
 
 
-def test_promotion_gate():
-    gate = registry.promote_if_better
+def test_promotion_gate(spark):
+    def gate(candidates, incumbent, metric="pr_auc", higher=True):
+        rows = [("old", "t", 0, incumbent or {})] + [(name, "t", 1, metrics) for name, metrics in candidates.items()]
+        versions = spark.createDataFrame([(r[0], *r) for r in rows], "version_id string, model_name string, model_type string, trained_at int, metrics map<string,double>")
+        held = registry.gate_history(versions, metric, higher).first()
+        return held["champion_name"] if held else None
+
     assert gate({"a": {"pr_auc": 0.5}, "b": {"pr_auc": 0.6}}, None) == "b"
-    assert gate({"a": {"pr_auc": 0.5}}, {"pr_auc": 0.6}) is None
+    assert gate({"a": {"pr_auc": 0.5}}, {"pr_auc": 0.6}) == "old"
     assert gate({"a": {"pr_auc": 0.6}}, {"pr_auc": 0.6}) == "a"
     assert gate({"a": {"pr_auc": float("nan")}}, None) is None
-    assert gate({"a": {}}, {"pr_auc": 0.1}) is None
+    assert gate({"a": {}}, {"pr_auc": 0.1}) == "old"
     assert gate({"a": {"pr_auc": 0.1}}, {}) == "a"
     assert gate({"a": {"loss": 0.1}, "b": {"loss": 0.2}}, {"loss": 0.3}, "loss", False) == "a"
 
