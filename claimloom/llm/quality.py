@@ -32,8 +32,9 @@ WINDOW = 5
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Length guards: no verdict on the character histogram below GUARD_CHARS, on the word histogram below GUARD_WORDS.
 GUARD_CHARS, GUARD_WORDS = 200, 60
-#: Limits of the Jensen-Shannon distances (base 2, from 0 to 1), and the weight of the allowance for short texts.
-CHAR_LIMIT, WORD_LIMIT, NOISE = 0.25, 0.31, 0.5
+#: Limits of the Jensen-Shannon distances (base 2, from 0 to 1), and the weight of the allowance for short texts: 1 allows what
+#: sampling adds on average.
+CHAR_LIMIT, WORD_LIMIT, NOISE = 0.25, 0.31, 1.0
 #: Character classes; what is left are other ASCII characters, then all beyond ASCII.
 CLASSES = ("a-z", "A-Z", "0-9", r"\x20\x09-\x0D", r".,;:!?'\"()\-")
 COMMON_WORDS = {
