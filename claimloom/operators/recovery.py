@@ -20,8 +20,6 @@ STRATEGIES = {
     "highest_expected_recovery": "expected_recovery",
 }
 MAX_STAFF_HOURS = 10_000
-# Above this many workable rows a plan uses the global order instead of a per-strategy top-n.
-TOP_N_LIMIT = 10_000
 
 
 def with_recovery_scores(denied: DataFrame, model_probability: str | None = None) -> DataFrame:
@@ -104,9 +102,8 @@ def queue_page(queue: DataFrame, sort_by: str = "priority_score", limit: int = 5
 def worked_claims(scored: DataFrame, staff_hours: float) -> DataFrame:
     """(strategy, rank, claim) rows each strategy works within the staff budget.
 
-    Work stops at the first claim that does not fit. Every claim takes at least one
-    minute, so no more rows than budget minutes can be worked; up to TOP_N_LIMIT they
-    come from a per-strategy top-n, beyond it from the sliced global order.
+    Work stops at the first claim that does not fit; the running effort comes from the
+    sliced global order, so no task holds a strategy's rows.
     """
     if not 0 < staff_hours <= MAX_STAFF_HOURS:
         raise ValueError("staff_hours must be in (0, 10000]")
@@ -121,13 +118,7 @@ def worked_claims(scored: DataFrame, staff_hours: float) -> DataFrame:
     long = scored.select("claim_id", "expected_recovery", effort.alias("effort"), F.explode(options).alias("o")).select(
         "o.strategy", "o.score", "claim_id", "expected_recovery", "effort"
     )
-    if budget <= TOP_N_LIMIT:
-        order = Window.partitionBy("strategy").orderBy(F.col("score").desc(), F.col("claim_id").asc())
-        top = long.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= int(budget) + 1)
-        running = order.rowsBetween(Window.unboundedPreceding, 0)
-        ranked = top.withColumn("cum_effort", F.sum("effort").over(running))
-    else:
-        ranked = ordered_prefix(long, ["-score", "claim_id"], ["effort"], ["strategy"])
+    ranked = ordered_prefix(long, ["-score", "claim_id"], ["effort"], ["strategy"])
     return ranked.filter(F.col("cum_effort") <= budget).select(
         "strategy", F.col("pos").cast("bigint").alias("pos"), "claim_id", "expected_recovery", "effort"
     )

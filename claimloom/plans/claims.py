@@ -108,7 +108,9 @@ def next_best_action(t: Tables) -> DataFrame:
 
 @query
 def dashboard_totals(t: Tables) -> DataFrame:
-    return analytics.dashboard_totals(t.claims, t.denials)
+    status = F.when(F.col("claim_id") % 10 == 0, "EXECUTED").otherwise("PENDING_APPROVAL").alias("status")
+    actions = t.denials.filter(F.col("denial_reason_code").isNotNull()).select("claim_id").distinct().select("claim_id", status)
+    return analytics.dashboard_totals(t.claims, t.denials, workflow_actions=actions)
 
 
 @query

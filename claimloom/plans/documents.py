@@ -226,7 +226,7 @@ def workflow_decisions(t: Tables) -> DataFrame:
     )
     decision = F.when(F.col("event_type") == "view", "APPROVED").when(F.col("event_type") == "click", "REJECTED")
     decisions = t.raw("events").select(
-        (F.col("event_id") * 3 % 5000).alias("action_id"),
+        (F.floor(F.col("event_id") / 2) * 3).alias("action_id"),
         F.col("event_id").alias("decision_id"),
         F.coalesce(decision, F.lit("HOLD")).alias("decision"),
         F.col("user_id").alias("reviewer_id"),
@@ -262,7 +262,7 @@ def claim_messages(t: Tables) -> DataFrame:
         F.col("l_extendedprice").alias("claim_amount"),
         F.lit(None).cast("string").alias("claim_type"),
         F.array(line).alias("lines"),
-        F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key[:3]]), 256).alias("message_id"),
+        F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in key]), 256).alias("message_id"),
         F.col("l_linenumber").alias("arrival"),
     )
 

@@ -148,7 +148,7 @@ add(
     f"{_total_of('claim_amount', _d)} AS revenue_at_risk, {_total_of('claim_amount', _prev)} AS preventable_revenue, "
     f"{_total_of('claim_amount', f'{_d} AND NOT {_prev}')} AS recoverable_revenue, {_total_of('er', _d)} AS expected_recovery, "
     f"count(*) FILTER ({_d} AND claim_amount > 5000) AS high_priority_claims, {rnd(_rate, 4)} AS denial_rate, "
-    f"{rnd(f'1 - {_rate}', 4)} AS clean_claim_rate, cast(0 AS BIGINT) AS pending_human_review FROM all_scored",
+    f"{rnd(f'1 - {_rate}', 4)} AS clean_claim_rate, count(*) FILTER ({_d} AND claim_id % 10 <> 0) AS pending_human_review FROM all_scored",
 )
 _den, _exp = _total_of("claim_amount", _d), _total_of("er", f"{_d} AND er > 0")
 add(

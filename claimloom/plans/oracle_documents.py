@@ -298,7 +298,7 @@ add(
     "SELECT action_id, action_type, CASE WHEN ok THEN decision ELSE status END AS status, CASE WHEN ok THEN decision_id END AS decision_id, "
     "CASE WHEN ok THEN reviewer_id END AS reviewer_id FROM (SELECT *, coalesce(status = 'PENDING_APPROVAL' AND decision IN ('APPROVED', 'REJECTED'), false) AS ok FROM ("
     "SELECT claim_id AS action_id, action AS action_type, CASE WHEN claim_id % 10 = 0 THEN 'EXECUTED' ELSE 'PENDING_APPROVAL' END AS status FROM open_denials) "
-    "LEFT JOIN (SELECT event_id * 3 % 5000 AS action_id, arg_min(event_id, (ts, event_id)) AS decision_id, "
+    "LEFT JOIN (SELECT event_id // 2 * 3 AS action_id, arg_min(event_id, (ts, event_id)) AS decision_id, "
     "arg_min(CASE event_type WHEN 'view' THEN 'APPROVED' WHEN 'click' THEN 'REJECTED' ELSE 'HOLD' END, (ts, event_id)) AS decision, "
     "arg_min(user_id, (ts, event_id)) AS reviewer_id FROM events GROUP BY 1) USING (action_id))",
 )
@@ -309,7 +309,7 @@ ORACLE["audit_listing"] = ORACLE["audit_listing"].removeprefix("WITH \n")
 register(
     "msgs",
     "SELECT claim_number, arrival, message_id, min(amount) AS claim_amount FROM (SELECT 'CLM-' || l_orderkey AS claim_number, l_linenumber AS arrival, "
-    "sha256(concat_ws('|', l_linenumber, l_partkey, l_suppkey)) AS message_id, l_extendedprice AS amount FROM lineitem) GROUP BY ALL",
+    "sha256(concat_ws('|', l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax)) AS message_id, l_extendedprice AS amount FROM lineitem) GROUP BY ALL",
     [],
 )
 register("stored", "SELECT claim_number FROM base WHERE status = 'DENIED'", ["base"])
