@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,14 @@ def write_summary(summary: DataFrame, path: str, computed_at) -> None:
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """Latest summary row."""
     return spark.read.parquet(path).orderBy(F.col("computed_at").desc()).limit(1)
+
+
+def summary_state(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """One row: `state` and the named values of the latest summary, or "not computed" and nulls if none was ever written."""
+    try:
+        return read_summary(spark, path).select(F.lit("computed").alias("state"), *names)
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+    nothing = spark.range(1)
+    return nothing.select(F.lit("not computed").alias("state"), *[F.lit(None).cast("bigint").alias(n) for n in names])
