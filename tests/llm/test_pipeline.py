@@ -10,7 +10,7 @@ import tiktoken
 
 import corpus_pipeline
 from claimloom.llm import bpe, toxicity
-from tests.llm.test_documents import brute_hits, brute_spans, toxic_case
+from tests.llm.test_scans_and_rules import brute_hits, brute_spans, toxic_case
 from tests.llm.test_jaccard_join import brute as brute_components
 
 
