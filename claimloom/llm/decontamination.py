@@ -9,7 +9,7 @@ items meet in a shuffle join. A hit is looked up by one 64-bit hash and verified
 
 Defined results: a null or empty text has no words and is clean; a null or wordless item has no windows; repeated rows and
 repeated items are judged each on their own; an empty benchmark leaves every document clean; other columns of the inputs
-are kept (documents) or ignored (benchmark). Item ids may be of any type and are reported as strings.
+are kept (documents, but for one named `scan`) or ignored (benchmark). Item ids may be of any type and are reported as strings.
 """
 
 from __future__ import annotations
@@ -209,6 +209,7 @@ def scan(
     broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """`docs` with a column `scan`: word and hit counts, the items found, and the hit spans in code points."""
+    docs = docs.drop("scan")
     windows = benchmark_windows(benchmark, window, item_text, item)
     way = _scan_broadcast if windows.limit(broadcast_windows + 1).count() <= broadcast_windows else _scan_joined
     return way(docs, windows, text)

@@ -16,7 +16,8 @@ same gram need comparing. Neighbouring strings share anchors: the strings of one
 4. Ranges of repeated starts go back to their texts, whose covered bytes are removed.
 
 Defined results: null and empty texts and texts shorter than `length` keep all their bytes; repeated rows are copies of each
-other and lose all bytes if they are long enough; rows with equal texts get equal results; other columns are kept.
+other and lose all bytes if they are long enough; rows with equal texts get equal results; other columns are kept, but for
+those with the name of a result.
 """
 
 from __future__ import annotations
@@ -270,6 +271,7 @@ def _cut(docs: DataFrame, text: str, length: int) -> DataFrame:
 
 def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_kinds: int = BUCKET_KINDS) -> DataFrame:
     """`docs` without its text, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes)."""
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumn("_key", F.xxhash64(body))
     texts = docs.where(F.octet_length(F.col(text)) >= length).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))

@@ -58,7 +58,7 @@ def test_equals_every_string(spark, length, gram, bucket_kinds):
 
 
 def test_edge_tables(spark):
-    docs = spark.createDataFrame([(None, None, "k"), (1, "short", "k"), (1, "x" * 500, "m"), (2, "x" * 500, None)], "doc_id long, text string, key string")
+    docs = spark.createDataFrame([(None, None, "k"), (1, "short", "k"), (1, "x" * 500, "m"), (2, "x" * 500, None)], "doc_id long, text string, key string").withColumn("kept", F.lit(1))
     got = {(r["doc_id"], r["key"]): (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup(docs).collect()}
     assert got == {(None, "k"): (0, 0, 0, b""), (1, "k"): (5, 0, 0, b"short"), (1, "m"): (500, 500, 1, b""), (2, None): (500, 500, 1, b"")}
     assert suffixes.dedup(docs.limit(0)).count() == 0
