@@ -181,9 +181,12 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = PA
     lowest = F.ceil(F.col("n") * part / whole)
     k = 1 + F.floor((lowest - F.ceil(lowest * part / whole) + 1) / 4)
     able = met.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.sum(F.col("often").cast("int")).alias("often"), F.first("n").alias("n"))
-    able = materialize(able.where(F.col("met") >= k).select("node", "n", (F.col("often") >= k).alias("heavy")), "able")
+    # unshared tokens of the prefix, in parts of a thousand: low in the middle of a group of near copies
+    p = F.col("n") - F.ceil(F.col("n") * part / whole) + 1
+    rank = F.floor(1000 - 1000 * F.col("met") / F.least(F.col("n"), p + F.floor(p / 4)))
+    able = materialize(able.where(F.col("met") >= k).select("node", (F.col("often") >= k).alias("heavy"), rank.alias("rank")), "able")
     heavy = able.where("heavy").select("node")
-    single = met.where("not often").join(able.select("node"), "node", "left_semi").select("key", "node", "n")
+    single = met.where("not often").select("key", "node", "n").join(able.select("node", "rank"), "node").select("key", "node", "n", "rank")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         chosen = docs.join(narrowed(nodes.withColumnRenamed("node", id)), id, "left_semi")
@@ -191,7 +194,8 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = PA
 
     dense = materialize(sets_of(heavy), "sets")
     counted = dense.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > rare).select("h")
-    found = linked(single.union(_second_index(dense, counted, part, whole)), sets_of, part, whole)
+    second = _second_index(dense, counted, part, whole).join(able.select("node", "rank"), "node").select("key", "node", "n", "rank")
+    found = linked(single.union(second), sets_of, part, whole)
 
     named = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "set_key").join(named, "set_key", "left")

@@ -1,22 +1,29 @@
 """Components of a similarity graph from candidate buckets, without all pairs of a bucket.
 
 Input: sets (node, tokens: distinct 64-bit hashes) and buckets (key, node), such that any two sets that are similar enough
-meet in some bucket. Jaccard distance is a metric, which is what makes the following exact:
-
-1. Star: every member of a bucket is compared with the bucket's smallest node only. Links found here give first components.
-2. Rest: a member that is not linked with its bucket's star is compared with the bucket's other members, but for those already
-   in its component, those whose sizes forbid a link, and those whose distances to the star differ by more than the largest
-   distance of a link (triangle inequality). Members that are all linked with the star need no comparison: they share its
-   component.
-
-A large group of near copies costs about one comparison a member and bucket star. The star's row is found by an aggregate with
-map-side combine, and the joins on hot keys can be split by adaptive execution.
+meet in some bucket. Three steps give the exact components:
+
+1. Star: every member of a bucket is compared with the bucket's star only, the node of least rank (the caller ranks texts with
+   few unshared tokens first: the middle of a group of near copies). Members linked with their star need no comparison with
+   each other.
+2. Differences: for a member i that is not linked with its star s, let D(i) be the symmetric difference of i and s. The
+   difference of i and another member j is that of D(i) and D(j), so whether they are linked follows from |D(i)|, |D(j)| and the
+   size of their intersection. Differences are small, and only tokens that two members differ in matter for the intersection.
+   The unlinked members of a star meet its members in blocks of about BLOCK rows; the intersections of two blocks are a matrix
+   product. Rows are blocks, never pairs. Members with more than twice the differences that a link allows can only be linked
+   with other unlinked members whose differences are about as many; they are few and are paired within their buckets.
+3. Members whose size forbids a link with the star are paired with the members of the bucket whose size allows one.
+
+A large group of near copies costs about one comparison a member and star. Stars are found by an aggregate with map-side
+combine, and the joins on hot keys can be split by adaptive execution.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +32,9 @@ from claimloom.storage import materialize
 
 #: Rows of node ids up to which a list of nodes is broadcast to a scan; beyond that it is joined by shuffle.
 BROADCAST_NODES = 1_000_000
+#: Members of a block of step 2, and tokens of a matrix product at a time.
+BLOCK, TOKENS = 1_024, 4_096
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def narrowed(nodes: DataFrame) -> DataFrame:
@@ -36,12 +46,12 @@ def sizes_allow(a: Column, b: Column, part: int, whole: int) -> Column:
     return F.least(a, b) * whole >= F.greatest(a, b) * part
 
 
-def with_jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """`pairs` (a, b) with n_a, n_b and `common`, the size of the intersection."""
+def with_overlap(pairs: DataFrame, sets: DataFrame, *more: Column) -> DataFrame:
+    """`pairs` (a, b) with n_a, n_b, `common`, the size of the intersection, and `more` columns of tokens_a and tokens_b."""
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    both = pairs.join(left, "a").join(right, "b")
-    return both.select("a", "b", F.size("tokens_a").alias("n_a"), F.size("tokens_b").alias("n_b"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common"))
+    sizes = [F.size("tokens_a").alias("n_a"), F.size("tokens_b").alias("n_b"), F.size(F.array_intersect("tokens_a", "tokens_b")).alias("common")]
+    return pairs.join(left, "a").join(right, "b").select("a", "b", *sizes, *more)
 
 
 def is_link(part: int, whole: int) -> Column:
@@ -52,35 +62,102 @@ def is_link(part: int, whole: int) -> Column:
 def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
     """(node, component) of all nodes with a link: sets whose Jaccard similarity is at least part / whole.
 
-    `buckets` has key, node and n, the size of the node's set; `token_sets` gives the sets (node, tokens) of a list of nodes.
+    `buckets` has key, node, n, the size of the node's set, and rank, the same in all rows of a node: the least rank makes the
+    star. `token_sets` gives the sets (node, tokens) of a list of nodes.
     """
-    stars = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("star"), F.max("node").alias("last")).where("star.node < last")
+    stars = buckets.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("star"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     members = buckets.join(stars.select("key", F.col("star.node").alias("star"), F.col("star.n").alias("n_star")), "key").where("node <> star")
     members = materialize(members.select("key", "star", "n_star", "node", "n").distinct(), "members")
     fit = sizes_allow(F.col("n"), F.col("n_star"), part, whole)
     pairs = materialize(members.where(fit).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = materialize(with_jaccard(pairs, materialize(token_sets(nodes), "sets")).withColumn("link", is_link(part, whole)), "stars")
+    differences = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
+    first = with_overlap(pairs, materialize(token_sets(nodes), "sets"), differences.alias("d"))
+    # the most differences that a link of the member may have; a partner of a member with twice as many has under four times its own
+    most = F.floor((F.col("n_b") + F.floor(F.col("n_b") * whole / part)) * (whole - part) / (whole + part))
+    first = first.withColumns({"link": is_link(part, whole), "far": F.size("d").cast("bigint"), "most": most.cast("bigint")})
+    first = materialize(first.withColumn("d", F.when(F.col("far") <= 4 * F.col("most") + 4, F.col("d"))), "stars")
     links = first.where("link").select("a", "b")
-    loose = first.where("not link").select(F.col("a").alias("star"), F.col("b").alias("node")).union(members.where(~fit).select("star", "node")).distinct()
-    if loose.limit(1).count() == 0:
-        return components(links)
-
-    # distance to the star: known, or for sizes that forbid a link between `low` and 1
-    distance = 1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))
-    known = first.select(F.col("a").alias("star"), F.col("b").alias("node"), F.col("n_b").cast("bigint").alias("n"), distance.alias("low"), distance.alias("high"))
-    apart = members.where(~fit).select("star", "node", "n", (1 - F.least("n", "n_star") / F.greatest("n", "n_star")).alias("low"), F.lit(1.0).alias("high")).distinct()
-    before = materialize(components(links), "before")
-    facts = known.union(apart).join(before, "node", "left").select("star", "node", "n", "low", "high", F.coalesce("component", "node").alias("part_of"))
-    facts = materialize(facts, "facts")
-    outside = members.select("key", "star", "node").join(loose, ["star", "node"]).join(facts, ["star", "node"])
-    others = members.select("key", "star", "node").join(facts, ["star", "node"])
-    x, y = outside.drop("star").alias("x"), others.drop("star").alias("y")
-    most = 1 - part / whole + 1e-9
-    differ = (F.col("x.node") != F.col("y.node")) & (F.col("x.part_of") != F.col("y.part_of"))
-    near = (F.col("x.low") - F.col("y.high") <= most) & (F.col("y.low") - F.col("x.high") <= most)
-    again = x.join(y, F.col("x.key") == F.col("y.key")).where(differ & near & sizes_allow(F.col("x.n"), F.col("y.n"), part, whole))
-    again = materialize(again.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "pairs")
-    nodes = again.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    rest = with_jaccard(again, materialize(token_sets(nodes), "sets")).where(is_link(part, whole)).select("a", "b")
-    return components(links.union(rest))
+    outside = first.where("not link").select("a").distinct()
+    if outside.limit(1).count():
+        before = materialize(components(links), "before").select(F.col("node").alias("b"), "component")
+        facts = first.join(narrowed(outside), "a", "left_semi").join(before, "b", "left").select(
+            F.col("a").alias("star"), F.col("b").alias("node"), F.col("n_b").cast("bigint").alias("n"), "far", "most", "link", "d", F.coalesce("component", "b").alias("part_of")
+        )
+        facts = materialize(facts, "facts")
+        links = links.union(_by_differences(facts.where("d is not null"), part, whole))
+        links = links.union(_verified(_far_pairs(members, facts.where("not link").drop("d", "link"), part, whole), token_sets, part, whole))
+    apart = members.where(~fit)
+    if apart.limit(1).count():
+        links = links.union(_by_sizes(members, apart, token_sets, part, whole))
+    return components(links)
+
+
+def _far_pairs(members: DataFrame, loose: DataFrame, part: int, whole: int) -> DataFrame:
+    """Candidate pairs (a, b) of members far from their star with other unlinked members of a bucket."""
+    placed = members.select("key", "star", "node").join(loose, ["star", "node"]).drop("star")
+    x, y = placed.where("far > 2 * most").alias("x"), placed.alias("y")
+    differ = (F.col("x.node") != F.col("y.node")) & (F.col("x.part_of") != F.col("y.part_of")) & sizes_allow(F.col("x.n"), F.col("y.n"), part, whole)
+    bridged = F.abs(F.col("x.far") - F.col("y.far")) <= F.greatest("x.most", "y.most")
+    met = x.join(y, F.col("x.key") == F.col("y.key")).where(differ & bridged)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
+def _by_differences(facts: DataFrame, part: int, whole: int) -> DataFrame:
+    """Links (a, b) of step 2 from the members near their star. Sets of sizes n and m are linked exactly when their symmetric
+    difference is at most (n + m) * (whole - part) / (whole + part)."""
+    counts = facts.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    row = F.struct("node", "n", "far", "part_of", "d")
+    dealt = facts.join(counts, "star").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    x, y = (t.groupBy("star", "block").agg(F.collect_list(row).alias(k)) for t, k in ((dealt.where("not link and far <= 2 * most"), "x"), (dealt, "y")))
+    met = x.join(y.withColumnRenamed("block", "other"), "star").repartition(F.col("star"), F.col("block"), F.col("other")).select("x", "y")
+    kind = facts.schema["node"].dataType.simpleString()
+    away, all_ = whole - part, whole + part
+
+    def work(batches):
+        for batch in batches:
+            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n_x, far_x, n_y, far_y = (np.array([r[k] for r in rows]) for rows in (left, right) for k in ("n", "far"))
+                apart = far_x[:, None] + far_y[None, :] - 2 * _intersections([r["d"] for r in left], [r["d"] for r in right])
+                linked_ = apart * all_ <= (n_x[:, None] + n_y[None, :]) * away
+                part_of = np.unique([r["part_of"] for r in left + right], return_inverse=True)[1]
+                linked_ &= part_of[: len(left), None] != part_of[None, len(left) :]
+                i, j = np.nonzero(linked_)
+                yield pa.RecordBatch.from_pydict({"a": [left[k]["node"] for k in i], "b": [right[k]["node"] for k in j]}, schema)
+
+    schema = pa.schema([("a", _ARROW[kind]), ("b", _ARROW[kind])])
+    return met.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+
+
+def _intersections(left: list[list[int]], right: list[list[int]]) -> np.ndarray:
+    """Sizes of the intersections of each list of `left` with each of `right`, by products of 0/1 matrices."""
+    sizes = [np.array([len(x) for x in rows]) for rows in (left, right)]
+    owners = [np.repeat(np.arange(len(s)), s) for s in sizes]
+    tokens = [np.array([t for x in rows for t in x], np.int64) for rows in (left, right)]
+    common = np.intersect1d(*tokens)
+    out = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, len(common), TOKENS):
+        some = common[first : first + TOKENS]
+        grids = []
+        for rows, owner, values in zip((left, right), owners, tokens, strict=True):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            held = some[at] == values
+            grid = np.zeros((len(rows), len(some)), np.float32)
+            grid[owner[held], at[held]] = 1
+            grids.append(grid)
+        out += grids[0] @ grids[1].T
+    return out.astype(np.int64)
+
+
+def _by_sizes(members: DataFrame, apart: DataFrame, token_sets: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+    """Links (a, b) of step 3."""
+    x, y = apart.select("key", "node", "n").alias("x"), members.select("key", "node", "n").alias("y")
+    pairs = x.join(y, F.col("x.key") == F.col("y.key")).where((F.col("x.node") != F.col("y.node")) & sizes_allow(F.col("x.n"), F.col("y.n"), part, whole))
+    return _verified(pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), token_sets, part, whole)
+
+
+def _verified(pairs: DataFrame, token_sets: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+    """The links among candidate pairs (a, b)."""
+    pairs = materialize(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return with_overlap(pairs, materialize(token_sets(nodes), "sets")).where(is_link(part, whole)).select("a", "b")
