@@ -10,8 +10,8 @@ meet in some bucket. Three steps give the exact components:
    difference of i and another member j is that of D(i) and D(j), so whether they are linked follows from |D(i)|, |D(j)| and the
    size of their intersection. Differences are small, and only tokens that two members differ in matter for the intersection.
    The unlinked members of a star meet its members in blocks of about BLOCK rows; the intersections of two blocks are a matrix
-   product. Rows are blocks, never pairs. Members with more than twice the differences that a link allows can only be linked
-   with other unlinked members whose differences are about as many; they are few and are paired within their buckets.
+   product. Rows are blocks, never pairs. Members with more differences than a member linked with both could have can only be
+   linked with other unlinked members whose differences are about as many; they are few and are paired within their buckets.
 3. Members whose size forbids a link with the star are paired with the members of the bucket whose size allows one.
 
 A large group of near copies costs about one comparison a member and star. Stars are found by an aggregate with map-side
@@ -73,16 +73,21 @@ def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], par
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     differences = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
     first = with_overlap(pairs, materialize(token_sets(nodes), "sets"), differences.alias("d"))
-    # the most differences that a link of the member may have; a partner of a member with twice as many has under four times its own
-    most = F.floor((F.col("n_b") + F.floor(F.col("n_b") * whole / part)) * (whole - part) / (whole + part))
-    first = first.withColumns({"link": is_link(part, whole), "far": F.size("d").cast("bigint"), "most": most.cast("bigint")})
-    first = materialize(first.withColumn("d", F.when(F.col("far") <= 4 * F.col("most") + 4, F.col("d"))), "stars")
+    # With n and m the sizes, a link allows (n + m) * share differences, and linked sizes are at most whole / part apart.
+    # most: those of any link of the member; near: those of a member with a partner that is linked with the star;
+    # wide: those of any partner of a near member. A member that is not near has unlinked partners only.
+    share = lambda n: F.floor(n * (whole - part) / (whole + part)).cast("bigint")
+    largest = lambda n: F.floor(n * whole / part)
+    n, partner = F.col("n_b"), largest(F.col("n_b"))
+    bounds = {"most": share(n + partner), "near": share(n + 2 * partner + F.col("n_a")), "wide": share(n + 2 * partner + 2 * largest(partner) + F.col("n_a"))}
+    first = first.withColumns({"link": is_link(part, whole), "far": F.size("d").cast("bigint"), **bounds})
+    first = materialize(first.withColumn("d", F.when(F.col("far") <= F.col("wide"), F.col("d"))).drop("wide"), "stars")
     links = first.where("link").select("a", "b")
     outside = first.where("not link").select("a").distinct()
     if outside.limit(1).count():
         before = materialize(components(links), "before").select(F.col("node").alias("b"), "component")
         facts = first.join(narrowed(outside), "a", "left_semi").join(before, "b", "left").select(
-            F.col("a").alias("star"), F.col("b").alias("node"), F.col("n_b").cast("bigint").alias("n"), "far", "most", "link", "d", F.coalesce("component", "b").alias("part_of")
+            F.col("a").alias("star"), F.col("b").alias("node"), F.col("n_b").cast("bigint").alias("n"), "far", "most", "near", "link", "d", F.coalesce("component", "b").alias("part_of")
         )
         facts = materialize(facts, "facts")
         links = links.union(_by_differences(facts.where("d is not null"), part, whole))
@@ -96,7 +101,7 @@ def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], par
 def _far_pairs(members: DataFrame, loose: DataFrame, part: int, whole: int) -> DataFrame:
     """Candidate pairs (a, b) of members far from their star with other unlinked members of a bucket."""
     placed = members.select("key", "star", "node").join(loose, ["star", "node"]).drop("star")
-    x, y = placed.where("far > 2 * most").alias("x"), placed.alias("y")
+    x, y = placed.where("far > near").alias("x"), placed.alias("y")
     differ = (F.col("x.node") != F.col("y.node")) & (F.col("x.part_of") != F.col("y.part_of")) & sizes_allow(F.col("x.n"), F.col("y.n"), part, whole)
     bridged = F.abs(F.col("x.far") - F.col("y.far")) <= F.greatest("x.most", "y.most")
     met = x.join(y, F.col("x.key") == F.col("y.key")).where(differ & bridged)
@@ -109,7 +114,7 @@ def _by_differences(facts: DataFrame, part: int, whole: int) -> DataFrame:
     counts = facts.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     row = F.struct("node", "n", "far", "part_of", "d")
     dealt = facts.join(counts, "star").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    x, y = (t.groupBy("star", "block").agg(F.collect_list(row).alias(k)) for t, k in ((dealt.where("not link and far <= 2 * most"), "x"), (dealt, "y")))
+    x, y = (t.groupBy("star", "block").agg(F.collect_list(row).alias(k)) for t, k in ((dealt.where("not link and far <= near"), "x"), (dealt, "y")))
     met = x.join(y.withColumnRenamed("block", "other"), "star").repartition(F.col("star"), F.col("block"), F.col("other")).select("x", "y")
     kind = facts.schema["node"].dataType.simpleString()
     away, all_ = whole - part, whole + part
