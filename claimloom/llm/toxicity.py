@@ -1,12 +1,15 @@
 """Toxicity scores: Levenshtein automata intersected with a lexicon trie, and context windows around each hit.
 
 Lexicon. Learned from labelled texts: whole words, and stems (word beginnings of 4 to 6 characters) that stand for all their
-endings, kept when a likelihood-ratio test ties them to toxic texts. Whole words of at least FUZZY_LENGTH characters match
+endings, kept when a likelihood-ratio test ties them to toxic texts. Copies of a text count once, and a term counts in as
+many texts as have it beside different words, so the words of one group of copies or near copies are not learned. The lexicon has as many
+terms as pass; the sampled texts are its only bound. Whole words of at least FUZZY_LENGTH characters match
 within one edit, so misspelled forms are caught; other terms match exactly.
 
 Matching. The trie of all terms is walked together with the Levenshtein automaton of each term; the sets of (trie node, edits)
-reached are the states of one deterministic automaton, built once on the driver and broadcast. Its size is bounded by the
-lexicon's (LEXICON_TERMS). Tasks run all words of a block through the table at once; most words leave it after a few characters.
+reached are the states of one deterministic automaton, built once on the driver and broadcast. An automaton holds GROUP_TERMS
+terms at most; a larger lexicon has several of them, each of bounded size, and a word's best match counts. Tasks run all words of
+a block through a table at once; most words leave it after a few characters.
 
 Context. For each hit the words around it decide its part: inside quotation marks or beside a verb of reporting it counts as
 quoted, beside a second person as directed. A logistic model over counts of exact, misspelled, stem, quoted and directed hits,
@@ -27,6 +30,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +45,13 @@ from claimloom.storage import materialize
 
 #: Bound of the labelled rows that are learned from.
 SAMPLE_ROWS = 20_000
-#: Bound of the lexicon, and with it of the automaton.
-LEXICON_TERMS = 96
+#: Terms of one automaton.
+GROUP_TERMS = 96
 STEM_LENGTHS = (4, 5, 6)
 #: Least likelihood-ratio statistic and least odds ratio of a term.
 EVIDENCE, ODDS = 30.0, 10.0
-#: Least share of the toxic texts with a term; words of a single group of copies stay below it.
-SUPPORT = 0.03
+#: Least number of toxic texts that have a term in different surroundings.
+SUPPORT = 5
 FUZZY_LENGTH = 5
 #: Words on either side of a hit that make its context, and words in which the densest hits are counted.
 CONTEXT, DENSE = 8, 50
@@ -173,13 +177,37 @@ class Automaton:
         return hits[order], terms[order], edits[order]
 
 
+class Lexicon:
+    """Automata of at most GROUP_TERMS terms each; of a word's matches a stem goes first, then the fewest edits."""
+
+    def __init__(self, terms: Sequence[Term]):
+        self.terms = list(terms)
+        self.stems = np.array([t.stem for t in self.terms], bool)
+        order = sorted(range(len(self.terms)), key=lambda k: self.terms[k].text)  # terms with a common beginning share states
+        groups = [order[k : k + GROUP_TERMS] for k in range(0, len(order), GROUP_TERMS)]
+        self.parts = [(np.array(g), Automaton([self.terms[k] for k in g])) for g in groups]
+
+    def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As Automaton.match, over all terms."""
+        none = np.zeros(0, np.int64)
+        found = [(none, none, none)]
+        for numbers, automaton in self.parts:
+            hits, terms, edits = automaton.match(codes, starts, ends)
+            found.append((hits, numbers[terms], edits))
+        hits, terms, edits = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((terms, edits, ~self.stems[terms], hits))
+        hits, terms, edits = hits[order], terms[order], edits[order]
+        best = np.append(True, hits[1:] != hits[:-1])[: len(hits)]
+        return hits[best], terms[best], edits[best]
+
+
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(code points of all texts one after another, offsets); those beyond the first plane as its last code."""
     joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.minimum(joined, _TOP - 1), np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
 
 
-def _features(texts: list[str], automaton: Automaton) -> np.ndarray:
+def _features(texts: list[str], automaton: Lexicon) -> np.ndarray:
     """A row of FEATURES for each lower-cased text."""
     out = np.zeros((len(texts), len(FEATURES)))
     codes, offsets = _codes(texts)
@@ -242,42 +270,76 @@ def training_rows(docs: DataFrame, labels: DataFrame, id: str, text: str, label:
     return materialize(found, "toxicity_rows")
 
 
-def learn_lexicon(rows: DataFrame, terms: int = LEXICON_TERMS) -> list[Term]:
-    """Words and stems tied to label 1, strongest first, at most `terms`."""
+def _forms(word: str) -> list[str]:
+    """The terms that a word counts for: itself and its stems, marked by a star."""
+    return [word, *(word[:n] + "*" for n in STEM_LENGTHS if len(word) > n)] if 3 <= len(word) <= 24 else []
+
+
+def _words(texts: list[str]):
+    """The words of each text."""
+    codes, offsets = _codes(texts)
+    starts, ends, owner = arrays.cut_words(codes, offsets, _WORD)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for row, text in enumerate(texts):
+        own = slice(first[row], first[row + 1])
+        yield [text[x:y] for x, y in zip((starts[own] - offsets[row]).tolist(), (ends[own] - offsets[row]).tolist(), strict=True)]
+
+
+def _surroundings(texts: DataFrame, terms: Sequence[str]) -> dict[str, int]:
+    """Of each term: in how many different surroundings the texts hold it. A text stands for the one pair of words beside the
+    term that has the least hash, which near copies share."""
+    shared = texts.sparkSession.sparkContext.broadcast(frozenset(terms))
+
+    def run(batches):
+        for batch in batches:
+            seen = set()
+            for words in (words for block in _blocks(batch.column(0)) for words in _words(block)):
+                least: dict[str, int] = {}
+                for before, word, after in zip(["", *words[:-1]], words, [*words[1:], ""], strict=True):
+                    held = [form for form in _forms(word) if form in shared.value]
+                    pair = int.from_bytes(blake2b(f"{before} {after}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) if held else 0
+                    least.update({form: min(pair, least.get(form, pair)) for form in held})
+                seen |= set(least.items())
+            names, pairs = [x for x, _ in seen], [x for _, x in seen]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pairs, pa.int64())], names=["term", "pair"])
+
+    found = texts.select("text").mapInArrow(run, "term string, pair bigint")
+    return dict(found.distinct().groupBy("term").count().collect())
+
+
+def learn_lexicon(rows: DataFrame) -> list[Term]:
+    """Words and stems tied to label 1, most frequent first."""
+    rows = materialize(rows.groupBy("text").agg((F.max("label") == 1).cast("int").alias("label")), "toxicity_texts")
     totals = dict(rows.groupBy("label").count().collect())
-    toxic, clean = totals.get(1, 0), sum(n for label, n in totals.items() if label != 1)
+    toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return []
 
     def count(batches):
         for batch in batches:
-            labels = batch.column(1).to_pylist()
-            at = 0
+            labels = iter(batch.column(1).to_pylist())
             tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for texts in _blocks(batch.column(0)):
-                codes, offsets = _codes(texts)
-                starts, ends, owner = arrays.cut_words(codes, offsets, _WORD)
-                first = np.searchsorted(owner, np.arange(len(texts) + 1))
-                for row, text in enumerate(texts):
-                    a, b = first[row], first[row + 1]
-                    own = set(zip((starts[a:b] - offsets[row]).tolist(), (ends[a:b] - offsets[row]).tolist(), strict=True))
-                    words = {text[x:y] for x, y in own if 3 <= y - x <= 24}
-                    stems = {word[:n] + "*" for word in words for n in STEM_LENGTHS if len(word) > n}
-                    tally[int(labels[at + row] == 1)].update(words | stems)
-                at += len(texts)
+                for words in _words(texts):
+                    tally[next(labels)].update({form for word in set(words) for form in _forms(word)})
             names = list(tally[0].keys() | tally[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][x] for x in names], pa.int64()), pa.array([tally[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
 
     counted = rows.mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     share = toxic / (toxic + clean)
+
+    def tied(a: int, b: int) -> bool:
+        if a < SUPPORT:
+            return False
+        evidence = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0.0))
+        return evidence >= EVIDENCE and (a + 0.5) * (clean + 1) >= ODDS * (b + 0.5) * (toxic + 1)
+
+    # the odds alone leave few terms; a sample of SAMPLE_ROWS texts bounds them
     a, b = F.col("a"), F.col("b")
-    n = a + b
-    evidence = 2 * (a * F.log(a / (n * share)) + F.when(b > 0, b * F.log(b / (n * (1 - share)))).otherwise(0.0))
-    odds = ((a + 0.5) / (toxic + 1)) / ((b + 0.5) / (clean + 1))
-    strong = counted.where(a >= max(1, math.ceil(SUPPORT * toxic))).withColumns({"evidence": evidence, "odds": odds}).where((F.col("evidence") >= EVIDENCE) & (F.col("odds") >= ODDS))
-    # eight forms a term at most: a word and its stems, and the like
-    found = strong.orderBy(F.desc("evidence"), "term").limit(8 * terms).select("term", "a", "odds").collect()
-    support = {r["term"]: r["a"] for r in found}
+    usual = counted.where((a >= SUPPORT) & ((a + 0.5) * (clean + 1) >= ODDS * (b + 0.5) * (toxic + 1))).collect()
+    seen = {r["term"]: (r["a"], r["b"]) for r in usual if tied(r["a"], r["b"])}
+    varied = _surroundings(rows.where("label = 1"), list(seen)) if seen else {}
+    support = {x: min(a, varied.get(x, 0)) for x, (a, b) in seen.items() if tied(min(a, varied.get(x, 0)), b)}
     words = {x for x in support if not x.endswith("*")}
     stems = {x[:-1] for x in support if x.endswith("*")}
     # a stem that is little more than one of its words gives way to the word; a longer stem or word to a shorter stem
@@ -285,7 +347,7 @@ def learn_lexicon(rows: DataFrame, terms: int = LEXICON_TERMS) -> list[Term]:
     shortest = {x for x in stems if not any(x[:n] in stems for n in STEM_LENGTHS if n < len(x))}
     words = {w for w in words if not any(w[:n] in shortest for n in STEM_LENGTHS)}
     ranked = sorted([(-support[w], w, False) for w in words] + [(-support[s + "*"], s, True) for s in shortest])
-    return [Term(text, stem) for _, text, stem in ranked[:terms]]
+    return [Term(text, stem) for _, text, stem in ranked]
 
 
 @dataclass(frozen=True)
@@ -301,7 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     terms = learn_lexicon(rows)
     if not terms:
         return Model((), (0.0,) * len(FEATURES), -math.inf)
-    shared = docs.sparkSession.sparkContext.broadcast(Automaton(terms))
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon(terms))
 
     def run(batches):
         for batch in batches:
@@ -319,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with a column `out`: the probability of label 1."""
-    shared = docs.sparkSession.sparkContext.broadcast((Automaton(model.terms), np.array(model.weights), model.intercept))
+    shared = docs.sparkSession.sparkContext.broadcast((Lexicon(model.terms), np.array(model.weights), model.intercept))
 
     def run(batches):
         automaton, weights, intercept = shared.value
