@@ -4,7 +4,8 @@ Lexicon. Learned from labelled texts: whole words, and stems (word beginnings of
 endings, kept when a likelihood-ratio test ties them to toxic texts. Copies of a text count once, and a term counts in as
 many texts as have it beside different words, so the words of one group of copies or near copies are not learned. The lexicon has as many
 terms as pass; the sampled texts are its only bound. Whole words of at least FUZZY_LENGTH characters match
-within one edit, so misspelled forms are caught; other terms match exactly.
+within one edit (a letter more, less or other, or two neighbours swapped), so misspelled forms are caught; other terms match
+exactly. The learned words of a stem stay in the lexicon for their misspelled forms.
 
 Matching. The trie of all terms is walked together with the Levenshtein automaton of each term; the sets of (trie node, edits)
 reached are the states of one deterministic automaton, built once on the driver and broadcast. An automaton holds GROUP_TERMS
@@ -79,10 +80,11 @@ class Automaton:
     """The deterministic automaton of all words within the terms' edit distances.
 
     `table[state, character class]` is the next state, 0 the dead one. `word_term`, `word_edits` tell what a word that ends in
-    a state matches (-1: nothing); `stem_term` tells which stem has been read when a state is reached.
+    a state matches (-1: nothing); `stem_term` tells which stem has been read when a state is reached. With `swaps`, two swapped
+    neighbours are one edit.
     """
 
-    def __init__(self, terms: Sequence[Term]):
+    def __init__(self, terms: Sequence[Term], swaps: bool = False):
         self.terms = list(terms)
         children: list[dict[str, int]] = [{}]
         ends: list[list[int]] = [[]]
@@ -104,8 +106,11 @@ class Automaton:
             if ord(letter) < _TOP:
                 self.classes[ord(letter)] = number
 
-        def closed(reached: dict[int, int]) -> frozenset[tuple[int, int]]:
-            todo = list(reached.items())
+        # a place is a node of the trie, or (node, letter) when the letters before the node are swapped and one is to come
+        Place = int | tuple[int, str]
+
+        def closed(reached: dict[Place, int]) -> frozenset[tuple[Place, int]]:
+            todo = [(place, edits) for place, edits in reached.items() if isinstance(place, int)]
             while todo:
                 node, edits = todo.pop()
                 for child in children[node].values():  # a letter of the term is missing in the word
@@ -114,14 +119,22 @@ class Automaton:
                         todo.append((child, edits + 1))
             return frozenset(reached.items())
 
-        def step(state: frozenset[tuple[int, int]], letter: str | None) -> frozenset[tuple[int, int]]:
-            reached: dict[int, int] = {}
+        def step(state: frozenset[tuple[Place, int]], letter: str | None) -> frozenset[tuple[Place, int]]:
+            reached: dict[Place, int] = {}
 
-            def offer(node: int, edits: int) -> None:
-                if edits <= allowed[node] and edits < reached.get(node, 9):
-                    reached[node] = edits
+            def offer(node: int, edits: int, due: str | None = None) -> None:
+                place = node if due is None else (node, due)
+                if edits <= allowed[node] and edits < reached.get(place, 9):
+                    reached[place] = edits
 
             for node, edits in state:
+                if not isinstance(node, int):
+                    if node[1] == letter:
+                        offer(node[0], edits)
+                    continue
+                for own, child in children[node].items():
+                    if swaps and own != letter and letter in children[child]:
+                        offer(children[child][letter], edits + 1, own)
                 offer(node, edits + 1)  # a letter too many in the word
                 for own, child in children[node].items():
                     offer(child, edits + (own != letter))
@@ -142,10 +155,10 @@ class Automaton:
         self.table = np.array(rows, np.int32).reshape(len(order), len(letters) + 1)
         self.word_term, self.word_edits, self.stem_term = (np.full(len(order), -1, np.int32) for _ in range(3))
         for number, state in enumerate(order):
-            whole = [(edits, k) for node, edits in state for k in ends[node] if not self.terms[k].stem and edits <= self.terms[k].edits]
+            whole = [(edits, k) for node, edits in state if isinstance(node, int) for k in ends[node] if not self.terms[k].stem and edits <= self.terms[k].edits]
             if whole:
                 self.word_edits[number], self.word_term[number] = min(whole)
-            stems = [k for node, edits in state for k in ends[node] if self.terms[k].stem and edits == 0]
+            stems = [k for node, edits in state if isinstance(node, int) for k in ends[node] if self.terms[k].stem and edits == 0]
             if stems:
                 self.stem_term[number] = min(stems)
 
@@ -185,7 +198,7 @@ class Lexicon:
         self.stems = np.array([t.stem for t in self.terms], bool)
         order = sorted(range(len(self.terms)), key=lambda k: self.terms[k].text)  # terms with a common beginning share states
         groups = [order[k : k + GROUP_TERMS] for k in range(0, len(order), GROUP_TERMS)]
-        self.parts = [(np.array(g), Automaton([self.terms[k] for k in g])) for g in groups]
+        self.parts = [(np.array(g), Automaton([self.terms[k] for k in g], swaps=True)) for g in groups]
 
     def match(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As Automaton.match, over all terms."""
@@ -216,6 +229,11 @@ def _features(texts: list[str], automaton: Lexicon) -> np.ndarray:
     out[:, FEATURES.index("long")] = np.log1p(n_words)
     hits, terms, edits = automaton.match(codes, starts, ends)
     rows = owner[hits]
+    # quotation marks before each place; an odd number between the line's begin and a hit leaves it quoted
+    marks = np.concatenate(([0], np.cumsum(np.isin(codes, [ord(mark) for mark in QUOTES]))))
+    line_ends = np.flatnonzero(codes == 10) + 1
+    lines = np.append(line_ends, 0)[np.searchsorted(line_ends, starts[hits], "right") - 1]
+    opened = (marks[starts[hits]] - marks[np.maximum(lines, offsets[rows])]) % 2 == 1
     for row in np.unique(rows).tolist():
         own = np.flatnonzero(rows == row)
         text, shift = texts[row], int(offsets[row])
@@ -225,10 +243,7 @@ def _features(texts: list[str], automaton: Lexicon) -> np.ndarray:
             hit = int(hits[k])
             low, high = max(first, hit - CONTEXT), min(last, hit + CONTEXT + 1)
             around = {text[starts[j] - shift : ends[j] - shift] for j in range(low, high) if j != hit}
-            begin = int(starts[hit]) - shift
-            line = text[text.rfind("\n", 0, begin) + 1 : begin] if begin < 2000 else text[max(text.rfind("\n", 0, begin) + 1, begin - 2000) : begin]
-            opened = sum(line.count(mark) for mark in QUOTES) % 2 == 1
-            if opened or around & REPORTING:
+            if opened[k] or around & REPORTING:
                 quoted += 1
             if around & SECOND_PERSON:
                 directed += 1
@@ -345,7 +360,8 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     # a stem that is little more than one of its words gives way to the word; a longer stem or word to a shorter stem
     stems = {x for x in stems if all(support[w] < 0.9 * support[x + "*"] for w in words if w.startswith(x))}
     shortest = {x for x in stems if not any(x[:n] in stems for n in STEM_LENGTHS if n < len(x))}
-    words = {w for w in words if not any(w[:n] in shortest for n in STEM_LENGTHS)}
+    # a stem's words that are too short for misspelled forms have nothing to add to it
+    words = {w for w in words if len(w) >= FUZZY_LENGTH or not any(w[:n] in shortest for n in STEM_LENGTHS)}
     ranked = sorted([(-support[w], w, False) for w in words] + [(-support[s + "*"], s, True) for s in shortest])
     return [Term(text, stem) for _, text, stem in ranked]
 
