@@ -3,7 +3,7 @@
 Explicit rules decide first: a rule names a host (and so its subdomains) and a path prefix; the longest fitting rule wins.
 Pages without a fitting rule take part in redirect equivalence: nodes are canonical URLs, edges come from canonical links
 and refresh redirects in the HTML and from the URL forms that redirect to the same place (scheme, default port, fragment,
-tracking and paging parameters, trailing slash, `.html`, `www.` and `m.` hosts). Block decisions of explicit rules spread
+the whole query as in the SQL counterpart, trailing slash, `.html`, `www.` and `m.` hosts). Block decisions of explicit rules spread
 over each connected component. Allow takes precedence: a component in which any URL is explicitly allowed passes no block on,
 and an explicitly allowed page stays allowed in any component.
 
@@ -76,7 +76,7 @@ def _targets(html: Column, url: Column, host: Column) -> Column:
         F.transform(F.regexp_extract_all(html, F.lit(CANONICAL_TAG), 0), lambda t: F.regexp_extract(t, HREF, 1)),
         F.transform(F.regexp_extract_all(html, F.lit(REFRESH_TAG), 0), lambda t: F.regexp_extract(t, REFRESH_URL, 1)),
     )
-    found = F.when(html.contains("canonical") | F.lower(html).contains("refresh") | html.contains("CANONICAL"), raw).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.lower(html).contains("canonical") | F.lower(html).contains("refresh"), raw).otherwise(F.array().cast("array<string>"))
     scheme = F.regexp_extract(url, r"(?s)^(.*?://)", 1)
     absolute = F.transform(
         F.filter(found, lambda t: t != ""),
