@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,3 +15,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def total(values: Column, start: Column) -> Column:
     return F.aggregate(values, start, lambda a, x: a + x)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where `df` has columns of that name."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return out

@@ -12,7 +12,8 @@ same gram need comparing. Neighbouring strings share anchors: the strings of one
    bytes with sampled splitters, and sorted in each bucket by multikey quicksort over machine words; neighbours that agree on
    all bytes are repeats. Splitters are leading bytes of whole grams, so equal grams never lie on both sides of a bucket's
    boundary; `_sorted_groups` carries a group over the boundaries of Arrow batches. A gram with more than BUCKET_KINDS kinds
-   does not fit a bucket: its strings are dealt by hash and counted instead, with map-side combine, and give the same answer.
+   or BUCKET_STRINGS strings does not fit a bucket: its strings are dealt by hash and counted instead, with map-side combine,
+   and give the same answer.
 4. Ranges of repeated starts go back to their texts, whose covered bytes are removed.
 
 Defined results: null and empty texts and texts shorter than `length` keep all their bytes; repeated rows are copies of each
@@ -28,16 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import arrays
+from claimloom.llm.columns import unused
 from claimloom.llm.linking import BROADCAST_NODES
 from claimloom.storage import materialize
 
 LENGTH, GRAM = 400, 128
-#: Kinds of runs of one gram that a bucket takes at once.
-BUCKET_KINDS = 4_096
+#: Kinds of runs of one gram, and their strings, that a bucket takes at once.
+BUCKET_KINDS, BUCKET_STRINGS = 4_096, 100_000
 #: Leading bytes by which suffixes are range-partitioned.
 LEADING = 24
-#: Strings that are sorted at a time in a task.
-SORT_STRINGS = 400_000
+#: Strings that are sorted at a time in a task, before the rest of the last gram; neighbours compared at a time.
+SORT_STRINGS, COMPARED = 50_000, 2_000
 _LOW = np.uint64(0xFFFFFFFF)
 RUNS = "key bigint, n_bytes bigint, first int, last int, h bigint, c bigint"
 
@@ -144,10 +146,10 @@ def repeated_starts(pieces: list[bytes], groups: np.ndarray, length: int) -> lis
     order, equal = multikey_sort(np.stack([groups[owner].astype(np.uint64), word(0), word(8), rest], axis=1))
     # neighbours that agree on the last, hashed symbol are compared byte by byte
     pair = np.flatnonzero(equal)
-    for part in np.array_split(pair, max(1, len(pair) // 50_000)):
-        left, right = at[order[part - 1]], at[order[part]]
-        span = np.arange(length)
-        equal[part] = (data[left[:, None] + span] == data[right[:, None] + span]).all(axis=1)
+    strings = np.lib.stride_tricks.sliding_window_view(data, length) if len(pair) else data
+    for first in range(0, len(pair), COMPARED):
+        part = pair[first : first + COMPARED]
+        equal[part] = (strings[at[order[part - 1]]] == strings[at[order[part]]]).all(axis=1)
     found = np.zeros(len(owner), bool)
     found[order[equal]] = True
     found[order[np.flatnonzero(equal) - 1]] = True
@@ -164,7 +166,7 @@ def repeated_starts(pieces: list[bytes], groups: np.ndarray, length: int) -> lis
     return out
 
 
-def _sorted_groups(batches, limit: int):
+def _sorted_groups(batches, limit: int, length: int):
     """Lists of (h, c, piece) rows of whole groups, about `limit` strings at a time, from batches sorted by group."""
     held, strings = [], 0
     for batch in batches:
@@ -173,7 +175,7 @@ def _sorted_groups(batches, limit: int):
                 yield held
                 held, strings = [], 0
             held.append((h, c, piece))
-            strings += len(piece) - LENGTH + 1 if len(piece) > LENGTH else 1
+            strings += len(piece) - length + 1
     if held:
         yield held
 
@@ -185,7 +187,7 @@ def _sort_buckets(pieces: DataFrame, length: int) -> DataFrame:
     """(h, c, ranges) from pieces (h, c, piece, lead): range partitions, sorted, neighbours compared."""
 
     def work(batches):
-        for rows in _sorted_groups(batches, SORT_STRINGS):
+        for rows in _sorted_groups(batches, SORT_STRINGS, length):
             h = np.array([r[0] for r in rows])
             found = repeated_starts([r[2] for r in rows], np.cumsum(np.append(0, h[1:] != h[:-1])), length)
             kept = [k for k, ranges in enumerate(found) if ranges]
@@ -241,8 +243,8 @@ def _pieces(texts: DataFrame, wanted: DataFrame, length: int, gram: int) -> Data
     return once.select("text", "want").mapInArrow(work, "h bigint, c bigint, piece binary, lead binary").dropDuplicates(["h", "c"])
 
 
-def _cut(docs: DataFrame, text: str, length: int) -> DataFrame:
-    """`docs` with n_bytes, n_removed, n_spans and kept (binary) from the column `_starts`, sorted ranges of starts."""
+def _cut(docs: DataFrame, text: str, starts: str, length: int) -> DataFrame:
+    """`docs` with n_bytes, n_removed, n_spans and kept (binary) from the column `starts`, sorted ranges of starts."""
 
     def work(batches):
         for batch in batches:
@@ -263,36 +265,43 @@ def _cut(docs: DataFrame, text: str, length: int) -> DataFrame:
             columns = [pa.array([m[k] for m in made], pa.int64() if k < 3 else pa.binary()) for k in range(4)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names=[*batch.schema.names[:-2], "n_bytes", "n_removed", "n_spans", "kept"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(text, "_starts").schema.fields]
-    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (text, "_starts")], F.coalesce(F.col(text), F.lit("")).alias("_text"), "_starts").mapInArrow(
+    kept = [f for f in docs.schema.fields if f.name not in (text, starts)]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+    body = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept], body.alias("_1"), F.col(starts).alias("_2")).mapInArrow(
         work, ", ".join([*fields, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"])
     )
 
 
-def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_kinds: int = BUCKET_KINDS) -> DataFrame:
+def dedup(
+    docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, bucket_kinds: int = BUCKET_KINDS, bucket_strings: int = BUCKET_STRINGS
+) -> DataFrame:
     """`docs` without its text, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the remaining bytes)."""
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(body))
-    texts = docs.where(F.octet_length(F.col(text)) >= length).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
+    long_ = F.coalesce(F.octet_length(F.col(text)) >= length, F.lit(False))
+    texts = docs.where(long_).select(F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
     all_runs = materialize(runs(texts, length, gram), "runs")
     # all rows of a (h, c) hold the same bytes; key and first are those of one of them
     kinds = all_runs.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("key", "first", "last")).alias("at"))
     kinds = materialize(kinds, "kinds")
-    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    wanted = kinds.join(mixed, "h").select("h", "c", "kinds", "at.key", "at.first", "at.last")
+    mixed = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.col("at.last") - F.col("at.first") + 1).alias("strings")).where("kinds > 1")
+    small = (F.col("kinds") <= bucket_kinds) & (F.col("strings") <= bucket_strings)
+    wanted = kinds.join(mixed, "h").select("h", "c", "at.key", "at.first", "at.last")
     pieces = materialize(_pieces(texts, wanted, length, gram), "pieces")
     sizes = pieces.join(mixed, "h")
-    partial = _sort_buckets(sizes.where(F.col("kinds") <= bucket_kinds), length)
-    partial = partial.union(_count_strings(sizes.where(F.col("kinds") > bucket_kinds), length))
+    partial = _sort_buckets(sizes.where(small), length).union(_count_strings(sizes.where(~small), length))
     whole = kinds.where("n > 1").select("h", "c", F.lit(None).cast("array<struct<begin: int, end: int>>").alias("ranges"))
     # a kind that occurs twice is repeated as a whole, whatever its pieces say
     status = materialize(whole.union(partial.join(kinds.where("n = 1").select("h", "c"), ["h", "c"], "left_semi")), "status")
-    starts = all_runs.join(status, ["h", "c"]).select(
+    key, starts, of, of_bytes = unused(docs, "key", "starts", "of", "of_bytes")
+    found = all_runs.join(status, ["h", "c"]).select(
         "key", "n_bytes",
         F.explode(F.when(F.col("ranges").isNull(), F.array(F.struct(F.col("first").alias("begin"), (F.col("last") + 1).alias("end")))).otherwise(F.transform("ranges", lambda r: F.struct((F.col("first") + r["begin"]).alias("begin"), (F.col("first") + r["end"]).alias("end"))))).alias("r"),
     )
-    starts = starts.groupBy("key", "n_bytes").agg(F.array_sort(F.collect_set("r")).alias("_starts"))
-    starts = starts.withColumnsRenamed({"key": "_of", "n_bytes": "_of_bytes"})
-    same = (F.col("_key") == F.col("_of")) & (F.octet_length(body) == F.col("_of_bytes"))
-    return _cut(keyed.join(starts, same, "left").drop("_key", "_of", "_of_bytes"), text, length)
+    found = found.groupBy(F.col("key").alias(of), F.col("n_bytes").alias(of_bytes)).agg(F.array_sort(F.collect_set("r")).alias(starts))
+    # shorter texts by-pass the join, in which all empty ones would be one key
+    keyed = docs.where(long_).withColumn(key, F.xxhash64(F.col(text)))
+    same = (F.col(key) == F.col(of)) & (F.octet_length(F.col(text)) == F.col(of_bytes))
+    joined = keyed.join(found, same, "left").drop(key, of, of_bytes)
+    rest = docs.where(~long_).withColumn(starts, F.lit(None).cast(joined.schema[starts].dataType))
+    return _cut(joined.unionByName(rest), text, starts, length)

@@ -62,3 +62,11 @@ def test_edge_tables(spark):
     got = {(r["doc_id"], r["key"]): (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup(docs).collect()}
     assert got == {(None, "k"): (0, 0, 0, b""), (1, "k"): (5, 0, 0, b"short"), (1, "m"): (500, 500, 1, b""), (2, None): (500, 500, 1, b"")}
     assert suffixes.dedup(docs.limit(0)).count() == 0
+
+
+def test_grams_with_many_strings_and_clashing_names(spark):
+    rows = corpus(11, 60)
+    assert run(spark, rows, 60, 20, bucket_strings=25) == brute(rows, 60)
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in enumerate(rows)], "doc_id long, text string, key int, starts int, _starts int, of int")
+    got = suffixes.dedup(docs, length=60, gram=20)
+    assert {(r["key"], r["starts"], r["_starts"], r["of"]) for r in got.collect()} == {(1, 2, 3, 4)} and got.count() == len(rows)
