@@ -27,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.storage import new_path
+from claimloom.llm.linking import narrowed
+from claimloom.storage import materialize, new_path
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
 #: An empty gzip member, the separator between the members of a part file.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 RECORDS_PER_FILE = 4_000
+#: Bytes of an archive that a decompressor takes at a time.
+PIECE = 1 << 14
 #: A header of more bytes counts as damaged.
 _HEAD_BYTES = 1 << 20
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -77,8 +80,9 @@ def plan(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str
     named = pages.select(F.col(key).alias("id"), F.col(url).alias("url"), body.alias("payload"))
     keyed = named.withColumn("same", F.when(F.octet_length("payload") >= min_bytes, F.sha2("payload", 256)))
     first = keyed.where(F.col("same").isNotNull()).groupBy("same").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
-    again = first.where("n > 1").select("same", "first")
-    out = keyed.join(again, "same", "left")
+    again = materialize(first.where("n > 1").select("same", "first"), "repeated")
+    # payloads stay where they are unless the list is too large to broadcast
+    out = keyed.join(narrowed(again), "same", "left")
     repeated = F.col("first").isNotNull() & (F.col("id") != F.col("first"))
     return out.select(F.col("id").cast("string").alias("record_id"), "url", "payload", F.when(repeated, F.col("first").cast("string")).alias("refers_to"))
 
@@ -140,31 +144,44 @@ def _page(name: str | None) -> str | None:
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """(content, end) of the gzip member that starts at `at`."""
-    engine = zlib.decompressobj(31)
+    engine, parts, view, fed = zlib.decompressobj(31), [], memoryview(data), at
     try:
-        content = engine.decompress(memoryview(data)[at:])
+        while not engine.eof and fed < len(data):  # in pieces: what follows the member is copied at most once a piece
+            parts.append(engine.decompress(view[fed : fed + PIECE]))
+            fed = min(fed + PIECE, len(data))
     except zlib.error as error:
         raise ValueError("gzip") from error
     if not engine.eof:
         raise ValueError("gzip cut off")
-    return content, len(data) - len(engine.unused_data)
+    return b"".join(parts), fed - len(engine.unused_data)
 
 
-def _restart(data: bytes, after: int) -> int:
-    """The next place where a member or a record may begin."""
-    version = _VERSION_LINE.search(data, after)
-    found = [x for x in (data.find(MAGIC, after), version.start() if version else -1) if x >= 0]
-    return min(found, default=len(data))
+class _Restarts:
+    """The next place where a member or a record may begin; what lies ahead is searched once, also if nothing is found."""
+
+    def __init__(self, data: bytes):
+        self.data, self.magic, self.version = data, -1, -1
+
+    def after(self, at: int) -> int:
+        if self.magic < at:
+            found = self.data.find(MAGIC, at)
+            self.magic = found if found >= 0 else len(self.data)
+        if self.version < at:
+            line = _VERSION_LINE.search(self.data, at)
+            self.version = line.start() if line else len(self.data)
+        return min(self.magic, self.version)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
     """(start, end, record) for each record that passes its checks, (start, end, reason) for each quarantined gap. Records of
     a gzip member carry the member's place; a gap inside a member names its place in the content."""
     at = gap = 0
-    reason = ""
+    reason, restarts = "", _Restarts(data)
     while at < len(data):
         try:
-            if data.startswith(MAGIC, at):
+            if data.startswith(EMPTY_MEMBER, at):
+                found, end = [], at + len(EMPTY_MEMBER)
+            elif data.startswith(MAGIC, at):
                 content, end = _member(data, at)
                 found = [x if isinstance(x, dict) else f"{x}, bytes {a}-{b} of the content" for a, b, x in salvage(content)]
             else:
@@ -172,7 +189,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict | str]]:
                 end = found[0]["end"]
         except ValueError as error:
             reason = reason or str(error)
-            at = _restart(data, at + 1)
+            at = restarts.after(at + 1)
             continue
         if gap < at:
             yield gap, at, reason or "no record"
