@@ -18,6 +18,10 @@ that is unknown to the decoder, raises ValueError.
 from __future__ import annotations
 
 import base64
+import hashlib
+from array import array
+from collections import defaultdict
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import arrays
+
 NO_RANK = 1 << 30
 #: Pre-tokens kept by a worker, and the length up to which they are kept.
-CACHE_ENTRIES, CACHE_LENGTH = 300_000, 48
-#: Text in a block of documents whose new pre-tokens are merged together.
-BLOCK_CHARS = 6_000_000
+CACHE_ENTRIES, CACHE_LENGTH = 100_000, 48
+#: Bytes of text in a block of documents whose new pre-tokens are merged together. A block holds four bytes for each
+#: pre-token and each different one once.
+BLOCK_BYTES = 4_000_000
+#: Pairs that are looked up at a time.
+LOOKUP = 1 << 17
 #: Below this many bytes of new pre-tokens, position by position is faster.
 ARRAY_BYTES = 150_000
 
@@ -66,6 +75,9 @@ class Vocabulary:
 
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair of ids, NO_RANK where they don't merge."""
+        if len(left) > LOOKUP:
+            cuts = range(0, len(left), LOOKUP)
+            return np.concatenate([self.ranks_of(left[k : k + LOOKUP], right[k : k + LOOKUP]) for k in cuts])
         keys = left << 32 | right
         slot = self._slot(keys)
         out = np.full(len(keys), NO_RANK, np.int64)
@@ -254,18 +266,19 @@ class _Worker:
         self.vocabulary, self.cut, self.cache = vocabulary, regex.compile(pattern).findall, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(text) for text in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache = {}
+        places = defaultdict(count().__next__)  # the block's different pre-tokens in order
+        cut = [array("i", map(places.__getitem__, self.cut(text))) for text in texts]
         known = self.cache
-        fresh = list({token for tokens in cut for token in tokens}.difference(known))
-        ids = dict(zip(fresh, merge_many([token.encode() for token in fresh], self.vocabulary), strict=True))
-        known.update(ids)
-        out = [b"".join(map(known.__getitem__, tokens)) for tokens in cut]
-        for token in fresh:
-            if len(token) > CACHE_LENGTH:
-                del known[token]
-        return out
+        ids = list(map(known.get, places))
+        fresh = [token for token, held in zip(places, ids, strict=True) if held is None]
+        made = merge_many([token.encode() for token in fresh], self.vocabulary)
+        for token, found in zip(fresh, made, strict=True):
+            ids[places[token]] = found
+            if len(token) <= CACHE_LENGTH:
+                if len(known) >= CACHE_ENTRIES:
+                    known.clear()
+                known[token] = found
+        return [b"".join(map(ids.__getitem__, tokens)) for tokens in cut]
 
     def decode(self, ids: bytes) -> bytes:
         try:
@@ -274,36 +287,25 @@ class _Worker:
             raise ValueError(f"unknown id {unknown}") from None
 
 
-def _runs(column: pa.Array, limit: int):
-    """The column's values in lists of about `limit` bytes."""
-    held, size = [], 0
-    for value in column.to_pylist():
-        held.append(value)
-        size += len(value)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
-
-
 def _mapped(df: DataFrame, source, added: dict[str, str], work) -> DataFrame:
-    """`df` with the binary columns `added`, made by work(list) from the column `source`."""
-    names = list(added)
+    """`df` with the columns `added` (name, type), made by work(list) from the column `source`, in blocks."""
+    names, kinds = list(added), [pa.string() if kind == "string" else pa.binary() for kind in added.values()]
 
     def run(batches):
         step = work()
         for batch in batches:
+            cuts, _ = arrays.column_bytes(batch.column(batch.num_columns - 1))
             at = 0
-            for values in _runs(batch.column(batch.num_columns - 1), BLOCK_CHARS):
-                made = step(values)
-                part = batch.slice(at, len(values))
-                at += len(values)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(m, pa.binary()) for m in made]], names=[*part.schema.names[:-1], *names])
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + BLOCK_BYTES, "right")) - 1)
+                part = batch.slice(at, end - at)
+                made = step(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *[pa.array(m, kind) for m, kind in zip(made, kinds, strict=True)]], names=[*part.schema.names[:-1], *names])
+                at = end
 
     kept = [c for c in df.columns if c not in added]
     base = df.select(*[F.col(f"`{c}`") for c in kept])
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [f"`{c}` binary" for c in names]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [f"`{c}` {kind}" for c, kind in added.items()]
     return df.select(*[F.col(f"`{c}`") for c in kept], source.alias("_source")).mapInArrow(run, ", ".join(fields))
 
 
@@ -331,6 +333,15 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """`docs` with both columns, encoded and decoded in one pass."""
+    return _both(docs, vocabulary, pattern, text, {ids: "binary", decoded: "binary"}, lambda raw: raw)
+
+
+def checked(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids", digest: str = "decoded_sha256") -> DataFrame:
+    """`docs` with the ids and the SHA-256 (lowercase hex) of the decoded bytes, which stay in the worker."""
+    return _both(docs, vocabulary, pattern, text, {ids: "binary", digest: "string"}, lambda raw: hashlib.sha256(raw).hexdigest())
+
+
+def _both(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str, added: dict[str, str], finish) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work():
@@ -338,11 +349,11 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str
 
         def both(texts):
             encoded = worker.encode(texts)
-            return [encoded, [worker.decode(x) for x in encoded]]
+            return [encoded, [finish(worker.decode(x)) for x in encoded]]
 
         return both
 
-    return _mapped(docs, F.coalesce(F.col(text), F.lit("")), {ids: "binary", decoded: "binary"}, work)
+    return _mapped(docs, F.coalesce(F.col(text), F.lit("")), added, work)
 
 
 _workers: dict[str, _Worker] = {}

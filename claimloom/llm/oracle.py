@@ -1,8 +1,8 @@
 """DuckDB counterparts of the registered training-data queries, where SQL can express them.
 
 No counterpart: op2 (merges of a rank queue), op3 (its tests are statistics on characters), op4 (MinHash), op5 (every
-400-byte string of every text is too slow in SQL), op8 and the pipeline (a trained model). tests/llm checks these against
-brute-force versions, exact round trips or held-out labels.
+400-byte string of every text is too slow in SQL), op8 and the pipeline (a trained model), op11 (hypergeometric draws). tests/llm
+checks these against brute-force versions, exact round trips or held-out labels.
 """
 
 from __future__ import annotations
@@ -137,10 +137,83 @@ SELECT page_id, host, path, rule, coalesce(own, CASE WHEN c IN (SELECT c FROM sp
 FROM q LEFT JOIN comp ON comp.x = q.node"""
 
 
+def _repair() -> str:
+    add = lambda s, k, letters: f"CASE WHEN {s} = '~' THEN '~' ELSE printf('%012d', cast({s}[1:12] AS BIGINT) + {k}) || {s}[13:] || '{letters}' END"
+    # states are cost and audit in one string, for nothing yet, after s, after u, after a; ~ where there is none
+    closed = f"s0, s1, least(s2, {add('s0', 3, 'I')}, {add('s1', 3, 'I')}, {add('s3', 3, 'I')}) AS s2, least(s3, {add('s2', 3, 'I')}, {add('s0', 6, 'II')}, {add('s1', 6, 'II')}) AS s3"
+    keep = lambda initial, s: f"CASE WHEN goes OR initial <> '{initial}' THEN '~' ELSE {add(s, 'extra', 'K')} END"
+    rerole = lambda s: f"CASE WHEN goes THEN '~' ELSE {add(s, '3 + extra', 'R')} END"
+    first = "least(s0, s1, s3)"
+    bits = "xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    step = bits.replace("a ", "xor(a, x) ")
+    return rf"""
+WITH RECURSIVE b AS (
+  SELECT conv_id, coalesce(cast(conv_id AS VARCHAR), ' ') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (
+  SELECT *, xor(list_reduce([4294967295] || list_transform(range(8 * strlen(k)), lambda i: CASE WHEN i % 8 = 0 THEN ord(k[i // 8 + 1]) ELSE 0 END),
+    lambda a, x: {step}), 4294967295) % 20 AS kind FROM b),
+d AS (
+  SELECT c, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM h WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(sha256(text), 32), copy) AS pos FROM d),
+f AS (
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
+r AS (SELECT *, fault IN ('blank', 'duplicate') AS goes, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
+walk(c, pos, s0, s1, s2, s3) AS (
+  SELECT DISTINCT c, cast(0 AS BIGINT), '000000000000', '~', '~', '~' FROM r
+  UNION ALL
+  SELECT c, pos, {add('s0', 4, 'D')}, least({add('s1', 4, 'D')}, {keep('s', 's0')}), least({add('s2', 4, 'D')}, {keep('u', first)}, {rerole(first)}),
+    least({add('s3', 4, 'D')}, {keep('a', 's2')}, {rerole('s2')})
+  FROM (SELECT r.c, r.pos, goes, extra, initial, {closed} FROM walk JOIN r ON r.c = walk.c AND r.pos = walk.pos + 1)),
+ends AS (SELECT c, least(s0, s3) AS best FROM (SELECT c, pos, {closed} FROM walk) JOIN (SELECT c, max(pos) AS pos FROM r GROUP BY c) USING (c, pos)),
+e AS (SELECT c, cast(best[1:12] AS BIGINT) AS cost, best[13:] AS audit FROM ends),
+l AS (SELECT c, j, audit[j] AS letter FROM (SELECT c, audit, unnest(range(1, len(audit) + 1)) AS j FROM e)),
+m AS (SELECT *, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY j) AS pos, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY j) AS place FROM l),
+o AS (SELECT m.*, CASE WHEN letter = 'I' THEN '' ELSE r.text END AS text, r.role, letter = 'K' AND r.initial = 's' AS is_s FROM m LEFT JOIN r ON r.c = m.c AND r.pos = m.pos AND letter <> 'I' WHERE letter <> 'D'),
+q AS (SELECT *, place - max(CASE WHEN is_s THEN 1 ELSE 0 END) OVER (PARTITION BY c) AS nth FROM o),
+z AS (SELECT c, sha256(string_agg(CASE WHEN letter = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j)) AS sha FROM q GROUP BY c),
+g AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(initial) OVER (PARTITION BY c ORDER BY pos) AS before FROM r) GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM b) LEFT JOIN g USING (c) LEFT JOIN e USING (c) LEFT JOIN z USING (c)"""
+
+
+_TERMS = r"[^ -@[-`{-]+"
+_AUDIT = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({LOWERED.format("coalesce(text, '')")}, '{_TERMS}') AS ws FROM documents),
+t AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term, cast(count(*) AS HUGEINT) AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(term) AS v, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+c AS (SELECT lang, source, term, cast(count(*) AS HUGEINT) AS c FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, cast(coalesce(sum(c), 0) AS HUGEINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 2) // (n.n + 2 * v.v) AS p, 1 + 1000000000::HUGEINT * (k.c + 2) // (v.n + 2 * v.v) AS q
+  FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+s AS (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value FROM g AS x JOIN g AS y ON x.lang = y.lang AND x.source <> y.source
+  LEFT JOIN s ON s.lang = x.lang AND s.source = x.source AND s.item = y.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, cast(value AS BIGINT) AS value, cast(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 10"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_distribution_divergence": _quality(),
     "op6_jaccard_join": _JACCARD,
     "op7_warc_salvage": _WARC,
     "op9_decontamination": _HITS,
     "op10_url_equivalence": _urls(),
+    "op12_branch_and_bound": _repair(),
+    "op13_iceberg_refinement": _AUDIT,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import bpe, decontamination, jaccard_join, paragraphs, quality, secrets, suffixes, toxicity, url_filters, warc
+from claimloom.llm import bpe, conversations, decontamination, jaccard_join, mixing, paragraphs, quality, secrets, source_audit, suffixes, toxicity, url_filters, warc
 
 URL_RULES = (
     url_filters.Rule("net", "/", "block"),
@@ -27,12 +27,12 @@ def op1_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    made = bpe.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
+    made = bpe.checked(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN)
     return made.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "decoded_sha256",
     )
 
 
@@ -86,4 +86,25 @@ def op10_url_equivalence(spark: SparkSession, folder: str) -> DataFrame:
     return url_filters.judge(_table(spark, folder, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_byte_bpe, op3_randomness_tests, op4_paragraph_minhash, op5_suffix_array, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence)}
+def op11_splitting_tree(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mixing.mix(_table(spark, folder, "documents"))
+    return mixing.taken(mix).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_branch_and_bound(spark: SparkSession, folder: str) -> DataFrame:
+    table = _table(spark, folder, "conversations")
+    rows = conversations.damage(table)
+    facts, chosen = conversations.repair(rows)
+    same = lambda other: F.col("conv_id").eqNullSafe(other["conv"])
+    digest = conversations.digests(rows, chosen)
+    out = table.select("conv_id").distinct().join(facts, same(facts), "left").drop("conv").join(digest, same(digest), "left")
+    zero = F.lit(0).cast("bigint")
+    numbers = [F.coalesce(c, zero).alias(c) for c in ("gaps", *conversations.FAULTS, "illegal", "cost")]
+    return out.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_iceberg_refinement(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.audit(_table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_distribution_divergence, op2_byte_bpe, op3_randomness_tests, op4_paragraph_minhash, op5_suffix_array, op6_jaccard_join, op7_warc_salvage, op8_toxicity, op9_decontamination, op10_url_equivalence, op11_splitting_tree, op12_branch_and_bound, op13_iceberg_refinement)}

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -125,3 +126,28 @@ def test_salvage_inside_a_member():
     data = gzip.compress(plain[0] + bad + plain[2])
     found = [x if isinstance(x, str) else x["record_id"] for _, _, x in warc.salvage(data)]
     assert found[0] == "0" and found[-1] == "2" and "of the content" in found[1]
+
+
+def test_salvage_is_linear():
+    rng = random.Random(5)
+    one = [warc.render(str(i), "http://h/", rng.randbytes(600), None) for i in range(4_000)]
+
+    def seconds(records, damage):
+        data = bytearray(warc.EMPTY_MEMBER.join(records))
+        for at in range(700, len(data), damage):
+            data[at] ^= 0x55
+        began = time.process_time()
+        found = sum(isinstance(x, dict) for _, _, x in warc.salvage(bytes(data)))
+        assert found >= len(records) - len(data) // damage - 1
+        return (time.process_time() - began) / len(records)
+
+    for damage in (10**9, 5_000):
+        assert seconds(one, damage) < 4 * seconds(one[:500], damage) + 1e-4
+
+
+def test_checked_digests(spark, vocabulary, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    docs = spark.createDataFrame(list(enumerate(texts(3))), "doc_id long, text string").repartition(1)
+    whole = {r["doc_id"]: (bytes(r["ids"]), hashlib.sha256(r["decoded"]).hexdigest()) for r in bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN).collect()}
+    assert whole == {r["doc_id"]: (bytes(r["ids"]), r["decoded_sha256"]) for r in bpe.checked(docs, vocabulary, public_tokenizers.PATTERN).collect()}
