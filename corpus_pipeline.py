@@ -59,9 +59,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(public_tokenizers.path(TOKENIZER))
-    made = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
+    made = bpe.checked(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
     n_tokens = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
-    return made.select("doc_id", "lang", "source", n_tokens, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return made.select("doc_id", "lang", "source", n_tokens, "ids", F.sha2("ids", 256).alias("ids_sha256"), "decoded_sha256")
 
 
 STAGES = [
