@@ -159,7 +159,7 @@ d AS (
   FROM h WHERE kind <> 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, left(sha256(text), 32), copy) AS pos FROM d),
 f AS (
-  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank'
+  SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
     WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY pos) > 1 THEN 'duplicate'
     WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM n),
 r AS (SELECT *, fault IN ('blank', 'duplicate') AS goes, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM f),
@@ -185,7 +185,7 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
 FROM (SELECT DISTINCT conv_id, c FROM b) LEFT JOIN g USING (c) LEFT JOIN e USING (c) LEFT JOIN z USING (c)"""
 
 
-_TERMS = r"[^ -@[-`{-]+"
+_TERMS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _AUDIT = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
