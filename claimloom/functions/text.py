@@ -157,3 +157,19 @@ def slot_matrix(rows: list):
         signs = np.where(slots < VECTOR_DIM, 1.0, -1.0)
         np.add.at(matrix, (owner, slots % VECTOR_DIM), signs)
     return matrix
+
+
+def gram_hashes(text: str, chars: int, sample: int = 1):
+    """Sorted 64-bit hashes of the different runs of `chars` characters of a text, one in `sample`."""
+    import numpy as np
+
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    n = len(codes) - chars + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for k in range(chars):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n] + np.uint64(1)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = np.unique(h ^ (h >> np.uint64(32)))
+    return h[(h >> np.uint64(20)) % np.uint64(sample) == 0].view(np.int64)

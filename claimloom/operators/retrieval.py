@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from claimloom.functions import rules
 from claimloom.functions.numbers import half_up
-from claimloom.functions.text import VECTOR_DIM, chunk_documents, slot_matrix, token_slots
+from claimloom.functions.text import chunk_documents, gram_hashes, slot_matrix, token_slots
 from claimloom.storage import materialize
 
 TOP_K = 5
-# Queries scored in one pass over the chunks. Their vectors travel to every task, so the
-# number is fixed; more queries take more passes.
-QUERY_BLOCK = 2048
+# Queries of a block and vectors of a split, on average: each block meets each split in a group
+# of its own, so these bound what a task holds. Vectors scored at a time.
+QUERY_BLOCK, SPLIT_ROWS, SCORE_ROWS = 2048, 8192, 1024
+# Characters of a keyword's grams; of long keywords only grams with one hash in so many are indexed.
+GRAM_CHARS, GRAM_SAMPLE = 8, 8
 
 # Title keyword that marks the expected policy document of a denial reason.
 REASON_DOCUMENT_KEYWORDS = {
@@ -46,80 +50,81 @@ def _best(scores: np.ndarray, first: np.ndarray, second: np.ndarray, k: int) ->
 
 
 def _numbered(queries: DataFrame) -> DataFrame:
-    """The queries with a number each, stored, so that repeated ids stay apart and blocks have sharp edges."""
+    """The queries with a number each, stored, so that repeated ids stay apart."""
     return materialize(queries.withColumn("_n", F.monotonically_increasing_id()), "queries")
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list]:
-    """Numbered queries in driver-sized blocks, never all at once."""
-    last = -1
-    while block := queries.filter(F.col("_n") > last).orderBy("_n").limit(QUERY_BLOCK).collect():
-        yield block
-        last = block[-1]["_n"]
-
-
 def _comparable(values: pd.Series) -> np.ndarray:
     """Ids as an array that sorts and compares: whole numbers, else text."""
     return values.to_numpy("int64") if pd.api.types.is_integer_dtype(values.dtype) else values.astype(str).to_numpy("U")
 
 
-def _local_top(vectors: DataFrame, block: list, matrix: np.ndarray, scoped: bool, k: int) -> DataFrame:
-    """Per task: score batches against a block of query vectors and keep the best k per query.
-
-    No query x chunk pair leaves the task; only k rows per query and task are emitted, under the query's number.
+def _matrix(column: pa.ChunkedArray, dense: bool) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.array(rows, dtype="float64") if dense else slot_matrix(rows)
+
+
+def _local_top(vectors: pa.Table, queries: pa.Table, payload: str, k: int) -> list[tuple]:
+    """(number, document ids, chunk indexes, scores) of the best k vectors for each query of a group."""
+    numbers, q = queries.column("_n").to_pylist(), _matrix(queries.column(payload), payload == "vector")
+    qn = (q * q).sum(axis=1)
+    scope = queries.column("payer_id").to_pandas() if "payer_id" in queries.column_names else None
+    kept: list = [None] * len(numbers)
+    bound = np.full(len(numbers), -np.inf)
+    for at in range(0, vectors.num_rows, SCORE_ROWS):
+        part = vectors.slice(at, SCORE_ROWS)
+        m = _matrix(part.column(payload), payload == "vector")
+        product = np.sqrt(np.outer(qn, (m * m).sum(axis=1)))
+        product[product == 0] = 1.0
+        cos = (q @ m.T) / product
+        if scope is not None:
+            # codes of payers, -1 for none: any type of id compares exactly
+            payers = part.column("payer_id").to_pandas()
+            codes = pd.factorize(pd.concat([scope.astype(object), payers.astype(object)], ignore_index=True))[0]
+            wanted, payer = codes[: len(scope)], codes[len(scope) :]
+            cos[(payer[None, :] >= 0) & (wanted[:, None] >= 0) & (payer[None, :] != wanted[:, None])] = -np.inf
+        a, b = _comparable(part.column("document_id").to_pandas()), part.column("chunk_index").to_numpy()
+        # Only queries that these vectors can improve (or tie) are looked at.
+        for i in np.flatnonzero(cos.max(axis=1) >= bound):
+            pick = np.flatnonzero((cos[i] >= bound[i]) & (cos[i] > -np.inf))
+            found = (cos[i][pick], a[pick], b[pick])
+            s, da, db = found if kept[i] is None else (np.concatenate(x) for x in zip(kept[i], found))
+            best = _best(s, da, db, k)
+            kept[i] = (s[best], da[best], db[best])
+            if len(best) == k:
+                bound[i] = kept[i][0][-1]
+    return [(number, *found[1:], found[0]) for number, found in zip(numbers, kept) if found is not None and len(found[0])]
+
+
+def _top(vectors: DataFrame, queries: DataFrame, payload: str, k: int) -> DataFrame:
+    """_n, document_id, chunk_index, score, rank: the k best vectors of each query (_n, payload and, if any, payer_id).
+
+    Blocks of queries meet splits of the vectors by a shuffle on (split, block); a group holds one of each and emits k rows
+    per query at most, which are ranked after a partial limit. Two row counts reach the driver, no row does.
     """
-    norms = (matrix * matrix).sum(axis=1)
-    scopes = [r["payer_id"] for r in block] if scoped else None
-    shared = vectors.sparkSession.sparkContext.broadcast(([r["_n"] for r in block], matrix, norms, scopes))
-    dense = "vector" in vectors.columns
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers, q, qn, scope = shared.value
-        kept: list = [None] * len(numbers)
-        bound = np.full(len(numbers), -np.inf)
-        for batch in batches:
-            if not len(batch):
-                continue
-            m = np.stack(batch["vector"].to_numpy()).astype("float64") if dense else slot_matrix(list(batch["slots"]))
-            bn = (m * m).sum(axis=1)
-            product = np.sqrt(np.outer(qn, bn))
-            product[product == 0] = 1.0
-            cos = (q @ m.T) / product
-            if scope is not None:
-                # codes of payers, -1 for none: any type of id compares exactly
-                codes = pd.factorize(pd.concat([pd.Series(scope, dtype=object), batch["payer_id"].astype(object)], ignore_index=True))[0]
-                wanted, payer = codes[: len(scope)], codes[len(scope) :]
-                cos[(payer[None, :] >= 0) & (wanted[:, None] >= 0) & (payer[None, :] != wanted[:, None])] = -np.inf
-            a, b = _comparable(batch["document_id"]), batch["chunk_index"].to_numpy("int64")
-            # Only queries that this batch can improve (or tie) are looked at.
-            for i in np.flatnonzero(cos.max(axis=1) >= bound):
-                pick = np.flatnonzero((cos[i] >= bound[i]) & (cos[i] > -np.inf))
-                found = (cos[i][pick], a[pick], b[pick])
-                s, da, db = found if kept[i] is None else (np.concatenate(x) for x in zip(kept[i], found))
-                best = _best(s, da, db, k)
-                kept[i] = (s[best], da[best], db[best])
-                if len(best) == k:
-                    bound[i] = kept[i][0][-1]
-        for number, found in zip(numbers, kept):
-            if found is not None and len(found[0]):
-                yield pd.DataFrame({"_n": number, "document_id": found[1], "chunk_index": found[2], "score": found[0]})
+    splits = max(1, -(-vectors.count() // SPLIT_ROWS))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.withColumn("chunk_index", F.col("chunk_index").cast("bigint")).withColumn(
+        "_split", F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(splits)).cast("int")
+    ).withColumn("_block", spread(blocks))
+    right = queries.withColumn("_block", F.pmod(F.xxhash64("_n"), F.lit(blocks)).cast("int")).withColumn("_split", spread(splits))
+    names = ["_n", "document_id", "chunk_index", "score"]
+
+    def score(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        schema = pa.schema([("_n", pa.int64()), ("document_id", rows.schema.field("document_id").type), ("chunk_index", pa.int64()), ("score", pa.float64())])
+        found = _local_top(rows, asked, payload, k) if rows.num_rows and asked.num_rows else []
+        if not found:
+            return schema.empty_table()
+        number = np.repeat([f[0] for f in found], [len(f[3]) for f in found])
+        columns = [number, *(np.concatenate([f[c] for f in found]) for c in (1, 2, 3))]
+        return pa.Table.from_arrays([pa.array(c).cast(kind) for c, kind in zip(columns, schema.types)], names=names)
 
     kind = vectors.schema["document_id"].dataType.simpleString()
-    return vectors.mapInPandas(score, f"_n bigint, document_id {kind}, chunk_index bigint, score double")
-
-
-def _top(vectors: DataFrame, queries: DataFrame, matrix_of: Callable[[list], np.ndarray], scoped: bool, k: int) -> DataFrame:
-    """query_id, document_id, chunk_index, score, rank: the k best rows of each query."""
-    numbered = _numbered(queries)
-    local = None
-    for block in _query_blocks(numbered):
-        part = _local_top(vectors, block, matrix_of(block), scoped, k)
-        local = part if local is None else local.unionByName(part)
-    if local is None:
-        local = _local_top(vectors, [], np.zeros((0, VECTOR_DIM)), scoped, k).limit(0)
+    met = left.groupBy("_split", "_block").cogroup(right.groupBy("_split", "_block"))
+    local = met.applyInArrow(score, f"_n bigint, document_id {kind}, chunk_index bigint, score double")
     order = Window.partitionBy("_n").orderBy(F.col("score").desc(), "document_id", "chunk_index")
-    best = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.join(numbered.select("_n", "query_id"), "_n").select("query_id", "document_id", "chunk_index", "score", "rank")
+    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, scoped: bool = True) -> DataFrame:
@@ -127,13 +132,17 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, scoped: bool
 
     `chunks` needs document_id, chunk_index, slots (null slots are skipped) and, when
     scoped, payer_id. `queries` needs query_id, text and, when scoped, payer_id: a query
-    sees documents of its payer and global ones. The dot products are of whole numbers,
-    so equal texts tie exactly.
+    sees documents of its payer and global ones. Queries with the same text and payer are
+    scored once. The dot products are of whole numbers, so equal texts tie exactly.
     """
-    names = ["document_id", "chunk_index", "slots"] + (["payer_id"] if scoped else [])
-    vectors = chunks.filter(F.col("slots").isNotNull()).select(*names)
-    ready = queries.select("query_id", *(["payer_id"] if scoped else []), token_slots(F.col("text")).alias("slots"))
-    return _top(vectors, ready, lambda block: slot_matrix([r["slots"] for r in block]), scoped, k)
+    scope = ["payer_id"] if scoped else []
+    vectors = chunks.filter(F.col("slots").isNotNull()).select("document_id", "chunk_index", "slots", *scope)
+    asked = _numbered(queries.select("query_id", "text", *scope))
+    once = asked.groupBy("text", *scope).agg(F.min("_n").alias("_n"))
+    found = _top(vectors, once.select("_n", token_slots(F.col("text")).alias("slots"), *scope), "slots", k)
+    same = reduce(lambda x, y: x & y, [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ("text", *scope)])
+    shared = asked.alias("a").join(once.alias("o"), same).select("a.query_id", "o._n")
+    return shared.join(found, "_n").select("query_id", "document_id", "chunk_index", "score", "rank")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -142,8 +151,9 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataF
     `vectors`: id, vector. `queries`: query_id, vector.
     """
     keyed = vectors.select(F.col("id").alias("document_id"), F.lit(0).alias("chunk_index"), "vector")
-    found = _top(keyed, queries.select("query_id", "vector"), lambda block: np.array([r["vector"] for r in block], dtype="float64"), False, k)
-    return found.select("query_id", F.col("document_id").alias("id"), "score", "rank")
+    asked = _numbered(queries.select("query_id", "vector"))
+    found = _top(keyed, asked.select("_n", "vector"), "vector", k)
+    return asked.join(found, "_n").select("query_id", F.col("document_id").alias("id"), "score", "rank")
 
 
 def group_centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -156,23 +166,53 @@ def group_centroids(vectors: DataFrame, key: str, vector: str) -> DataFrame:
     return means.groupBy("query_id").agg(F.transform(ordered, lambda s: s["m"]).alias("vector"))
 
 
+def _gram_rows(rows: DataFrame, key: str, text: str, chars: int, sample: int) -> DataFrame:
+    """(key, gram): hashes of the different runs of `chars` characters of each text, one in `sample`."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                grams = gram_hashes(batch.column(1)[at].as_py(), chars, sample)
+                owner = batch.column(0).take(pa.array(np.zeros(len(grams), np.int64) + at))
+                yield pa.RecordBatch.from_arrays([owner, pa.array(grams)], names=[key, "gram"])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(run, f"{key} {kind}, gram bigint")
+
+
 def first_document_with(documents: DataFrame, keywords: DataFrame, text: str) -> DataFrame:
     """Per keyword: smallest document id whose `text` contains it, ignoring case.
 
-    `keywords` has query_id and text and is handled in blocks: one pass over the documents looks for a whole block, and the
-    aggregate then has one row per keyword. Keywords without a document are left out.
+    `keywords` has query_id and text. A keyword is looked up by its rarest gram of GRAM_CHARS characters (its whole length, if
+    it is shorter) in an index of the documents' grams that any keyword has, and `contains` verifies what it meets. Keywords
+    without a document are left out; an empty one is in every text.
     """
-    numbered = _numbered(keywords.select("query_id", "text").filter(F.col("text").isNotNull()))
-    body = F.lower(F.col(text))
-    found = None
-    for block in _query_blocks(numbered):
-        words = F.array(*[F.struct(F.lit(r["_n"]).alias("n"), F.lit(r["text"].lower()).alias("w")) for r in block])
-        held = documents.select("document_id", F.explode(F.filter(words, lambda k: F.contains(body, k["w"]))["n"]).alias("_n"))
-        part = held.groupBy("_n").agg(F.min("document_id").alias("expected_document_id"))
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return numbered.select("query_id", F.lit(None).cast(documents.schema["document_id"].dataType).alias("expected_document_id"))
-    return found.join(numbered.select("_n", "query_id"), "_n").select("query_id", "expected_document_id")
+    asked = _numbered(keywords.select("query_id", F.lower("text").alias("word")).filter(F.col("word").isNotNull()))
+    words = materialize(asked.groupBy("word").agg(F.min("_n").alias("_w")), "words").withColumn("chars", F.least(F.length("word"), F.lit(GRAM_CHARS)))
+    bodies = documents.select("document_id", F.lower(F.col(text)).alias("body")).filter(F.col("body").isNotNull())
+    met = [bodies.limit(0).select("document_id", F.lit(0).cast("bigint").alias("_w"))]
+    if empty := words.filter("chars = 0").first():
+        met.append(bodies.agg(F.min("document_id").alias("document_id")).withColumn("_w", F.lit(empty["_w"])))
+    for chars in range(1, GRAM_CHARS + 1):
+        some = words.filter(F.col("chars") == chars)
+        if some.isEmpty():
+            continue
+        # a sample of the grams will do for words that have one in it
+        few = _gram_rows(some, "_w", "word", chars, GRAM_SAMPLE)
+        rest = some.join(few.select("_w").distinct(), "_w", "left_anti")
+        for grams, sample in ((few, GRAM_SAMPLE), (_gram_rows(rest, "_w", "word", chars, 1), 1)):
+            grams = materialize(grams, "grams")
+            if not grams.isEmpty():
+                held = _gram_rows(bodies, "document_id", "body", chars, sample).join(grams.select("gram").distinct(), "gram", "left_semi")
+                held = materialize(held, "held")
+                counts = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+                rated = grams.join(counts, "gram", "left").groupBy("_w").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g"))
+                rarest = rated.filter("g.n > 0").select("_w", "g.gram").join(words, "_w")
+                pairs = held.join(rarest, "gram").select("document_id", "_w", "word")
+                met.append(pairs.join(bodies, "document_id").filter(F.contains("body", "word")).select("document_id", "_w"))
+    found = reduce(DataFrame.unionByName, met).groupBy("_w").agg(F.min("document_id").alias("expected_document_id"))
+    named = asked.join(words.select("word", "_w"), "word").select("query_id", "_w")
+    return named.join(found.filter(F.col("expected_document_id").isNotNull()), "_w").select("query_id", "expected_document_id")
 
 
 def reason_documents(documents: DataFrame) -> DataFrame:
@@ -319,22 +359,25 @@ def check_citations(citations: DataFrame, chunks: DataFrame, retrieved: DataFram
 
     `retrieved` has query_id (reason|payer), document_id and chunk_index.
     """
+    # each different quotation meets its chunk once; claims that share it get the verdict
     text = chunks.select("document_id", "chunk_index", "chunk_text")
-    joined = citations.join(text, ["document_id", "chunk_index"], "left")
     quote = F.trim(F.regexp_replace("excerpt", r"\.+$", ""))
     exists = F.col("chunk_text").isNotNull()
-    checked = joined.withColumn("chunk_exists", exists).withColumn(
-        "faithful", F.coalesce(exists & (quote != "") & F.col("chunk_text").contains(quote), F.lit(False))
+    faithful = F.coalesce(exists & (quote != "") & F.col("chunk_text").contains(quote), F.lit(False))
+    keys = ["document_id", "chunk_index", "excerpt"]
+    verdicts = citations.select(*keys).distinct().join(text, keys[:2], "left").select(
+        *[F.col(c).alias(f"_{c}") for c in keys], exists.alias("chunk_exists"), faithful.alias("faithful")
     )
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    checked = citations.join(verdicts, same, "left").drop(*[f"_{c}" for c in keys])
     if retrieved is None:
-        return checked.drop("chunk_text")
+        return checked
     known = retrieved.select(
         "query_id", "document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.lit(True).alias("_r")
     )
     query_id = F.concat_ws("|", "denial_reason_code", F.col("payer_id").cast("string"))
     return (
-        checked.drop("chunk_text")
-        .withColumn("query_id", query_id)
+        checked.withColumn("query_id", query_id)
         .join(known, ["query_id", "document_id", "chunk_index"], "left")
         .withColumn("was_retrieved", F.coalesce("_r", F.lit(False)))
         .drop("_r", "query_id")

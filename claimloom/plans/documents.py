@@ -12,6 +12,7 @@ from claimloom.operators import audit, ingest, registry, retrieval
 from claimloom.operators.recovery import open_denials
 from claimloom.plans.registry import query
 from claimloom.sources.fixtures import Tables
+from claimloom.storage import materialize
 
 
 def stored_chunks(t: Tables) -> DataFrame:
@@ -143,7 +144,7 @@ def appeal_packets(t: Tables) -> DataFrame:
 
 def _tampered_citations(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Citations of all packets, some with an invented excerpt and some with a chunk that does not exist."""
-    results = _policy_results(t)
+    results = materialize(_policy_results(t), "policy_results")
     bundles = retrieval.policy_bundles(results, stored_chunks(t))
     cited = retrieval.explode_citations(retrieval.appeal_packets(_open(t), t.lines, bundles))
     invented = F.when(F.col("claim_id") % 10 == 0, "An invented sentence.").otherwise(F.col("excerpt"))
