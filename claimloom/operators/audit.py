@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.operators.ordered import ordered_prefix
 
 # Rows per chain segment. A chain is a sequence by nature; segments bound how long one
-# sequence can get, so a hot entity is many tasks' work.
+# sequence can get, so a hot entity is many tasks' work. The rule is the same for batches,
+# streams and verification: within a segment each record hashes the hash before it, and the
+# first record of a later segment hashes the seal of all segments before.
 SEGMENT_ROWS = 1_000
 
 # Actions an agent may run by itself.
@@ -87,33 +91,49 @@ def content_digest() -> Column:
 def numbered(events: DataFrame, entity: str = "entity_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add `seq` (1-based per entity by time and event id) and `segment`."""
     placed = ordered_prefix(events, ["created_at", "event_id"], (), [entity])
-    return placed.withColumnRenamed("pos", "seq").withColumn("segment", F.floor((F.col("seq") - 1) / segment_rows))
+    return placed.withColumnRenamed("pos", "seq").withColumn("segment", segment_of(F.col("seq"), segment_rows))
+
+
+def rolled(before: str, digest: str) -> str:
+    """Digest of a segment's contents up to a record, and likewise the seal of segments up to one."""
+    return hashlib.sha256((before + digest).encode()).hexdigest()
+
+
+def segment_of(seq: Column, segment_rows: int) -> Column:
+    return F.floor((seq - 1) / segment_rows)
 
 
 def segment_anchors(rows: DataFrame, entity: str = "entity_id") -> DataFrame:
-    """`anchor` per (entity, segment): empty for the first segment, else the seal of the one before.
+    """`anchor` per (entity, segment): empty for the first segment, else the seal of those before.
 
-    The seal is a digest over the content digests of one segment, which has at most
-    `segment_rows` rows, so the collected array is bounded.
+    A segment's digest rolls over the content digests of its records, which are at most
+    `segment_rows`, so the collected array is bounded. Seals roll over the segment digests: one
+    pass over one row a segment, in order, which holds a single seal per task.
     """
     digests = F.transform(F.array_sort(F.collect_list(F.struct("seq", "digest"))), lambda s: s["digest"])
-    seals = (
-        rows.withColumn("digest", content_digest())
-        .groupBy(entity, "segment")
-        .agg(F.sha2(F.array_join(digests, ""), 256).alias("seal"))
-    )
-    following = seals.select(entity, (F.col("segment") + 1).alias("segment"), F.col("seal").alias("anchor"))
-    firsts = seals.select(entity, "segment")
-    return firsts.join(following, [entity, "segment"], "left").withColumn("anchor", F.coalesce("anchor", F.lit("")))
+    roll = F.aggregate(digests, F.lit(""), lambda done, d: F.sha2(F.concat(done, d), 256))
+    segments = rows.withColumn("digest", content_digest()).groupBy(entity, "segment").agg(roll.alias("rolled"))
+    kind = dict(rows.dtypes)[entity]
+
+    def seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), ""
+        for batch in batches:
+            anchors = []
+            for key, digest in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                now, last = key, last if key == now else ""
+                anchors.append(last)
+                last = rolled(last, digest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(anchors, pa.string())], names=[entity, "segment", "anchor"])
+
+    ordered = segments.repartition(entity).sortWithinPartitions(entity, "segment")
+    return ordered.mapInArrow(seal, f"{entity} {kind}, segment bigint, anchor string")
 
 
 def build_chain(events: DataFrame, entity: str = "entity_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Chain the records of each entity: adds seq, segment, prev_hash and hash.
 
-    Within a segment each record hashes its predecessor's hash; the first record of a
-    later segment hashes the seal of the segment before. Segments are independent
-    tasks' work of bounded size. An entity with at most `segment_rows` records gets one
-    plain chain.
+    Segments are independent tasks' work of bounded size. An entity with at most
+    `segment_rows` records has one plain chain.
     """
     rows = numbered(events, entity, segment_rows)
     anchors = segment_anchors(rows, entity)
@@ -128,8 +148,6 @@ def build_chain(events: DataFrame, entity: str = "entity_id", segment_rows: int
 
 def _fold(chains: DataFrame, entity: str) -> DataFrame:
     """Hash the records of each bounded segment in order."""
-    import hashlib
-
     kind = dict(chains.dtypes)[entity]
     names = [entity, "segment", "seq", "prev_hash", "hash"]
 
@@ -147,14 +165,17 @@ def _fold(chains: DataFrame, entity: str) -> DataFrame:
     return chains.select(entity, "segment", "first_seq", "records", "anchor").mapInPandas(run, schema)
 
 
-def verify_chain(log: DataFrame, entity: str = "entity_id") -> DataFrame:
+def verify_chain(log: DataFrame, entity: str = "entity_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """First bad record per entity (no row when the chain holds).
 
-    Every record is checked against its predecessor's stored hash. All records before the
+    `log` has the records with seq, prev_hash and hash, from a batch or a stream; without a
+    column `segment` the segments follow from seq. Every record is checked against its predecessor's stored hash. All records before the
     first failure match, so this finds the same record as a walk from the start, but in
     parallel: the predecessor is found by a join on (entity, seq), not by a window over
     the entity.
     """
+    if "segment" not in log.columns:
+        log = log.withColumn("segment", segment_of(F.col("seq"), segment_rows))
     before = log.select(entity, (F.col("seq") + 1).alias("seq"), F.col("hash").alias("_before"))
     anchors = segment_anchors(log, entity)
     starts = log.groupBy(entity, "segment").agg(F.min("seq").alias("_first"))
@@ -173,10 +194,10 @@ def verify_chain(log: DataFrame, entity: str = "entity_id") -> DataFrame:
     )
 
 
-def chain_status(log: DataFrame, entity: str = "entity_id") -> DataFrame:
+def chain_status(log: DataFrame, entity: str = "entity_id", segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Per entity: number of records and whether the chain is intact."""
     counts = log.groupBy(entity).agg(F.count(F.lit(1)).alias("records"))
-    return counts.join(verify_chain(log, entity), entity, "left").select(
+    return counts.join(verify_chain(log, entity, segment_rows), entity, "left").select(
         entity, "records", F.col("first_bad_seq").isNull().alias("valid"), "first_bad_seq", "first_bad_event"
     )
 

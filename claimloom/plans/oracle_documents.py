@@ -257,18 +257,16 @@ register(
     ["seqs"],
 )
 add("audit_chain_build", ["chain"], "SELECT event_id, user_id AS entity_id, seq, prev_hash, hash FROM chain", True)
-register(
-    "seals",
-    "SELECT user_id, seg + 1 AS seg, sha256(string_agg(digest, '' ORDER BY seq)) AS seal FROM (SELECT *, (seq - 1) // 25 AS seg FROM seqs) GROUP BY ALL",
-    ["seqs"],
-)
+# seal: of all whole segments before the record's own; rolled: of its segment's contents up to the record.
+_fresh = "c.seq % 25 = 0"
+_seal = f"CASE WHEN {_fresh} THEN sha256(c.seal || c.rolled) ELSE c.seal END"
+_prev = f"CASE WHEN {_fresh} THEN sha256(c.seal || c.rolled) ELSE c.hash END"
 register(
     "segchain",
-    "SELECT s.user_id, s.seq, s.event_id, coalesce(a.seal, '') AS prev_hash, sha256(s.m || coalesce(a.seal, '') || '\"}') AS hash FROM seqs s "
-    "LEFT JOIN seals a ON a.user_id = s.user_id AND a.seg = (s.seq - 1) // 25 WHERE (s.seq - 1) % 25 = 0 UNION ALL "
-    "SELECT s.user_id, s.seq, s.event_id, c.hash, sha256(s.m || c.hash || '\"}') FROM segchain c JOIN seqs s ON s.user_id = c.user_id AND s.seq = c.seq + 1 "
-    "WHERE c.seq % 25 <> 0",
-    ["seqs", "seals"],
+    """SELECT user_id, seq, event_id, '' AS prev_hash, sha256(m || '"}') AS hash, '' AS seal, sha256(digest) AS rolled FROM seqs WHERE seq = 1 UNION ALL """
+    f"""SELECT s.user_id, s.seq, s.event_id, {_prev}, sha256(s.m || {_prev} || '"}}'), {_seal}, sha256(CASE WHEN {_fresh} THEN '' ELSE c.rolled END || s.digest) """
+    "FROM segchain c JOIN seqs s ON s.user_id = c.user_id AND s.seq = c.seq + 1",
+    ["seqs"],
 )
 add("audit_chain_segments", ["segchain"], "SELECT event_id, user_id AS entity_id, (seq - 1) // 25 AS segment, seq, prev_hash, hash FROM segchain", True)
 add(

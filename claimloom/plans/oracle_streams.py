@@ -49,7 +49,7 @@ ORACLE["stream_daily_drift"] = with_ctes(
     "SELECT *, sum(rc) OVER (PARTITION BY day) AS total, sum(n) OVER (PARTITION BY day) AS rows FROM (SELECT d.day, r.bin, r.rc, count(v.value) AS n "
     "FROM (SELECT DISTINCT date_trunc('day', ts) AS day FROM events) d CROSS JOIN ev_ref r LEFT JOIN ev_long v ON date_trunc('day', v.ts) = d.day "
     "AND v.value >= r.lo AND (v.value < r.hi OR (r.bin = r.m - 1 AND v.value = r.hi)) "
-    "WHERE d.day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL)) GROUP BY day)",
+    "GROUP BY ALL)) GROUP BY day)",
 )
 
 # Anomaly report from a decision SQL can compute.

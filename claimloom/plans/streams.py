@@ -44,7 +44,8 @@ def stream_claim_dedupe(t: Tables) -> DataFrame:
         F.concat(F.lit("CLM-"), F.col("l_orderkey").cast("string")).alias("claim_number"),
         F.col("l_shipdate").cast("timestamp").alias("sent_at"),
     )
-    unique = jobs.stream_claim_dedupe(messages, "claim_number", "sent_at", "4000 days")
+    # lines of an order are shipped within four months of it
+    unique = jobs.stream_claim_dedupe(messages, "claim_number", "sent_at", "180 days")
     return drained(t, unique.select("claim_number"), "dedupe")
 
 
@@ -78,12 +79,16 @@ def velocity_flags(t: Tables) -> DataFrame:
 
 @query
 def stream_daily_drift(t: Tables) -> DataFrame:
-    """Daily PSI of event values against the distribution of all events."""
+    """Daily PSI of event values against the distribution of all events; days still open at the end are reported as well."""
     reference = t.raw("events").select("value", F.lit(True).alias("is_ref"))
     prefix = numeric_prefix(reference, ["value"])
     profiles = feature_profiles(prefix)
     bounds = profiles["value"].edges
     found = {r["bin"]: r["ref_count"] for r in histogram(prefix, profiles).collect()}
-    counts = drained(t, jobs.stream_daily_counts(event_stream(t), "created_at", "value", list(bounds)), "daily")
+    path, checkpoint = new_path(t.spark, "daily"), new_path(t.spark, "daily-checkpoint")
+    stream = jobs.stream_daily_counts(event_stream(t), "created_at", "value", list(bounds))
+    writer = stream.writeStream.outputMode("update").foreachBatch(jobs.latest_counts(path))
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    counts = jobs.read_counts(t.spark, path, "day timestamp, bin int, n bigint")
     daily = jobs.daily_psi(counts, [found.get(i, 0) for i in range(1, len(bounds))])
     return daily.withColumn("day", F.date_format("day", "yyyy-MM-dd"))

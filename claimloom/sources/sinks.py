@@ -20,6 +20,15 @@ def append(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     writer.parquet(path)
 
 
+#: Partition column of tables that a stream writes batch by batch.
+BATCH = "batch_id"
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """One micro-batch as a folder of its own; a batch that is run again replaces it."""
+    df.drop(BATCH).write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+
+
 def write_claims_by_month(claims: DataFrame, path: str) -> None:
     """Claims laid out by submission month, so date filters prune folders."""
     dated = claims.withColumn("submission_month", F.date_format("submission_date", "yyyy-MM"))

@@ -6,16 +6,16 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from claimloom.functions import rules
 from claimloom.functions.numbers import half_up
-from claimloom.operators.audit import RECORD_END, record_start
+from claimloom.operators.audit import RECORD_END, SEGMENT_ROWS, content_digest, record_start, rolled
 from claimloom.operators.ingest import ingest_claims
 from claimloom.operators.recovery import with_recovery_scores
-from claimloom.sources.sinks import append
+from claimloom.sources.sinks import BATCH, write_batch
 
 ROCKSDB_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,18 +31,22 @@ def stream_claim_dedupe(stream: DataFrame, key: str, ts: str, delay: str) -> Dat
 def claim_ingest_batch(
     claims_path: str, lines_path: str, rejects_path: str, existing: Callable[[], DataFrame], arrival: list[str]
 ) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: reject known and repeated numbers, append claims, lines and rejects.
+    """foreachBatch sink: reject known and repeated numbers, store claims, lines and rejects.
 
-    `existing` is called per batch, so numbers of earlier batches are seen. Rows carry the
-    batch id, so a batch that is run again after a failure can be told apart.
+    `existing` is called per batch, so numbers of earlier batches are seen. Each batch is a
+    folder of its own in the three tables, which a batch that is run again after a failure
+    overwrites; numbers that `existing` has from such a run of the same batch do not count.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         stored = batch.persist()
         try:
-            claims, lines, rejects = ingest_claims(stored, existing(), arrival)
+            known = existing()
+            if BATCH in known.columns:
+                known = known.filter(F.col(BATCH).isNull() | (F.col(BATCH) != batch_id))
+            claims, lines, rejects = ingest_claims(stored, known, arrival)
             for df, path in ((lines, lines_path), (rejects, rejects_path), (claims, claims_path)):
-                append(df.withColumn("batch_id", F.lit(batch_id)), path)
+                write_batch(df, path, batch_id)
         finally:
             stored.unpersist()
 
@@ -70,36 +74,47 @@ def stream_recovery_scores(denied: DataFrame) -> DataFrame:
 
 
 class _Chain(StatefulProcessor):
-    """Last hash and sequence number of one entity."""
+    """Sequence number, last hash, seal of the whole segments and rolling digest of the open one, per entity."""
+
+    def __init__(self, segment_rows: int) -> None:
+        self.segment_rows = segment_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq bigint, hash string")
+        self.last = handle.getValueState("last", "seq bigint, hash string, seal string, rolled string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, last = self.last.get() if self.last.exists() else (0, "")
-        arrived = pd.concat(list(rows)).sort_values(["created_at", "event_id"])
-        out = []
-        for event_id, start in zip(arrived["event_id"], arrived["start"]):
-            digest = hashlib.sha256((start + last + RECORD_END).encode()).hexdigest()
-            seq += 1
-            out.append((event_id, key[0], seq, last, digest))
-            last = digest
-        self.last.update((seq, last))
-        yield pd.DataFrame(out, columns=["event_id", "entity_id", "seq", "prev_hash", "hash"])
+        seq, last, seal, contents = self.last.get() if self.last.exists() else (0, "", "", "")
+        names = ["created_at", "event_id", "start", "digest"]
+        # only what the order and the hashes need is held, as the micro-batch's rows of a key come unsorted
+        arrived = sorted(row for part in rows for row in part[names].itertuples(index=False, name=None))
+        for first in range(0, len(arrived), 10_000):
+            out = []
+            for _, event_id, start, digest in arrived[first : first + 10_000]:
+                if seq and seq % self.segment_rows == 0:
+                    seal, contents = rolled(seal, contents), ""
+                    last = seal
+                own = hashlib.sha256((start + last + RECORD_END).encode()).hexdigest()
+                contents = rolled(contents, digest)
+                seq += 1
+                out.append((event_id, key[0], seq, last, own))
+                last = own
+            yield pd.DataFrame(out, columns=["event_id", "entity_id", "seq", "prev_hash", "hash"])
+        self.last.update((seq, last, seal, contents))
 
     def close(self) -> None:
         pass
 
 
-def stream_audit_chain(events: DataFrame) -> DataFrame:
+def stream_audit_chain(events: DataFrame, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Chain arriving records per entity: by time within a micro-batch, by arrival across them.
 
-    The sequence is the meaning of a chain, so one entity is one task's work per
-    micro-batch; bound the batch with the source's rate options.
+    Hashes are those that `build_chain` gives the same records in the same order. The
+    sequence is the meaning of a chain, so one entity is one task's work per micro-batch;
+    bound the batch with the source's rate options.
     """
-    ready = events.select("event_id", "entity_id", "created_at", record_start().alias("start"))
+    ready = events.select("event_id", "entity_id", "created_at", record_start().alias("start"), content_digest().alias("digest"))
     return ready.groupBy("entity_id").transformWithStateInPandas(
-        statefulProcessor=_Chain(),
+        statefulProcessor=_Chain(segment_rows),
         outputStructType="event_id bigint, entity_id bigint, seq bigint, prev_hash string, hash string",
         outputMode="Append",
         timeMode="None",
@@ -117,17 +132,18 @@ class _Velocity(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         recent = list(self.accepted.get()[0]) if self.accepted.exists() else []
-        arrived = pd.concat(list(rows)).sort_values(["micros", "event_id"])
-        out = []
-        for event_id, now in zip(arrived["event_id"], arrived["micros"]):
-            recent = [t for t in recent if now - t < self.window]
-            ok = len(recent) < self.limit
-            if ok:
-                recent.append(int(now))
-            out.append((event_id, key[0], ok))
+        arrived = sorted(row for part in rows for row in part[["micros", "event_id"]].itertuples(index=False, name=None))
+        for first in range(0, len(arrived), 10_000):
+            out = []
+            for now, event_id in arrived[first : first + 10_000]:
+                recent = [t for t in recent if now - t < self.window]
+                ok = len(recent) < self.limit
+                if ok:
+                    recent.append(int(now))
+                out.append((event_id, key[0], ok))
+            yield pd.DataFrame(out, columns=["event_id", "client_id", "accepted"])
         # Never more than `limit` entries.
         self.accepted.update((recent,))
-        yield pd.DataFrame(out, columns=["event_id", "client_id", "accepted"])
 
     def close(self) -> None:
         pass
@@ -150,7 +166,8 @@ def stream_velocity(
 
 
 def stream_daily_counts(stream: DataFrame, ts: str, value: str, edges: list[float], delay: str = "1 day") -> DataFrame:
-    """Rows per day and reference bin; a day is emitted once the watermark has passed it.
+    """Rows per day and reference bin: in append mode once the watermark has passed a day, in
+    update mode whenever they change (`latest_counts`), so that the last days are reported too.
 
     State is one counter per open day and bin. Values outside the edges fall in bin 0, so
     days without a value in range are still reported.
@@ -167,6 +184,32 @@ def stream_daily_counts(stream: DataFrame, ts: str, value: str, edges: list[floa
     )
 
 
+def latest_counts(path: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink for `stream_daily_counts` in update mode: each batch's changed counts, in a folder of its own."""
+    return lambda batch, batch_id: write_batch(batch, path, batch_id)
+
+
+def read_counts(spark: SparkSession, path: str, schema: str, closed_before=None) -> DataFrame:
+    """(day, bin, n, closed): the last count of each day and bin, the days still open at the end of the input among them.
+
+    `closed` tells days that ended by `closed_before`, the watermark: their counts are final.
+    """
+    stored = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path)
+    last = stored.groupBy("day", "bin").agg(F.max_by("n", BATCH).alias("n"))
+    ended = F.lit(None).cast("boolean") if closed_before is None else F.col("day") + F.expr("INTERVAL 1 DAY") <= F.lit(closed_before)
+    return last.withColumn("closed", ended)
+
+
+def late_rows(query: StreamingQuery, counts: DataFrame) -> int:
+    """Rows of a finished query that came after the watermark had passed their day, and so are not among the final counts.
+
+    The dropped-rows figure of the state operator counts partial sums. Input rows are those of the recent progress reports, as
+    many as `spark.sql.streaming.numRecentProgressUpdates` keeps.
+    """
+    counted = counts.agg(F.sum("n")).first()[0] or 0
+    return sum(step["numInputRows"] for step in query.recentProgress) - counted
+
+
 def daily_psi(counts: DataFrame, reference: list[int]) -> DataFrame:
     """PSI of each day against the reference bin counts; works in foreachBatch too.
 

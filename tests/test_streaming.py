@@ -120,3 +120,79 @@ def test_scores_on_a_stream_equal_the_batch(spark):
     checks = spark.createDataFrame([(i, True) for i in range(20)], "claim_id bigint, lines_coded boolean")
     validated = drain(spark, jobs.stream_validation(in_batches(spark, [rows], schema), checks).select("claim_id", F.col("validation.readiness_score")))
     assert validated.count() == 20
+
+
+EVENTS = "event_id bigint, entity_id bigint, created_at timestamp, actor_type string, event_type string, payload string"
+
+
+def test_batch_stream_and_verification_share_one_chain_rule(spark):
+    """2,500 records of one entity: three segments, in micro-batches that do not end with them."""
+    rocksdb(spark)
+    rows = [(i, 7 if i < 2_500 else 8, T0 + timedelta(seconds=i), "user", "e", json.dumps({"k": i})) for i in range(2_503)]
+    events = spark.createDataFrame(rows, EVENTS)
+    streamed = drain(spark, jobs.stream_audit_chain(in_batches(spark, [rows[:700], rows[700:2_001], rows[2_001:]], EVENTS)))
+    batch = audit.build_chain(events)
+    names = ["event_id", "seq", "prev_hash", "hash"]
+    assert sorted(map(tuple, streamed.select(names).collect())) == sorted(map(tuple, batch.select(names).collect()))
+    log = events.join(streamed.drop("entity_id"), "event_id")
+    assert audit.verify_chain(log).count() == audit.verify_chain(batch).count() == 0
+    edit = F.when(F.col("event_id") == 1_500, "{}").otherwise(F.col("payload"))
+    for table in (log, batch):
+        bad = audit.verify_chain(table.withColumn("payload", edit)).collect()
+        assert [(r["entity_id"], r["first_bad_event"]) for r in bad] == [(7, 1_500)]
+    # a forger who hashes the edited segment anew, and the first record after it, breaks the next link
+    forged = audit.build_chain(events.withColumn("payload", edit)).filter("seq <= 2001")
+    mixed = forged.unionByName(batch.filter("seq > 2001"))
+    bad = audit.verify_chain(mixed).collect()
+    assert [(r["entity_id"], r["first_bad_seq"]) for r in bad] == [(7, 2_002)]
+
+
+def test_daily_counts_report_every_day_once(spark):
+    """30 days in update mode: open days are there, repeated batches change nothing, late rows are dropped and counted."""
+    schema = "ts timestamp, v double"
+    days = [[(T0 + timedelta(days=d, hours=h), float(h % 5)) for h in range(20)] for d in range(30)]
+    late = [(T0, 1.0)] * 7
+    source = in_batches(spark, [*days, late], schema)
+    watermark = days[-1][-1][0] - timedelta(days=1)
+    for times in (1, 2):
+        path = new_path(spark, "daily")
+        sink = jobs.latest_counts(path)
+
+        def write(batch, batch_id, sink=sink, times=times):
+            for _ in range(times):
+                sink(batch, batch_id)
+
+        counts = jobs.stream_daily_counts(source, "ts", "v", [0.0, 2.0, 3.0, 4.0])
+        writer = counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_path(spark, "cp"))
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        table = jobs.read_counts(spark, path, "day timestamp, bin int, n bigint", watermark)
+        psi = {r["day"]: r["rows"] for r in jobs.daily_psi(table, [8, 4, 8]).collect()}
+        assert psi == {T0 + timedelta(days=d): 20 for d in range(30)}
+        closed = {r["day"] for r in table.filter("closed").select("day").collect()}
+        assert closed == {T0 + timedelta(days=d) for d in range(28)}
+        if times == 1:
+            assert jobs.late_rows(query, table) == 7
+
+
+def test_a_batch_that_runs_twice_is_stored_once(spark):
+    lines = [{"procedure_code": "99213", "diagnosis_code": "I10", "modifiers": "", "line_amount": 1.0, "units": 1}]
+    messages = [{"claim_number": n, "provider_id": "p", "payer_id": "q", "patient_ref": "r", "claim_amount": a, "service_date": "2020-01-01T00:00:00Z", "lines": lines} for n, a in (("A", 1), ("A", 2), ("B", 3))]
+    claims, lines_, rejects = (new_path(spark, n) for n in ("claims", "lines", "rejects"))
+    sink = jobs.claim_ingest_batch(claims, lines_, rejects, lambda: stored(claims), ["claim_amount"])
+
+    def stored(path):
+        try:
+            return spark.read.parquet(path)
+        except Exception:
+            return spark.createDataFrame([], "claim_number string, batch_id bigint")
+
+    folder = new_path(spark, "messages")
+    spark.createDataFrame([(json.dumps(m),) for m in messages], "value string").write.text(folder)
+    batch = read_claim_messages(spark, folder)
+    for batch_id in (0, 0, 1, 0):
+        sink(batch, batch_id)
+    assert sorted((r["claim_number"], r["batch_id"]) for r in stored(claims).collect()) == [("A", 0), ("B", 0)]
+    assert stored(lines_).count() == 2
+    reasons = sorted((r["batch_id"], r["reason"]) for r in stored(rejects).collect())
+    assert reasons == [(0, "duplicate in batch")] + [(1, "claim_number already exists")] * 3
