@@ -8,18 +8,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY_MICROS = 86_400_000_000
-TIE_GUARD = 1e-6
+# What a decimal half may lack: a fixed part for the last digits of sums, and some float steps.
+TIE_GUARD, TIE_STEPS = 1e-9, 2e-15
 
 
 def half_up(value: Column, digits: int) -> Column:
     """Round half away from zero.
 
-    The guard lifts values that are a decimal half but sit one float step below it,
-    so that the result is the same whichever engine evaluates it.
+    The guard lifts values that are a decimal half but sit a few float steps below it,
+    so that the result is the same whichever engine evaluates it, and no others.
     """
     scale = float(10**digits)
     value = value.cast("double")
-    return F.signum(value) * F.floor(F.abs(value) * scale + 0.5 + TIE_GUARD) / scale + 0.0
+    scaled = F.abs(value) * scale
+    return F.signum(value) * F.floor(scaled + 0.5 + TIE_GUARD + scaled * TIE_STEPS) / scale + 0.0
 
 
 def money(value: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from claimloom.functions.numbers import TIE_GUARD, TIE_STEPS
 from claimloom.functions.rules import (
     ACTION_MINUTES,
     ACTION_REASONS,
@@ -21,7 +22,7 @@ from claimloom.sources.fixtures import (
 def rnd(expr: str, digits: int) -> str:
     """Half away from zero with a small tie guard."""
     x, k = f"cast({expr} AS DOUBLE)", f"{10**digits}.0"
-    return f"(sign({x}) * floor(abs({x}) * {k} + 0.5 + 1e-6) / {k} + 0.0)"
+    return f"(sign({x}) * floor(abs({x}) * {k} + 0.5 + {TIE_GUARD!r} + abs({x}) * {k} * {TIE_STEPS!r}) / {k} + 0.0)"
 
 
 def money(expr: str) -> str:

@@ -39,11 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of at most so many bytes and tasks are dealt out again; larger ones have splits of their own.
+SPREAD_BYTES, SPREAD_TASKS = 64 << 20, 64
+
+
 def spread(scan: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer splits than cores to all cores.
+    """Deal the rows of a small scan with fewer splits than cores to more cores.
 
     A small file is one split, and everything up to the first shuffle would run in one
-    task. A large table has more splits than cores and is left alone.
+    task. What is shuffled here is bounded, whatever the number of cores.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    tasks = min(scan.sparkSession.sparkContext.defaultParallelism, SPREAD_TASKS)
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return scan.repartition(tasks) if size <= SPREAD_BYTES and scan.rdd.getNumPartitions() < tasks else scan

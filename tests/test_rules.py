@@ -121,6 +121,6 @@ def test_days_floor_downward(spark):
     assert evaluate(spark, column) == -1
 
 
-@pytest.mark.parametrize("x,digits,want", [(1.005, 2, 1.01), (-1.005, 2, -1.01), (0.12344, 4, 0.1234), (-0.00001, 2, 0.0)])
+@pytest.mark.parametrize("x,digits,want", [(1.005, 2, 1.01), (-1.005, 2, -1.01), (0.12344, 4, 0.1234), (-0.00001, 2, 0.0), (0.124999995, 2, 0.12), (0.125, 2, 0.13), (1e9 + 0.005, 2, 1000000000.01)])
 def test_half_up(spark, x, digits, want):
     assert evaluate(spark, half_up(F.lit(x), digits)) == want
