@@ -1,14 +1,13 @@
 """Per-row feature contributions of the first fold's uncalibrated estimator.
 
 Linear models: coefficient times distance from the background mean, in SQL. Trees:
-exact path-dependent Shapley values, leaf by leaf in Arrow batches; the node table is
+exact path-dependent Shapley values by the polynomial path algorithm, in Arrow batches; the node table is
 what the model itself writes when saved.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -58,8 +57,8 @@ def tree_nodes(model: Model, spark) -> list[list[dict]]:
     return [trees[k] for k in sorted(trees)]
 
 
-def leaf_paths(tree: list[dict]) -> Iterator[tuple[float, dict[int, tuple[float, list[tuple]]]]]:
-    """(value, {feature: (cover share along the path, [(cut, codes, goes left)])}) of every leaf."""
+def leaf_paths(tree: list[dict]) -> Iterator[tuple[float, dict[int, tuple[float, list[tuple[int, bool]]]]]]:
+    """(value, {feature: (cover share along the path, [(node, goes left)])}) of every leaf."""
     stack = [(0, {})]
     while stack:
         i, path = stack.pop()
@@ -70,46 +69,56 @@ def leaf_paths(tree: list[dict]) -> Iterator[tuple[float, dict[int, tuple[float,
         for child, left in ((node["left"], True), (node["right"], False)):
             share, tests = path.get(node["feature"], (1.0, []))
             ratio = tree[child]["cover"] / node["cover"] if node["cover"] else 0.0
-            test = (node["cut"], node["codes"], left)
-            stack.append((child, {**path, node["feature"]: (share * ratio, [*tests, test])}))
+            stack.append((child, {**path, node["feature"]: (share * ratio, [*tests, (i, left)])}))
 
 
-def pattern_contributions(shares: Sequence[float]) -> np.ndarray:
-    """Shapley weights of one leaf for each of the 2^d patterns of satisfied features (2^d x d)."""
-    d = len(shares)
-    patterns = (np.arange(2**d)[:, None] >> np.arange(d)) & 1
-    out = np.zeros((2**d, d))
+def path_contributions(holds: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley weights of one leaf's features for each row of `holds` (rows x d: whether the row meets the feature's tests).
+
+    The polynomial path algorithm, for all rows at once: the path is extended by one feature after the other, which keeps the
+    sums over subsets of each size, and each feature is unwound from it. d squared steps, where a table of patterns has 2^d rows.
+    """
+    rows, d = holds.shape
+    one = holds.astype("float64")
+    w = np.zeros((rows, d + 1))
+    w[:, 0] = 1.0
+    for m in range(1, d + 1):
+        met, share = one[:, m - 1], shares[m - 1]
+        for i in range(m - 1, -1, -1):
+            w[:, i + 1] += met * w[:, i] * (i + 1) / (m + 1)
+            w[:, i] *= share * (m - i) / (m + 1)
+    out = np.zeros((rows, d))
     for j in range(d):
-        sums = np.zeros((2**d, d))
-        sums[:, 0] = 1.0
-        for k in range(d):
-            if k != j:
-                with_k = np.zeros_like(sums)
-                with_k[:, 1:] = sums[:, :-1] * patterns[:, k, None]
-                sums = sums * shares[k] + with_k
-        weights = np.array([factorial(s) * factorial(d - s - 1) / factorial(d) for s in range(d)])
-        out[:, j] = (patterns[:, j] - shares[j]) * (sums @ weights)
+        met, share = holds[:, j], shares[j]
+        # with the feature met, sums follow from the longest down; without it they are those of the path, scaled
+        following, with_it, without = w[:, d].copy(), np.zeros(rows), np.zeros(rows)
+        for i in range(d - 1, -1, -1):
+            part = following * (d + 1) / (i + 1)
+            with_it += part
+            following = w[:, i] - part * share * (d - i) / (d + 1)
+            if share:
+                without += w[:, i] * (d + 1) / (share * (d - i))
+        out[:, j] = np.where(met, with_it * (1.0 - share), -share * without)
     return out
 
 
 def shapley_values(trees: list[list[dict]], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rows x features contributions, base value)."""
+    """(rows x features contributions, base value). A node's test is made once for all rows, and a leaf's weights once for each
+    different pattern of its features among the rows."""
     out, base = np.zeros_like(x), 0.0
     for tree in trees:
+        inside = [
+            None if node["left"] < 0 else x[:, node["feature"]] <= node["cut"][0] if node["codes"] == -1 else np.isin(x[:, node["feature"]], node["cut"])
+            for node in tree
+        ]
         for value, path in leaf_paths(tree):
-            base += value * float(np.prod([share for share, _ in path.values()]))
-            if not path:
+            shares = np.array([share for share, _ in path.values()])
+            base += value * float(np.prod(shares))
+            if not path or not value:
                 continue
-            code = np.zeros(len(x), dtype=np.int64)
-            for bit, (feature, (_, tests)) in enumerate(path.items()):
-                holds = np.ones(len(x), dtype=bool)
-                for cut, codes, left in tests:
-                    inside = x[:, feature] <= cut[0] if codes == -1 else np.isin(x[:, feature], cut)
-                    holds &= inside if left else ~inside
-                code |= holds.astype(np.int64) << bit
-            table = pattern_contributions([share for share, _ in path.values()]) * value
-            for bit, feature in enumerate(path):
-                out[:, feature] += table[code, bit]
+            holds = np.stack([np.logical_and.reduce([inside[i] if left else ~inside[i] for i, left in tests]) for _, tests in path.values()], axis=1)
+            _, first, pattern = np.unique(np.packbits(holds, axis=1), axis=0, return_index=True, return_inverse=True)
+            out[:, list(path)] += value * path_contributions(holds[first], shares)[pattern.ravel()]
     return out, base
 
 

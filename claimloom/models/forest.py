@@ -9,15 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom.functions.numbers import half_up
 from claimloom.functions.rules import severity
 from claimloom.operators.ordered import exact_quantiles, ordered_prefix, value_counts
+from claimloom.operators.registry import version_tag
 
 EULER_GAMMA = 0.5772156649015329
 HASH_RANGE = 1 << 40
@@ -25,6 +27,8 @@ HASH_RANGE = 1 << 40
 TREES, SAMPLE_SIZE, CONTAMINATION, SEED = 200, 256, 0.05, 42
 ANOMALY_SCORE, TOP_FEATURES, MIN_Z = 55.0, 4, 1.0
 MIN_ROWS = 20
+NODE_FIELDS = ("feature", "threshold", "left", "right", "path")
+TREE_SCHEMA = "feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>"
 
 
 def average_path(n: int) -> float:
@@ -119,6 +123,20 @@ class ForestModel:
     def to_rows(self) -> pd.DataFrame:
         return pd.DataFrame([{name: list(values) for name, values in tree.items()} for tree in self.trees])
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Two tables: the trees, a row each, and one row of settings."""
+        rows = [(k, *([v.item() for v in tree[name]] for name in NODE_FIELDS)) for k, tree in enumerate(self.trees)]
+        spark.createDataFrame(rows, f"tree int, {TREE_SCHEMA}").write.parquet(f"{path}/trees")
+        settings = spark.createDataFrame([(list(self.features), self.sample, self.offset)], "features array<string>, sample int, offset double")
+        settings.write.parquet(f"{path}/settings")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ForestModel:
+        one = spark.read.parquet(f"{path}/settings").first()
+        rows = spark.read.parquet(f"{path}/trees").orderBy("tree").collect()  # as many as the forest has trees
+        trees = [{name: np.array(row[name]) for name in NODE_FIELDS} for row in rows]
+        return cls(tuple(one["features"]), trees, one["sample"], one["offset"])
+
 
 def vector_of(features: Sequence[str]) -> Column:
     return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features])
@@ -147,13 +165,9 @@ class IsolationForest:
             tree = grow_tree(np.stack(chosen["vector"].to_numpy()), np.random.default_rng([seed, number]), limit)
             return pd.DataFrame([{"tree": number, **tree}])
 
-        schema = (
-            "tree int, feature array<int>, threshold array<double>, left array<int>, right array<int>, path array<double>"
-        )
         # At most `trees` rows of at most 2 * sample nodes each.
-        built = samples.groupBy("tree").applyInPandas(build, schema).orderBy("tree").collect()
-        names = ("feature", "threshold", "left", "right", "path")
-        nodes = [{name: np.array(row[name]) for name in names} for row in built]
+        built = samples.groupBy("tree").applyInPandas(build, f"tree int, {TREE_SCHEMA}").orderBy("tree").collect()
+        nodes = [{name: np.array(row[name]) for name in NODE_FIELDS} for row in built]
         raw = ForestModel(tuple(features), nodes, sample)
         counts = value_counts(raw.with_scores(df).select("decision"), "decision").withColumn("_all", F.lit(0))
         prefix = ordered_prefix(counts, ["decision"], ["n"], ["_all"])
@@ -162,6 +176,24 @@ class IsolationForest:
         return ForestModel(tuple(features), nodes, sample, float(offset))
 
 
+def version_row(model: ForestModel, run_ts: datetime, rows: int, base_path: str, dataset_version: str | None = None, commit: str = "") -> dict:
+    """Registry row of a fitted forest, as `training.version_rows` makes them. It has no metric to be gated by."""
+    tag = version_tag(run_ts, "isolation_forest")
+    return {
+        "version_id": f"anomaly-{tag}",
+        "model_name": "isolation_forest",
+        "model_type": "anomaly",
+        "version_tag": tag,
+        "artifact_path": f"{base_path}/anomaly/{tag}",
+        "metrics": {"training_rows": float(rows), "trees": float(len(model.trees)), "offset": model.offset},
+        "feature_names": list(model.features),
+        "params": {"git_commit": commit},
+        "dataset_version": dataset_version,
+        "calibration_status": "none",
+        "trained_at": run_ts,
+    }
+
+
 def column_moments(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Mean and sample deviation (0 counts as 1) of every column, from one aggregate row."""
     aggregates = []

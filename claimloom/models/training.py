@@ -6,7 +6,9 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -34,7 +36,7 @@ from claimloom.functions import rules
 from claimloom.functions.numbers import half_up
 from claimloom.operators import features as fe
 from claimloom.operators.metrics import binary_metrics, multiclass_metrics
-from claimloom.operators.ordered import chrono_split
+from claimloom.operators.ordered import chrono_split, ordered_prefix
 from claimloom.operators.registry import gate_history, is_number, version_label, version_tag
 from claimloom.storage import materialize
 
@@ -163,20 +165,26 @@ class CalibratedModel:
             isotonic.write().save(f"{path}/fold{i}/isotonic")
 
 
+def with_folds(df: DataFrame, key: str, folds: int = FOLDS) -> DataFrame:
+    """`df`, stored, with `_fold`: rows of each class are dealt in turn, in the order of a hash of their key, so that every fold
+    has its share of every class."""
+    hashed = df.withColumn("_order", F.xxhash64(F.col(key)))
+    placed = ordered_prefix(hashed, ["_order", key], segment=["label"])
+    return materialize(placed.withColumn("_fold", (F.col("pos") - 1) % folds).drop("_order", "pos"), "folds")
+
+
 def fit_calibrated(base: Estimator, df: DataFrame, key: str, folds: int = FOLDS) -> CalibratedModel:
     """Fit on all folds but one, calibrate on the one left out, for each fold.
 
-    The fold of a row is a hash of its key. Held-out scores are grouped to 4 decimals, so
-    the isotonic fit, which ends on the driver, sees at most 10,001 weighted points.
+    The isotonic fit sees each different held-out score once, with its weight; it pools adjacent violators in slices of the
+    scores and merges the slices' blocks.
     """
-    placed = df.withColumn("_fold", F.pmod(F.xxhash64(F.col(key)), F.lit(folds)))
+    placed = df if "_fold" in df.columns else with_folds(df, key, folds)
     fitted = []
     for fold in range(folds):
         model = base.fit(placed.filter(F.col("_fold") != fold))
-        held = positive_probability(placed.filter(F.col("_fold") == fold), model, "_raw")
-        points = held.groupBy(F.round("_raw", 4).alias("score")).agg(
-            F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight")
-        )
+        held = positive_probability(placed.filter(F.col("_fold") == fold), model, "score")
+        points = held.groupBy("score").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
         isotonic = IsotonicRegression(featuresCol="score", labelCol="label", weightCol="weight").fit(points)
         fitted.append((model, isotonic))
     return CalibratedModel(tuple(fitted))
@@ -298,18 +306,19 @@ def train_candidates(
     train, test = chrono_split(labelled, spec.ts, spec.key)
     prep = preprocessor(spec).fit(train)
     train_rows = int(rows * 0.8)
-    ready = balanced_weights(prep.transform(train)).select(spec.key, "label", "weight", "features").persist()
-    try:
-        trained = []
-        for name, estimator in candidates(spec, train_rows).items():
-            if names is not None and name not in names:
-                continue
-            model = fit_calibrated(estimator, ready, spec.key) if spec.calibrated else estimator.fit(ready)
-            one = Trained(spec, name, prep, model, labels, {}, version_tag(run_ts, name))
-            trained.append(Trained(spec, name, prep, model, labels, evaluate(one, test), one.tag))
-        return trained
-    finally:
-        ready.unpersist()
+    ready = balanced_weights(prep.transform(train)).select(spec.key, "label", "weight", "features")
+    ready = with_folds(ready, spec.key) if spec.calibrated else materialize(ready, "features")
+
+    def fit(item: tuple[str, Estimator]) -> Trained:
+        name, estimator = item
+        model = fit_calibrated(estimator, ready, spec.key) if spec.calibrated else estimator.fit(ready)
+        one = Trained(spec, name, prep, model, labels, {}, version_tag(run_ts, name))
+        return Trained(spec, name, prep, model, labels, evaluate(one, test), one.tag)
+
+    # the candidates' jobs share the cluster
+    wanted = [item for item in candidates(spec, train_rows).items() if names is None or item[0] in names]
+    with ThreadPool(max(len(wanted), 1)) as pool:
+        return pool.map(inheritable_thread_target(fit), wanted, chunksize=1)
 
 
 def evaluate(trained: Trained, test: DataFrame) -> dict[str, float]:

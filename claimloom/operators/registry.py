@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -54,6 +54,20 @@ def gate_history(versions: DataFrame, metric: str = "pr_auc", higher_is_better:
     )
 
 
+#: Model types without a metric to compare: their newest version is always the champion.
+UNGATED = ("anomaly",)
+
+
+def promotions_of(versions: DataFrame, metric: str = "pr_auc", higher_is_better: bool = True, promoted_at: Column | None = None) -> DataFrame:
+    """(model_type, version_id, promoted_at): the promotion that the gate, or for UNGATED types the newest version, gives; at
+    the time of training unless another is given."""
+    gated = gate_history(versions.filter(~F.col("model_type").isin(*UNGATED)), metric, higher_is_better)
+    newest = latest(versions.filter(F.col("model_type").isin(*UNGATED)).select("model_type", "version_id", "trained_at"), ["model_type"], ["trained_at", "version_id"])
+    chosen = gated.select("model_type", F.col("champion_version").alias("version_id")).unionByName(newest.select("model_type", "version_id"))
+    when = F.col("trained_at") if promoted_at is None else promoted_at
+    return chosen.join(versions.select("model_type", "version_id", when.alias("promoted_at")), ["model_type", "version_id"])
+
+
 def comparison(versions: DataFrame, promotions: DataFrame, metric: str = "pr_auc") -> DataFrame:
     """Champion against challengers, best metric first (a missing metric counts 0)."""
     held = champions(versions, promotions).select("version_id", F.lit(True).alias("is_champion"))

@@ -5,10 +5,12 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from claimloom.models import explain, training
-from claimloom.models.forest import IsolationForest, anomaly_for_claims, anomaly_scores, average_path
+from claimloom.models.forest import ForestModel, IsolationForest, anomaly_for_claims, anomaly_scores, average_path, version_row
 from claimloom.operators import registry
 from claimloom.storage import new_path
 
@@ -186,3 +188,111 @@ def test_retraining_goes_on_after_a_failure(spark):
     runs = training.retrain_all(spark, {"a": broken, "b": lambda: "m"}, lambda: datetime(2020, 1, 1) + timedelta(seconds=next(ticks)))
     got = {r["model_type"]: (r["status"], r["error"], r["champion"]) for r in runs.collect()}
     assert got == {"a": ("FAILURE", "RuntimeError: no data", None), "b": ("SUCCESS", None, "m")}
+
+
+def test_every_fold_has_its_share_of_a_rare_class(spark):
+    rows = [(i, float(i % 40 == 0)) for i in range(480)]
+    placed = training.with_folds(spark.createDataFrame(rows, "id bigint, label double"), "id")
+    counts = {(r["_fold"], r["label"]): r["count"] for r in placed.groupBy("_fold", "label").count().collect()}
+    assert counts == {(f, label): n for f in range(3) for label, n in ((0.0, 156), (1.0, 4))}
+
+
+def test_calibration_on_exact_scores(spark):
+    """The calibrated value of a held-out score is the isotonic fit over all different scores, not over rounded ones."""
+
+    def pools(points):
+        blocks = []
+        for x, y in sorted(points):
+            blocks.append([x, x, y, 1.0])
+            while len(blocks) > 1 and blocks[-2][2] >= blocks[-1][2]:
+                _, b, y2, w2 = blocks.pop()
+                a, _, y1, w1 = blocks.pop()
+                blocks.append([a, b, (y1 * w1 + y2 * w2) / (w1 + w2), w1 + w2])
+        return blocks
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.random() < 0.3 + 0.4 * (i % 97) / 97), 1.0, Vectors.dense((i % 97) / 1e5)) for i in range(600)]
+    df = training.with_folds(spark.createDataFrame(rows, ["id", "label", "weight", "features"]), "id")
+    model = training.fit_calibrated(LogisticRegression(maxIter=5), df, "id")
+    for fold, (base, isotonic) in enumerate(model.folds):
+        held = training.positive_probability(df.filter(F.col("_fold") == fold), base, "score").groupBy("score").agg(F.avg("label").alias("y"), F.count("label").alias("n")).collect()
+        blocks = pools([(r["score"], r["y"]) for r in held for _ in range(r["n"])])
+        scores = spark.createDataFrame([(r["score"],) for r in held], "score double")
+        got = {r["score"]: r["p"] for r in isotonic.setFeaturesCol("score").setPredictionCol("p").transform(scores).collect()}
+        assert len(got) > 50 and max(got) - min(got) < 1e-2
+        for a, b, y, _ in blocks:
+            assert all(abs(p - y) < 1e-9 for x, p in got.items() if a <= x <= b)
+
+
+def pattern_table(shares):
+    """Weights of each of the 2^d patterns of met features, from the sums over all subsets."""
+    d = len(shares)
+    patterns = (np.arange(2**d)[:, None] >> np.arange(d)) & 1
+    out = np.zeros((2**d, d))
+    for row, pattern in enumerate(patterns):
+        for j in range(d):
+            others = [k for k in range(d) if k != j]
+            for size in range(d):
+                weight = math.factorial(size) * math.factorial(d - size - 1) / math.factorial(d)
+                for chosen in itertools.combinations(others, size):
+                    out[row, j] += weight * (pattern[j] - shares[j]) * math.prod(pattern[k] if k in chosen else shares[k] for k in others)
+    return patterns.astype(bool), out
+
+
+@pytest.mark.parametrize("d", [1, 2, 5, 8])
+def test_path_algorithm_equals_the_pattern_table(d):
+    rng = np.random.default_rng(d)
+    for shares in (rng.random(d), np.append(rng.random(d - 1), 0.0), np.append(rng.random(d - 1), 1.0)):
+        patterns, want = pattern_table(shares)
+        assert np.allclose(explain.path_contributions(patterns, shares), want, atol=1e-10)
+
+
+def test_deep_trees_add_up():
+    """200 trees of depth 8, and paths of 24 features, whose pattern table would have 16 million rows."""
+    rng = np.random.default_rng(0)
+
+    def grown(depth, features, limit):
+        nodes = []
+
+        def grow(level, cover, used):
+            i = len(nodes)
+            nodes.append({"cover": cover, "value": float(rng.normal()), "left": -1, "right": -1, "feature": -1, "cut": [], "codes": -1})
+            if level < depth and cover > limit:
+                share = float(rng.uniform(0.2, 0.8))
+                feature = int(rng.integers(features)) if depth <= 8 else level
+                nodes[i] |= {"feature": feature, "cut": [float(rng.random())]}
+                nodes[i]["left"] = grow(level + 1, cover * share, used)
+                nodes[i]["right"] = grow(level + 1, cover * (1 - share), used)
+            return i
+
+        grow(0, 1.0, ())
+        return nodes
+
+    def output(tree, row):
+        i = 0
+        while tree[i]["left"] >= 0:
+            i = tree[i]["left"] if row[tree[i]["feature"]] <= tree[i]["cut"][0] else tree[i]["right"]
+        return tree[i]["value"]
+
+    for trees, features in (([grown(8, 12, 0.0) for _ in range(200)], 12), ([grown(24, 24, 0.05)], 24)):
+        x = rng.random((6, features))
+        values, base = explain.shapley_values(trees, x)
+        for row, own in zip(x, values):
+            assert base + own.sum() == pytest.approx(sum(output(t, row) for t in trees), abs=1e-8)
+
+
+def test_a_stored_forest_scores_alike_and_is_always_promoted(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, *map(float, rng.normal(size=2))) for i in range(120)], "claim_id int, a double, b double")
+    model = IsolationForest(trees=12).fit(df, ["a", "b"], "claim_id")
+    path = new_path(spark, "forest")
+    model.save(spark, path)
+    loaded = ForestModel.load(spark, path)
+    assert sorted(map(tuple, loaded.with_scores(df).collect())) == sorted(map(tuple, model.with_scores(df).collect()))
+    assert (loaded.offset, loaded.sample, loaded.features) == (model.offset, model.sample, model.features)
+    rows = [version_row(model, datetime(2020, 1, d), 120, path) for d in (1, 3, 2)]
+    rows += [{"version_id": v, "model_name": v, "model_type": "denial_risk", "metrics": {"pr_auc": m}, "trained_at": datetime(2020, 1, d)} for v, m, d in (("x", 0.7, 1), ("y", 0.6, 2))]
+    names = ["version_id", "model_name", "model_type", "metrics", "trained_at"]
+    versions = spark.createDataFrame([tuple(r[n] for n in names) for r in rows], "version_id string, model_name string, model_type string, metrics map<string,double>, trained_at timestamp")
+    held = {r["model_type"]: r["version_id"] for r in registry.champions(versions, registry.promotions_of(versions)).collect()}
+    assert held == {"anomaly": "anomaly-20200103-000000-isolation_forest", "denial_risk": "x"}
