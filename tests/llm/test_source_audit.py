@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from claimloom.llm import source_audit
@@ -52,7 +53,7 @@ def found(spark, rows, **options):
     return sorted(tuple(r) for r in source_audit.audit(docs, **options).collect())
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"least": 3, "first": 1}), (3, {"least": 2, "limit": 0, "tile": 2, "top": 4})])
+@pytest.mark.parametrize(("seed", "options"), [(1, {}), (2, {"least": 3, "first": 1}), (3, {"least": 2, "bits": 1 << 16, "tile": 2, "top": 4}), (4, {"least": 3, "bits": 1, "first": 2})])
 def test_equals_brute_force(spark, monkeypatch, seed, options):
     monkeypatch.setattr(source_audit, "ELEMENTS", 64)
     rows = corpus(seed)
@@ -60,6 +61,17 @@ def test_equals_brute_force(spark, monkeypatch, seed, options):
     assert found(spark, rows, **options) == want and any(r[2] == "term" and len(r[3]) >= 3_000 for r in want)
 
 
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    """One word of bits for all prefixes: everything passes the bitmap, the counts alone decide."""
+    monkeypatch.setattr(source_audit, "_inside", lambda bitmap, keys: np.ones(len(keys), bool))
+    docs = spark.createDataFrame(corpus(5), "doc_id long, text string, lang string, source string")
+    assert source_audit.kept_terms(docs).count() > 0
+    bitmap = np.array([0b10, 0, 0, 0b10000000], np.uint8)
+    monkeypatch.undo()
+    keys = np.array([1 << 59, 2 << 59, 31 << 59, (1 << 59) + 5], np.uint64)
+    assert source_audit._inside(bitmap, keys).tolist() == [True, False, True, True]
+
+
 def test_prefixes_are_discarded(spark):
     """Terms that share a frequent prefix but are rare themselves reach no later level than the one that tells them apart."""
     rows = [(i, f"common prefixed{'abcdefghijklmnopqrst'[i]}", "en", "s") for i in range(20)]
