@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from claimloom.llm import quality
 from claimloom.llm.queries import URL_RULES
+from claimloom.llm.url_filters import SAME_PAGE
 
 BLANKS = r"[\x20\x09-\x0D]+"
 LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -113,13 +114,14 @@ def _fits(host: str, path: str) -> tuple[str, str]:
 def _urls() -> str:
     host = lambda u: f"coalesce({LOWERED.format(f"regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1)")}, '')"
     path = lambda u: f"coalesce(regexp_extract({u}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
-    node = lambda h, p: f"regexp_replace(regexp_replace({h}, ':(80|443)$', ''), '^(www|m)[.]', '') || regexp_replace({p}, '(/index)?([.]html?)?/*$', '')"
+    query = lambda u: f"array_to_string(list_sort(list_filter(string_split(regexp_extract({u}, '(?s)^.*?://[^?#]*[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '{SAME_PAGE}'))), '&')"
+    node = lambda u: f"regexp_replace(regexp_replace({host(u)}, ':(80|443)$', ''), '^(www|m)[.]', '') || regexp_replace({path(u)}, '(/index)?([.]html?)?/*$', '') || CASE WHEN {query(u)} <> '' THEN '?' || {query(u)} ELSE '' END"
     rule, verdict = _fits("host", "path")
-    _, node_verdict = _fits("regexp_extract(b, '(?s)^([^/]*)', 1)", "regexp_extract(b, '(?s)^[^/]*(.*)$', 1)")
+    _, node_verdict = _fits("regexp_extract(b, '(?s)^([^/?]*)', 1)", "regexp_extract(b, '(?s)^[^/?]*([^?]*)', 1)")
     quote = "[\"'']?"
     return rf"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, {host('url')} AS host, {path('url')} AS path FROM pages),
-q AS (SELECT *, CASE WHEN host <> '' THEN {node('host', 'path')} END AS node, {rule} AS rule, {verdict} AS own FROM p),
+q AS (SELECT *, CASE WHEN host <> '' THEN {node('url')} END AS node, {rule} AS rule, {verdict} AS own FROM p),
 tags AS (
   SELECT node, url, host, regexp_extract(unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*{quote}canonical\b[^>]*>')), '(?is)\bhref\s*=\s*{quote}([^"''\s>]+)', 1) AS t FROM q WHERE node IS NOT NULL
   UNION ALL SELECT node, url, host, regexp_extract(unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*{quote}refresh\b[^>]*>')), '(?is)\burl\s*=\s*{quote}([^"''\s>;]+)', 1) FROM q WHERE node IS NOT NULL),
@@ -127,7 +129,7 @@ to_ AS (
   SELECT node AS a, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'https:' || t
     WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://)', 1) || host || t ELSE regexp_extract(url, '(?s)^(.*?://[^?#]*/)', 1) || t END AS u
   FROM tags WHERE t <> ''),
-links AS (SELECT a, {node(host('u'), path('u'))} AS b FROM to_ WHERE contains(u, '://')),
+links AS (SELECT a, {node('u')} AS b FROM to_ WHERE contains(u, '://')),
 facts AS (SELECT node AS b, own FROM q WHERE own IS NOT NULL AND node IS NOT NULL UNION SELECT b, {node_verdict} FROM links),
 nodes AS (SELECT node AS x FROM q WHERE node IS NOT NULL UNION SELECT b FROM links),
 reach(x, root) AS (SELECT x, x FROM nodes UNION SELECT CASE WHEN l.a = x THEN l.b ELSE l.a END, root FROM reach JOIN links AS l ON l.a = x OR l.b = x),

@@ -24,7 +24,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.columns import let, total
+from claimloom.llm.columns import let, total, unused
 from claimloom.storage import materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -95,22 +95,23 @@ def measures(docs: DataFrame, text: str = "text", lang: str = "lang", lists: Map
     words = F.filter(F.split(body, BLANKS), lambda w: w != "")
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     facts = let(words, lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words"), _word_counts(w, F.col(lang), lists).alias("word_counts")))
+    inner_facts, inner_classes = unused(docs, "facts", "classes")
     classes = [_count(body, f"[^{c}]+") for c in CLASSES]
     ascii_ = _count(body, r"[^\x00-\x7F]+")
     made = docs.withColumns(
         {
-            "_facts": facts,
+            inner_facts: facts,
             "word_chars": _count(body, BLANKS),
             "n_symbols": _count(body, r"[^#*$%&|<>]+"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-            "_classes": F.array(*classes, ascii_, F.length(body).cast("bigint")),
+            inner_classes: F.array(*classes, ascii_, F.length(body).cast("bigint")),
         }
     )
-    inner = F.slice("_classes", 1, len(CLASSES))
-    parts = F.concat(inner, F.array(F.get("_classes", F.lit(len(CLASSES))) - total(inner, F.lit(0).cast("bigint")), F.get("_classes", F.lit(len(CLASSES) + 1)) - F.get("_classes", F.lit(len(CLASSES)))))
-    made = made.withColumns({"n_words": F.col("_facts.n_words"), "n_repeat_words": F.col("_facts.n_repeat_words"), "word_counts": F.col("_facts.word_counts"), "char_counts": parts})
+    inner = F.slice(inner_classes, 1, len(CLASSES))
+    parts = F.concat(inner, F.array(F.get(inner_classes, F.lit(len(CLASSES))) - total(inner, F.lit(0).cast("bigint")), F.get(inner_classes, F.lit(len(CLASSES) + 1)) - F.get(inner_classes, F.lit(len(CLASSES)))))
+    made = made.withColumns({"n_words": F.col(f"{inner_facts}.n_words"), "n_repeat_words": F.col(f"{inner_facts}.n_repeat_words"), "word_counts": F.col(f"{inner_facts}.word_counts"), "char_counts": parts})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return made.withColumn("base_failed", failed).drop("_facts", "_classes")
+    return made.withColumn("base_failed", failed).drop(inner_facts, inner_classes)
 
 
 def references(measured: DataFrame, lang: str = "lang", lists: Mapping[str, Sequence[str]] = COMMON_WORDS) -> DataFrame:
@@ -147,11 +148,12 @@ def _over(distance: Column, limit: float, classes: int, n: Column) -> Column:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", lists: Mapping[str, Sequence[str]] = COMMON_WORDS, name: str = "quality") -> DataFrame:
     """`docs` without its text, with the measures, both distances (`char_distance`, `word_distance`) and `kept`."""
     measured = materialize(measures(docs, text, lang, lists).drop(text), name)
-    known = F.broadcast(references(measured, lang, lists))  # a row per listed language
-    joined = measured.join(known, measured[lang] == known["_lang"], "left").drop("_lang")
+    of, char_reference, word_reference = unused(measured, "of", "char_reference", "word_reference")
+    known = references(measured, lang, lists).select(F.col("_lang").alias(of), F.col("char_reference").alias(char_reference), F.col("word_reference").alias(word_reference))
+    joined = measured.join(F.broadcast(known), F.col(lang) == F.col(of), "left").drop(of)  # a row per listed language
     chars = F.col("word_chars")
-    out = joined.withColumns({"char_distance": divergence(F.col("char_counts"), F.col("char_reference")), "word_distance": divergence(F.col("word_counts"), F.col("word_reference"))})
+    out = joined.withColumns({"char_distance": divergence(F.col("char_counts"), F.col(char_reference)), "word_distance": divergence(F.col("word_counts"), F.col(word_reference))})
     odd_chars = (chars >= GUARD_CHARS) & _over(F.col("char_distance"), CHAR_LIMIT, len(CLASSES) + 2, chars)
     odd_words = (F.col("n_words") >= GUARD_WORDS) & _over(F.col("word_distance"), WORD_LIMIT, 26, F.col("n_words"))
     diverges = F.coalesce(odd_chars, F.lit(False)) | F.coalesce(odd_words, F.lit(False))
-    return out.withColumn("kept", ~F.col("base_failed") & ~diverges).drop("char_reference", "word_reference")
+    return out.withColumn("kept", ~F.col("base_failed") & ~diverges).drop(char_reference, word_reference)

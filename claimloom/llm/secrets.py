@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from claimloom.llm.columns import let, total
+from claimloom.llm.columns import let, total, unused
 from claimloom.storage import materialize
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -166,9 +166,9 @@ def _with_class(battery: Column, number: int, token: Column) -> Column:
     return let(battery, of)
 
 
-def _thresholds(found: DataFrame, rate: float) -> dict[int, int]:
+def _thresholds(found: DataFrame, tested: str, rate: float) -> dict[int, int]:
     """For each class the least grid step whose discoveries keep the false-discovery rate; at most one entry a class."""
-    counts = found.select(F.explode("tested.test").alias("t")).groupBy("t.class", "t.step").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.select(F.explode(F.col(tested)["test"]).alias("t")).groupBy("t.class", "t.step").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("class").orderBy(F.desc("step"))
     everything = Window.partitionBy("class")
     ranked = counts.withColumns({"upto": F.sum("n").over(down), "m": F.sum("n").over(everything)})
@@ -182,15 +182,16 @@ def scan(docs: DataFrame, text: str = "text", rate: float = FALSE_DISCOVERIES, k
     first = docs.withColumn("base", base_spans(body))
     none = F.expr("cast(array() as array<struct<start: int, end: int, test: struct<class: int, step: int>>>)")
     tested = F.when(body.rlike("[A-Za-z0-9+/_-]{20}"), _tested(body, F.col("base"))).otherwise(none)
-    first = first.withColumn("tested", tested)
+    (name_of_tested,) = unused(docs, "tested")
+    first = first.withColumn(name_of_tested, tested)
     found = materialize(first if keep_text else first.drop(text), name)
-    limits = _thresholds(found, rate)
+    limits = _thresholds(found, name_of_tested, rate)
     limit = lambda c: F.lit(GRID)
     if limits:
         table = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
         limit = lambda c: F.coalesce(F.try_element_at(table, c), F.lit(GRID))
-    added = F.filter("tested", lambda c: c["test"]["step"] >= limit(c["test"]["class"]))
-    return found.withColumn("spans", F.array_sort(F.concat("base", _ranked(added, 3)))).drop("tested")
+    added = F.filter(name_of_tested, lambda c: c["test"]["step"] >= limit(c["test"]["class"]))
+    return found.withColumn("spans", F.array_sort(F.concat("base", _ranked(added, 3)))).drop(name_of_tested)
 
 
 def joined(spans: Column) -> Column:

@@ -3,15 +3,16 @@
 Explicit rules decide first: a rule names a host (and so its subdomains) and a path prefix; the longest fitting rule wins.
 Pages without a fitting rule take part in redirect equivalence: nodes are canonical URLs, edges come from canonical links
 and refresh redirects in the HTML and from the URL forms that redirect to the same place (scheme, default port, fragment,
-the whole query as in the SQL counterpart, trailing slash, `.html`, `www.` and `m.` hosts). Block decisions of explicit rules spread
-over each connected component. Allow takes precedence: a component in which any URL is explicitly allowed passes no block on,
-and an explicitly allowed page stays allowed in any component.
+trailing slash, `.html`, `www.` and `m.` hosts, the order of query parameters, parameters for tracking and paging). Other query
+parameters tell pages apart. Block decisions of explicit rules spread over each connected component. Allow takes precedence: a
+component in which any URL is explicitly allowed passes no block on, and an explicitly allowed page stays allowed in any
+component.
 
 Everything is DataFrame functions. The rule list is a parameter, a bounded list in the plan.
 
 Defined results: null URLs and URLs without `://` have empty host and path, fit no rule, form no edges and are allowed; null
 HTML has no edges; repeated pages and pages sharing a URL share their decision; an empty table gives no rows; other columns
-are kept. Hosts are lower-cased in A-Z only.
+are kept, whatever their names. Hosts are lower-cased in A-Z only.
 """
 
 from __future__ import annotations
@@ -22,13 +23,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm.columns import unused
 from claimloom.llm.graph import components
+from claimloom.storage import materialize
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: HTML that redirects or names a canonical address; one capture for the tag.
 CANONICAL_TAG = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
 REFRESH_TAG = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: Query parameters that lead to the same page: tracking, sessions and paging.
+SAME_PAGE = r"^(utm_[^=]*|gclid|fbclid|msclkid|mc_[ce]id|ref|referrer|sid|sessionid|phpsessid|page|p|offset|start)(=|$)"
 REFRESH_URL = r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)"""
 
 
@@ -64,10 +69,13 @@ def rule_index(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
-def canonical_url(host: Column, path: Column) -> Column:
-    """The address to which the usual redirects lead: host without `www.` or `m.`, path without `.html` and end slashes."""
-    plain = F.regexp_replace(F.regexp_replace(host, r":(80|443)$", ""), r"^(www|m)\.", "")
-    return F.concat(plain, F.regexp_replace(path, r"(/index)?(\.html?)?/*$", ""))
+def canonical_url(url: Column) -> Column:
+    """The address to which the usual redirects lead: host without `www.` or `m.`, path without `.html` and end slashes, the
+    query's parameters in order without those of SAME_PAGE."""
+    plain = F.regexp_replace(F.regexp_replace(host_of(url), r":(80|443)$", ""), r"^(www|m)\.", "")
+    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(SAME_PAGE))), "&")
+    return F.concat(plain, F.regexp_replace(path_of(url), r"(/index)?(\.html?)?/*$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
 
 
 def _targets(html: Column, url: Column, host: Column) -> Column:
@@ -88,28 +96,24 @@ def _targets(html: Column, url: Column, host: Column) -> Column:
 def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html") -> DataFrame:
     """`pages` with host, path, rule and verdict; see the module's text for the meaning."""
     address = F.col(url)
-    seen = pages.withColumns({"host": host_of(address), "path": path_of(address)})
-    seen = seen.withColumn("_rule", rule_index(F.col("host"), F.col("path"), rules))
-    own = F.when(F.col("host") != "", canonical_url(F.col("host"), F.col("path")))
+    at, node, own, spread = unused(pages, "at", "node", "own", "spread")
     names = F.array(*[F.lit(r.text) for r in rules]) if rules else F.array().cast("array<string>")
     verdicts = F.array(*[F.lit(r.verdict) for r in rules]) if rules else F.array().cast("array<string>")
-    seen = seen.withColumns({"_node": own, "rule": F.get(names, F.col("_rule")), "_own": F.get(verdicts, F.col("_rule"))}).drop("_rule")
-
-    facts = seen.where(F.col("_node").isNotNull())
-    links = facts.select("_node", F.explode(_targets(F.col(html), address, F.col("host"))).alias("to"))
-    links = links.select(F.col("_node").alias("a"), canonical_url(host_of(F.col("to")), path_of(F.col("to"))).alias("b"))
+    host, path = host_of(address), path_of(address)
+    seen = pages.withColumns({at: rule_index(host, path, rules), node: F.when(host != "", canonical_url(address))})
+    # host and path come last, as they may take the place of a column that the others are made from
+    facts = seen.where(F.col(node).isNotNull()).select(F.col(node).alias("node"), F.get(verdicts, F.col(at)).alias("own"), address.alias("url"), host.alias("host"), F.col(html).alias("html"))
+    links = facts.select("node", F.explode(_targets(F.col("html"), F.col("url"), F.col("host"))).alias("to"))
+    links = materialize(links.select(F.col("node").alias("a"), canonical_url(F.col("to")).alias("b")), "links")
     reached = components(links)
-    own_verdict = facts.where(F.col("_own").isNotNull()).groupBy("_node").agg(F.max((F.col("_own") == "block").cast("int")).alias("block"), F.max((F.col("_own") == "allow").cast("int")).alias("allow"))
-    target_verdict = (
-        links.select(F.col("b").alias("_node"))
-        .distinct()
-        .withColumn("_rule", rule_index(F.regexp_extract("_node", r"(?s)^([^/]*)", 1), F.regexp_extract("_node", r"(?s)^[^/]*(.*)$", 1), rules))
-        .where(F.col("_rule").isNotNull())
-        .select("_node", (F.get(verdicts, F.col("_rule")) == "block").cast("int").alias("block"), (F.get(verdicts, F.col("_rule")) == "allow").cast("int").alias("allow"))
-    )
-    decided = own_verdict.union(target_verdict).join(reached.select(F.col("node").alias("_node"), "component"), "_node", "left")
-    spread = decided.groupBy(F.coalesce("component", "_node").alias("component")).agg(F.max("block").alias("block"), F.max("allow").alias("allow"))
-    blocked = spread.where("block = 1 and allow = 0").select("component", F.lit("block").alias("_spread"))
-    nodes = blocked.join(reached, "component", "left").select(F.coalesce("node", "component").alias("_node"), "_spread")
-    out = seen.join(nodes, "_node", "left")
-    return out.withColumn("verdict", F.coalesce("_own", "_spread", F.lit("allow"))).drop("_node", "_own", "_spread")
+    flags = lambda verdict: [(verdict == v).cast("int").alias(v) for v in ("block", "allow")]
+    own_verdict = facts.where(F.col("own").isNotNull()).select("node", *flags(F.col("own"))).groupBy("node").agg(F.max("block").alias("block"), F.max("allow").alias("allow"))
+    target = links.select(F.col("b").alias("node")).distinct()
+    ruled = target.withColumn("at", rule_index(F.regexp_extract("node", r"(?s)^([^/?]*)", 1), F.regexp_extract("node", r"(?s)^[^/?]*([^?]*)", 1), rules))
+    target_verdict = ruled.where(F.col("at").isNotNull()).select("node", *flags(F.get(verdicts, F.col("at"))))
+    decided = own_verdict.union(target_verdict).join(reached, "node", "left")
+    parts = decided.groupBy(F.coalesce("component", "node").alias("component")).agg(F.max("block").alias("block"), F.max("allow").alias("allow"))
+    blocked = parts.where("block = 1 and allow = 0").select("component").join(reached, "component", "left")
+    blocked = blocked.select(F.coalesce("node", "component").alias(node), F.lit("block").alias(spread))
+    out = seen.join(blocked, node, "left").withColumns({own: F.get(verdicts, F.col(at)), "rule": F.get(names, F.col(at)), "host": host, "path": path})
+    return out.withColumn("verdict", F.coalesce(own, spread, F.lit("allow"))).drop(at, node, own, spread)

@@ -91,7 +91,7 @@ def url_rows():
     refresh = '<meta http-equiv="refresh" content="0; url={}">'
     return [
         (1, "http://www.bad.example.net/fr/1", None),
-        (2, "https://alias.example.com/en/2?x=1", link.format("http://bad.example.net/fr/1.html")),
+        (2, "https://alias.example.com/en/2?utm_source=x&p=2", link.format("http://bad.example.net/fr/1.html")),
         (3, "https://far.example.com/en/3", refresh.format("https://alias.example.com/en/2/")),
         (4, "http://A.example.NET/en/4", link.format("http://bad.example.net/fr/1")),
         (5, "http://ok.example.com/en/5", link.format("/en/6")),
