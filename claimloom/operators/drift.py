@@ -244,9 +244,11 @@ def drift_report(
 ) -> DataFrame:
     """One row per metric: numeric PSI with KS, missing rate, categorical PSI.
 
-    `both` is a tagged frame; it is written once because three aggregates read it.
+    `both` is a tagged frame; it is written once because three aggregates read it. Fewer
+    than MIN_ROWS rows give no metric.
     """
     both = materialize(both.select(*numeric, *categorical, "is_ref"), "drift")
+    few = both.limit(MIN_ROWS).count() < MIN_ROWS
     prefix = numeric_prefix(both, numeric)
     profiles = feature_profiles(prefix)
     stats = slice_stats(both, numeric)
@@ -298,9 +300,10 @@ def drift_report(
             "current_distribution",
         )
     )
-    return numeric_rows.unionByName(missing_rows, allowMissingColumns=True).unionByName(
+    report = numeric_rows.unionByName(missing_rows, allowMissingColumns=True).unionByName(
         category_rows, allowMissingColumns=True
     )
+    return report.limit(0) if few else report
 
 
 def prediction_drift(reference: DataFrame, current: DataFrame, score: str, warning: float = 0.10, critical: float = 0.25):

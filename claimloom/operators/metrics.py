@@ -12,6 +12,8 @@ from claimloom.functions.numbers import half_up, money
 from claimloom.operators.ordered import ordered_prefix
 
 K_VALUES = (5, 10, 20)
+# Fixed value: appeals without which a ranking says nothing.
+MIN_ITEMS = 20
 RANDOM_SHUFFLES = 50
 
 
@@ -155,7 +157,8 @@ def recovery_strategies(probability: Column, amount: Column) -> dict[str, Column
 def evaluate_recovery_ranking(
     test: DataFrame, probability: Column, k_values: Sequence[int] = K_VALUES, with_random: bool = True
 ) -> DataFrame:
-    """Ranking metrics of the three strategies (and random) on held-out appeals, best by captured share at first k."""
+    """Ranking metrics of the three strategies (and random) on held-out appeals, best by captured share at first k. Fewer than
+    MIN_ITEMS appeals give no row."""
     amount = F.col("claim_amount").cast("double")
     rows = test.withColumn("_won", F.col("appeal_success").cast("int")).withColumn(
         "_gain", F.when(F.col("appeal_success") == 1, amount).otherwise(0.0)
@@ -164,6 +167,7 @@ def evaluate_recovery_ranking(
     metrics = ranking_metrics(long, "score", "_won", "_gain", "appeal_id", k_values)
     if with_random:
         metrics = metrics.unionByName(random_baseline(rows, "_won", "_gain", "appeal_id", k_values))
+    metrics = metrics.filter(F.col("n_items") >= MIN_ITEMS)
     names = ["model_expected_value", "claim_amount_only", "appeal_probability_only", "random"]
     ordinal = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("strategy"))
     first = f"recovery_captured_at_{k_values[0]}"

@@ -55,19 +55,24 @@ def denial_serving_rows(t: Tables) -> DataFrame:
     )
 
 
+def _one_candidate(rows: DataFrame, spec: training.ModelSpec, name: str) -> training.Trained:
+    trained = training.train_candidates(rows, spec, RUN_TS, [name])
+    if not trained:
+        raise ValueError(f"{spec.model_type}: fewer than {spec.min_rows} labelled rows")
+    return trained[0]
+
+
 def denial_model(t: Tables) -> training.Trained:
-    return _fitted(t, "denial", lambda: training.train_candidates(denial_rows(t), DENIAL, RUN_TS, ["random_forest"])[0])
+    return _fitted(t, "denial", lambda: _one_candidate(denial_rows(t), DENIAL, "random_forest"))
 
 
 def appeal_model(t: Tables) -> training.Trained:
-    return _fitted(
-        t, "appeal", lambda: training.train_candidates(appeal_rows(t), APPEAL, RUN_TS, ["logistic_regression"])[0]
-    )
+    return _fitted(t, "appeal", lambda: _one_candidate(appeal_rows(t), APPEAL, "logistic_regression"))
 
 
 def reason_model(t: Tables) -> training.Trained:
     denied = denial_rows(t).filter("is_denied = 1 AND denial_reason_code IS NOT NULL")
-    return _fitted(t, "reason", lambda: training.train_candidates(denied, REASON, RUN_TS, ["random_forest"])[0])
+    return _fitted(t, "reason", lambda: _one_candidate(denied, REASON, "random_forest"))
 
 
 def anomaly_rows(t: Tables) -> DataFrame:

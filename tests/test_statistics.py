@@ -168,3 +168,13 @@ def test_near_duplicates_equal_all_pairs_with_a_hot_group(spark, small_slices):
         own = round(amt * 100)
         close = sum(abs(a - own) * 100 <= 5 * max(own, 100) for a in same)
         assert got[i] == (len(same), close)
+
+
+@pytest.mark.parametrize("n", [0, 5, 19, 20])
+def test_few_rows_give_no_metrics(spark, n):
+    rows = spark.range(n).select(
+        F.col("id").alias("appeal_id"), (F.col("id") % 2).cast("int").alias("appeal_success"), (F.col("id") * 1.5).alias("claim_amount"), (F.col("id") / 40.0).alias("p"),
+        F.when(F.col("id") % 3 == 0, "x").otherwise("y").alias("kind"), (F.col("id") % 4 == 0).alias("is_ref"),
+    )
+    assert (metrics.evaluate_recovery_ranking(rows, F.col("p"), with_random=False).count() > 0) == (n >= 20)
+    assert (drift.drift_report(rows, ["claim_amount"], ["kind"]).count() > 0) == (n >= 20)
