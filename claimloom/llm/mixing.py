@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom.llm.columns import let, total
+from claimloom.llm.linking import narrowed
 from claimloom.operators.ordered import ordered_prefix
 from claimloom.storage import materialize
 
@@ -188,13 +189,15 @@ def split(facts: DataFrame, shards: int, draws: int, seed: int = SEED) -> DataFr
         if depth and depth % LEVELS == 0:
             nodes = nodes.repartition(min(1 << depth, most), "a")
         nodes = nodes.select(F.explode(F.when(b - a > 1, halves).otherwise(F.array(node(a, b, quotas, starts)))).alias("n")).select("n.*")
+    # shards make their draws in tasks of their own
+    nodes = nodes.repartition(min(shards, most), "a")
     flat = nodes.select(a.alias("shard"), F.posexplode(F.arrays_zip(F.flatten(quotas).alias("count"), F.flatten(starts).alias("start"))).alias("no", "x"))
     return flat.select("shard", F.col("no").cast("bigint").alias("no"), "x.start", "x.count").where("count > 0")
 
 
 def drawn_blocks(ranges: DataFrame, facts: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(shard, no, draw, pass, block, words): the blocks of each shard."""
-    one = ranges.join(facts.select("no", "full", "blocks", "draws", "partial", "tail", "source_size"), "no").select("*", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("draw"))
+    one = ranges.join(narrowed(facts.select("no", "full", "blocks", "draws", "partial", "tail", "source_size")), "no").select("*", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("count") - 1)).alias("draw"))
     one = one.withColumns({"pass": _div(F.col("draw"), F.col("blocks")), "nth": F.col("draw") % F.col("blocks")})
     at = F.when(F.col("nth") >= F.col("full"), F.col("nth")).otherwise(permuted(F.col("nth"), F.greatest("full", _long(1)), ROUNDS, F.lit(seed), F.col("no"), F.col("pass")))
     one = one.withColumn("block", at)
@@ -210,7 +213,8 @@ def mix(
     """Take `share` times all words, of each source in proportion to its weight; `weights` repeat over the sources in order of
     code points."""
     named = docs.select(F.col(id).alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("mark"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    slim = named.withColumn("order", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "mark"))
+    # stored, as range slices look at their input twice
+    slim = materialize(named.withColumn("order", F.xxhash64(F.lit(seed), F.col("id").cast("string"), "mark")), "sizes")
     placed = materialize(ordered_prefix(slim, ["order", "id", "mark"], ["size"], ["source"]).drop("order"), "placed")
     facts = sources(placed, weights, share, most, block)
     sums = facts.agg(F.sum("quota"), F.sum("taken")).first()
@@ -222,7 +226,8 @@ def mix(
     documents = documents.select("no", "pos", "id", "mark", "source", "size", F.col("cum_size").alias("stop"), "source_size", "target")
     start = F.col("stop") - F.col("size")
     over = documents.where("size > 0").select("no", "pos", "id", "mark", start.alias("start"), "stop", F.explode(F.sequence(_div(start, _long(block)), _div(F.col("stop") - 1, _long(block)))).alias("block"))
-    met = over.join(blocks, ["no", "block"])
+    # both sides grow with the data, and a generated side looks small: no broadcast
+    met = over.hint("merge").join(blocks.hint("merge"), ["no", "block"])
     first = F.greatest("start", F.col("block") * block)
     last = F.least(F.col("stop"), F.col("block") * block + F.col("words"))
     pieces = met.select("shard", "draw", "no", "pos", "id", "mark", "pass", "block", (first - F.col("start")).alias("begin"), (last - F.col("start")).alias("end"), first.alias("begin_in_source")).where("begin < end")
