@@ -59,16 +59,18 @@ def is_link(part: int, whole: int) -> Column:
     return common * whole >= (F.col("n_a") + F.col("n_b") - common) * part
 
 
-def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
+def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], part: int, whole: int, blocks_only: bool = False) -> DataFrame:
     """(node, component) of all nodes with a link: sets whose Jaccard similarity is at least part / whole.
 
     `buckets` has key, node, n, the size of the node's set, and rank, the same in all rows of a node: the least rank makes the
-    star. `token_sets` gives the sets (node, tokens) of a list of nodes.
+    star. `token_sets` gives the sets (node, tokens) of a list of nodes. With `blocks_only`, for small sets, all members that are
+    not linked with their star, whatever their size, keep their differences and are compared in blocks: nothing is paired by
+    bucket.
     """
     stars = buckets.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("star"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
     members = buckets.join(stars.select("key", F.col("star.node").alias("star"), F.col("star.n").alias("n_star")), "key").where("node <> star")
     members = materialize(members.select("key", "star", "n_star", "node", "n").distinct(), "members")
-    fit = sizes_allow(F.col("n"), F.col("n_star"), part, whole)
+    fit = F.lit(True) if blocks_only else sizes_allow(F.col("n"), F.col("n_star"), part, whole)
     pairs = materialize(members.where(fit).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     differences = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
@@ -81,7 +83,9 @@ def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], par
     n, partner = F.col("n_b"), largest(F.col("n_b"))
     bounds = {"most": share(n + partner), "near": share(n + 2 * partner + F.col("n_a")), "wide": share(n + 2 * partner + 2 * largest(partner) + F.col("n_a"))}
     first = first.withColumns({"link": is_link(part, whole), "far": F.size("d").cast("bigint"), **bounds})
-    first = materialize(first.withColumn("d", F.when(F.col("far") <= F.col("wide"), F.col("d"))).drop("wide"), "stars")
+    if not blocks_only:
+        first = first.withColumn("d", F.when(F.col("far") <= F.col("wide"), F.col("d")))
+    first = materialize(first.drop("wide"), "stars")
     links = first.where("link").select("a", "b")
     outside = first.where("not link").select("a").distinct()
     if outside.limit(1).count():
@@ -90,10 +94,12 @@ def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], par
             F.col("a").alias("star"), F.col("b").alias("node"), F.col("n_b").cast("bigint").alias("n"), "far", "most", "near", "link", "d", F.coalesce("component", "b").alias("part_of")
         )
         facts = materialize(facts, "facts")
-        links = links.union(_by_differences(facts.where("d is not null"), part, whole))
-        links = links.union(_verified(_far_pairs(members, facts.where("not link").drop("d", "link"), part, whole), token_sets, part, whole))
+        loose = F.lit(True) if blocks_only else F.col("far") <= F.col("near")
+        links = links.union(_by_differences(facts.where("d is not null"), loose, part, whole))
+        if not blocks_only:
+            links = links.union(_verified(_far_pairs(members, facts.where("not link").drop("d", "link"), part, whole), token_sets, part, whole))
     apart = members.where(~fit)
-    if apart.limit(1).count():
+    if not blocks_only and apart.limit(1).count():
         links = links.union(_by_sizes(members, apart, token_sets, part, whole))
     return components(links)
 
@@ -108,13 +114,13 @@ def _far_pairs(members: DataFrame, loose: DataFrame, part: int, whole: int) -> D
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def _by_differences(facts: DataFrame, part: int, whole: int) -> DataFrame:
-    """Links (a, b) of step 2 from the members near their star. Sets of sizes n and m are linked exactly when their symmetric
+def _by_differences(facts: DataFrame, loose: Column, part: int, whole: int) -> DataFrame:
+    """Links (a, b) of step 2 from the unlinked members that are `loose`. Sets of sizes n and m are linked exactly when their symmetric
     difference is at most (n + m) * (whole - part) / (whole + part)."""
     counts = facts.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     row = F.struct("node", "n", "far", "part_of", "d")
     dealt = facts.join(counts, "star").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    x, y = (t.groupBy("star", "block").agg(F.collect_list(row).alias(k)) for t, k in ((dealt.where("not link and far <= near"), "x"), (dealt, "y")))
+    x, y = (t.groupBy("star", "block").agg(F.collect_list(row).alias(k)) for t, k in ((dealt.where(~F.col("link") & loose), "x"), (dealt, "y")))
     met = x.join(y.withColumnRenamed("block", "other"), "star").repartition(F.col("star"), F.col("block"), F.col("other")).select("x", "y")
     kind = facts.schema["node"].dataType.simpleString()
     away, all_ = whole - part, whole + part
