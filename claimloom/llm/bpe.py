@@ -287,13 +287,26 @@ class _Worker:
             raise ValueError(f"unknown id {unknown}") from None
 
 
+def _gathered(batches):
+    """Batches of about BLOCK_BYTES, from smaller ones, so that blocks are full whatever the session's batch size."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BLOCK_BYTES:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _mapped(df: DataFrame, source, added: dict[str, str], work) -> DataFrame:
     """`df` with the columns `added` (name, type), made by work(list) from the column `source`, in blocks."""
     names, kinds = list(added), [pa.string() if kind == "string" else pa.binary() for kind in added.values()]
 
     def run(batches):
         step = work()
-        for batch in batches:
+        for batch in _gathered(batches):
             cuts, _ = arrays.column_bytes(batch.column(batch.num_columns - 1))
             at = 0
             while at < batch.num_rows:

@@ -261,15 +261,13 @@ def _features(texts: list[str], automaton: Lexicon) -> np.ndarray:
 
 
 def _blocks(column: pa.Array, limit: int = 1 << 20):
-    held, size = [], 0
-    for text in column.to_pylist():
-        held.append(text)
-        size += len(text)
-        if size >= limit:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+    """The texts of a column in lists of about `limit` bytes; the column is not unpacked as a whole."""
+    cuts, _ = arrays.column_bytes(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(cuts, cuts[at] + limit, "right")) - 1)
+        yield column.slice(at, end - at).to_pylist()
+        at = end
 
 
 def is_held_out(id: Column) -> Column:
@@ -333,12 +331,12 @@ def learn_lexicon(rows: DataFrame) -> list[Term]:
     def count(batches):
         for batch in batches:
             labels = iter(batch.column(1).to_pylist())
-            tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
-            for texts in _blocks(batch.column(0)):
+            for texts in _blocks(batch.column(0)):  # a tally a block: Spark adds them up
+                tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
                 for words in _words(texts):
                     tally[next(labels)].update({form for word in set(words) for form in _forms(word)})
-            names = list(tally[0].keys() | tally[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][x] for x in names], pa.int64()), pa.array([tally[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
+                names = list(tally[0].keys() | tally[1].keys())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([tally[1][x] for x in names], pa.int64()), pa.array([tally[0][x] for x in names], pa.int64())], names=["term", "toxic", "clean"])
 
     counted = rows.mapInArrow(count, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
     share = toxic / (toxic + clean)
