@@ -22,18 +22,26 @@ from claimloom.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by its Python worker.
+BATCH_ROWS = 500
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).where("score < 0.5").select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     found = jaccard_join.join(docs)
     # a table of ids, far smaller than the texts, which stay where they are unless the list is too large to broadcast
     others = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
@@ -48,6 +56,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     return decontamination.decontaminate(docs, _table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
@@ -58,6 +67,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     vocabulary = bpe.load(public_tokenizers.path(TOKENIZER))
     made = bpe.checked(docs.select("doc_id", "lang", "source", "text"), vocabulary, public_tokenizers.PATTERN)
     n_tokens = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
