@@ -213,13 +213,13 @@ def test_calibration_on_exact_scores(spark):
     rng = np.random.default_rng(3)
     rows = [(i, float(rng.random() < 0.3 + 0.4 * (i % 97) / 97), 1.0, Vectors.dense((i % 97) / 1e5)) for i in range(600)]
     df = training.with_folds(spark.createDataFrame(rows, ["id", "label", "weight", "features"]), "id")
-    model = training.fit_calibrated(LogisticRegression(maxIter=5), df, "id")
+    model = training.fit_calibrated(LogisticRegression(maxIter=20, regParam=50.0), df, "id")
     for fold, (base, isotonic) in enumerate(model.folds):
         held = training.positive_probability(df.filter(F.col("_fold") == fold), base, "score").groupBy("score").agg(F.avg("label").alias("y"), F.count("label").alias("n")).collect()
         blocks = pools([(r["score"], r["y"]) for r in held for _ in range(r["n"])])
         scores = spark.createDataFrame([(r["score"],) for r in held], "score double")
         got = {r["score"]: r["p"] for r in isotonic.setFeaturesCol("score").setPredictionCol("p").transform(scores).collect()}
-        assert len(got) > 50 and max(got) - min(got) < 1e-2
+        assert len(got) > 50 and len({round(x, 4) for x in got}) < len(got)
         for a, b, y, _ in blocks:
             assert all(abs(p - y) < 1e-9 for x, p in got.items() if a <= x <= b)
 
