@@ -23,6 +23,8 @@ from claimloom.models.training import CalibratedModel, Trained, feature_names, f
 from claimloom.storage import new_path
 
 TOP_K = 6
+# Features of a leaf's path up to which the weights of all 2^d patterns are kept.
+TABLE_FEATURES = 6
 
 
 def tree_nodes(model: Model, spark) -> list[list[dict]]:
@@ -102,24 +104,49 @@ def path_contributions(holds: np.ndarray, shares: np.ndarray) -> np.ndarray:
     return out
 
 
-def shapley_values(trees: list[list[dict]], x: np.ndarray) -> tuple[np.ndarray, float]:
-    """(rows x features contributions, base value). A node's test is made once for all rows, and a leaf's weights once for each
-    different pattern of its features among the rows."""
-    out, base = np.zeros_like(x), 0.0
-    for tree in trees:
+def _patterns(codes: np.ndarray, d: int) -> np.ndarray:
+    return (codes[:, None] >> np.arange(d)) & 1 > 0
+
+
+def with_weights(trees: list[list[dict]]) -> list[tuple[list[dict], list[tuple]]]:
+    """Each tree with its leaves: (value, path, shares, weights of each pattern as rows of a feature, None for too many)."""
+
+    def weights(value: float, shares: np.ndarray) -> np.ndarray | None:
+        d = len(shares)
+        return (value * path_contributions(_patterns(np.arange(1 << d), d), shares)).T.copy() if d <= TABLE_FEATURES else None
+
+    def leaves(tree: list[dict]) -> list[tuple]:
+        found = [(value, path, np.array([share for share, _ in path.values()])) for value, path in leaf_paths(tree)]
+        return [(value, path, shares, weights(value, shares) if path and value else None) for value, path, shares in found]
+
+    return [(tree, leaves(tree)) for tree in trees]
+
+
+def shapley_values(trees: list[list[dict]], x: np.ndarray, prepared: list | None = None) -> tuple[np.ndarray, float]:
+    """(rows x features contributions, base value). A node's test is made once for all rows. A row's pattern of met features is a
+    number, by which a leaf's weights are looked up; the weights of leaves with many features are made for the patterns that occur."""
+    out, base = np.zeros(x.shape[::-1]), 0.0
+    for tree, leaves in with_weights(trees) if prepared is None else prepared:
         inside = [
             None if node["left"] < 0 else x[:, node["feature"]] <= node["cut"][0] if node["codes"] == -1 else np.isin(x[:, node["feature"]], node["cut"])
             for node in tree
         ]
-        for value, path in leaf_paths(tree):
-            shares = np.array([share for share, _ in path.values()])
+        outside = [None if test is None else ~test for test in inside]
+        for value, path, shares, table in leaves:
             base += value * float(np.prod(shares))
             if not path or not value:
                 continue
-            holds = np.stack([np.logical_and.reduce([inside[i] if left else ~inside[i] for i, left in tests]) for _, tests in path.values()], axis=1)
-            _, first, pattern = np.unique(np.packbits(holds, axis=1), axis=0, return_index=True, return_inverse=True)
-            out[:, list(path)] += value * path_contributions(holds[first], shares)[pattern.ravel()]
-    return out, base
+            code = np.zeros(len(x), dtype=np.uint8 if len(path) <= 8 else np.int64)
+            for j, (_, tests) in enumerate(path.values()):
+                met = np.logical_and.reduce([inside[i] if left else outside[i] for i, left in tests]) if len(tests) > 1 else (inside if tests[0][1] else outside)[tests[0][0]]
+                code |= met.astype(code.dtype) << code.dtype.type(j)
+            if table is None:
+                seen, code = np.unique(code, return_inverse=True)
+                table = (value * path_contributions(_patterns(seen.astype(np.int64), len(path)), shares)).T
+            code = code.astype(np.intp)
+            for feature, of_pattern in zip(path, table):
+                out[feature] += of_pattern.take(code)
+    return out.T, base
 
 
 def _ranked(values: Column, names: Sequence[str], sign: int, k: int) -> Column:
@@ -158,10 +185,11 @@ def explain(df: DataFrame, trained: Trained, background: DataFrame, top_k: int =
 
         @F.pandas_udf("array<double>")
         def contribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            prepared = with_weights(shared.value)
             for batch in batches:
                 if len(batch):
                     x = np.stack(batch.to_numpy()).astype("float64")
-                    yield pd.Series(list(shapley_values(shared.value, x)[0]))
+                    yield pd.Series(list(shapley_values(shared.value, x, prepared)[0]))
                 else:
                     yield pd.Series([], dtype="object")
 

@@ -31,6 +31,22 @@ def no_guesses(spark):
     spark.conf.set(name, before)
 
 
+def test_weights_of_leaves_are_made_once(monkeypatch):
+    tree = [
+        {"cover": 10.0, "value": 0.0, "left": 1, "right": 2, "feature": 0, "cut": [0.0], "codes": -1},
+        {"cover": 4.0, "value": 1.0, "left": -1, "right": -1, "feature": -1, "cut": [], "codes": -1},
+        {"cover": 6.0, "value": 0.0, "left": 3, "right": 4, "feature": 1, "cut": [0.0], "codes": -1},
+        {"cover": 3.0, "value": 2.0, "left": -1, "right": -1, "feature": -1, "cut": [], "codes": -1},
+        {"cover": 3.0, "value": 5.0, "left": -1, "right": -1, "feature": -1, "cut": [], "codes": -1},
+    ]
+    x = np.random.default_rng(1).normal(size=(50, 2))
+    prepared = explain.with_weights([tree])
+    monkeypatch.setattr(explain, "path_contributions", None)  # none is made for rows any more
+    values, base = explain.shapley_values([tree], x, prepared)
+    whole = np.where(x[:, 0] <= 0, 1.0, np.where(x[:, 1] <= 0, 2.0, 5.0))
+    assert np.allclose(values.sum(axis=1) + base, whole)
+
+
 def test_chain_takes_records_not_segments(spark):
     start = datetime(2020, 1, 1)
     rows = [(i, i % 2, start + timedelta(seconds=i), "user", "view", "{}") for i in range(60)]
