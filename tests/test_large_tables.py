@@ -47,6 +47,23 @@ def test_weights_of_leaves_are_made_once(monkeypatch):
     assert np.allclose(values.sum(axis=1) + base, whole)
 
 
+def test_rows_walk_the_trees_in_blocks(monkeypatch):
+    monkeypatch.setattr(forest, "WALK_ROWS", 7)
+    rng = np.random.default_rng(2)
+    trees = [{k: np.array(v) for k, v in forest.grow_tree(rng.normal(size=(40, 3)), rng, 6).items()} for _ in range(5)]
+    x = rng.normal(size=(30, 3))
+    x[4, 1] = np.nan
+
+    def walk(tree, row) -> float:
+        node = 0
+        while tree["feature"][node] >= 0:
+            node = tree["left" if row[tree["feature"][node]] <= tree["threshold"][node] else "right"][node]
+        return tree["path"][node]
+
+    found = forest.path_totals([forest._walkable(t) for t in trees], x)
+    assert np.allclose(found, [sum(walk(t, row) for t in trees) for row in x])
+
+
 def test_chain_takes_records_not_segments(spark):
     start = datetime(2020, 1, 1)
     rows = [(i, i % 2, start + timedelta(seconds=i), "user", "view", "{}") for i in range(60)]
