@@ -64,6 +64,14 @@ def test_rows_walk_the_trees_in_blocks(monkeypatch):
     assert np.allclose(found, [sum(walk(t, row) for t in trees) for row in x])
 
 
+def test_baselines_of_few_keys_send_no_rows(spark, no_guesses):
+    rows = spark.createDataFrame([(i, i % 3 or None, float(i)) for i in range(30)], "claim_id long, payer_id long, claim_amount double")
+    found = features.with_group_baselines(rows, {"payer": "payer_id"}, "claim_amount")
+    assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+    got = {r["claim_id"]: (r["payer_frequency"], r["payer_average"]) for r in found.collect()}
+    assert len(got) == 30 and got[1] == (10 / 30, sum(range(1, 30, 3)) / 10) and got[3] == (None, None)
+
+
 def test_chain_takes_records_not_segments(spark):
     start = datetime(2020, 1, 1)
     rows = [(i, i % 2, start + timedelta(seconds=i), "user", "view", "{}") for i in range(60)]
