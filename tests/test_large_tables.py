@@ -72,6 +72,14 @@ def test_baselines_of_few_keys_send_no_rows(spark, no_guesses):
     assert len(got) == 30 and got[1] == (10 / 30, sum(range(1, 30, 3)) / 10) and got[3] == (None, None)
 
 
+def test_rates_of_few_instants_send_no_rows(spark, no_guesses):
+    start = datetime(2020, 1, 1)
+    rows = spark.createDataFrame([(i, i % 2, start + timedelta(days=i), i % 3 % 2) for i in range(40)], "id long, k long, ts timestamp, won int")
+    rated = with_asof_rates(rows, {"rate": "k"}, "ts", "won")
+    assert "SortMergeJoin" not in plan(rated)
+    assert rated.count() == 40
+
+
 def test_chain_takes_records_not_segments(spark):
     start = datetime(2020, 1, 1)
     rows = [(i, i % 2, start + timedelta(seconds=i), "user", "view", "{}") for i in range(60)]
