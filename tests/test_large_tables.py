@@ -96,3 +96,25 @@ def test_chain_takes_records_not_segments(spark):
             assert r["prev_hash"] == log[entity, seq - 1]["hash"]
     assert log[0, 1]["prev_hash"] == "" and len(log[0, 8]["prev_hash"]) == 64
     assert {r["valid"] for r in audit.chain_status(chain, segment_rows=7).collect()} == {True}
+
+
+def test_sparse_weights_shuffle_a_row_a_text(spark):
+    rng = random.Random(4)
+    texts = [(i // 2, None if i == 5 else i % 3, " ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(60)))) for i in range(200)]
+    rows = spark.createDataFrame([*texts, (7, 1, None)], "document_id long, chunk_index int, chunk_text string").repartition(3)
+    found = sparse_weights(rows, ["document_id", "chunk_index"], "chunk_text")
+    assert plan(found).count("Exchange hashpartitioning") == 1
+    want: dict = {}
+    for d, c, text in texts:
+        for word in text.split() if c is not None else ():
+            slot = int.from_bytes(hashlib.md5(word.encode()).digest(), "big") % 768
+            cells = want.setdefault((d, c), {})
+            cells[slot % 384] = cells.get(slot % 384, 0) + (1 if slot < 384 else -1)
+    want = {k: {i: n for i, n in cells.items() if n} for k, cells in want.items()}
+    got: dict = {}
+    for r in found.collect():
+        cells = got.setdefault((r["document_id"], r["chunk_index"]), {})
+        assert r["idx"] not in cells
+        cells[r["idx"]] = r["count"]
+        assert r["weight"] == r["count"] / math.sqrt(sum(n * n for n in want[r["document_id"], r["chunk_index"]].values()))
+    assert got == {k: v for k, v in want.items() if v}
