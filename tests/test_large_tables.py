@@ -118,3 +118,11 @@ def test_sparse_weights_shuffle_a_row_a_text(spark):
         cells[r["idx"]] = r["count"]
         assert r["weight"] == r["count"] / math.sqrt(sum(n * n for n in want[r["document_id"], r["chunk_index"]].values()))
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_packets_of_few_bundles_send_no_claims(spark, no_guesses):
+    chunks = spark.createDataFrame([(1, 0, "t", "alpha beta")], "document_id long, chunk_index int, title string, chunk_text string")
+    results = spark.createDataFrame([("q", 1, 0, 0.5, 1)], "query_id string, document_id long, chunk_index long, score double, rank int")
+    found = retrieval.policy_bundles(results, chunks)
+    assert "SortMergeJoin" not in plan(found)
+    assert found.first()["cited"][0]["excerpt"] == "alpha beta"
