@@ -120,6 +120,18 @@ def test_sparse_weights_shuffle_a_row_a_text(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_batches_of_long_texts_are_bounded_by_bytes(spark):
+    prepare(spark)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    found = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert max(found) < 8 << 20 and sum(found) > 3000 * 10_000
+
+
 def test_packets_of_few_bundles_send_no_claims(spark, no_guesses):
     chunks = spark.createDataFrame([(1, 0, "t", "alpha beta")], "document_id long, chunk_index int, title string, chunk_text string")
     results = spark.createDataFrame([("q", 1, 0, 0.5, 1)], "query_id string, document_id long, chunk_index long, score double, rank int")
