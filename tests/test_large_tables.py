@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimloom.functions.text import sparse_weights
 from claimloom.models import explain, forest
-from claimloom.operators import audit, features, retrieval
+from claimloom.operators import audit, features, ingest, retrieval
 from claimloom.operators.history import with_asof_rates
 from claimloom.session import prepare
 
@@ -138,3 +138,29 @@ def test_packets_of_few_bundles_send_no_claims(spark, no_guesses):
     found = retrieval.policy_bundles(results, chunks)
     assert "SortMergeJoin" not in plan(found)
     assert found.first()["cited"][0]["excerpt"] == "alpha beta"
+
+
+def test_copies_of_messages_are_combined_before_the_shuffle(spark, no_guesses):
+    """claim_ingest_dedupe: only the first message of a number in each task is shuffled, once; copies are one message."""
+    line = "array<struct<code: string, units: int>>"
+    rows = [
+        ("a", 2, "m2", 5.0, [("x", 1)]),
+        ("a", 1, "m1", None, [("z", 2), ("y", 1)]),
+        ("a", 1, "m1", 7.0, [("y", 3)]),  # a copy: least values, column by column
+        ("a", 1, "m1", 8.0, None),
+        ("b", None, "m4", 3.0, [("x", 1)]),
+        ("b", 1, "m3", 1.0, [("x", 1)]),
+        ("c", 1, "m5", 1.0, [("x", 1)]),
+        ("c", 2, "m6", 1.0, [("x", 1)]),
+        ("c", 2, "m6", 1.0, [("x", 1)]),
+        (None, 1, "m7", 1.0, [("x", 1)]),
+    ]
+    messages = spark.createDataFrame(rows, f"claim_number string, arrival int, message_id string, claim_amount double, lines {line}").repartition(3)
+    known = spark.createDataFrame([("c",), (None,)], "claim_number string")
+    claims, lines, rejected = ingest.ingest_claims(messages, known, ["arrival", "message_id"], copies=True)
+    assert sorted((r["claim_number"], r["message_id"], r["claim_amount"]) for r in claims.collect()) == [("a", "m1", 7.0), ("b", "m4", 3.0)]
+    assert sorted((r["claim_number"], r["line_index"], r["code"], r["units"]) for r in lines.collect()) == [("a", 0, "y", 3), ("b", 0, "x", 1)]
+    assert sorted((r["claim_number"], r["message_id"], r["reason"]) for r in rejected.collect()) == [
+        ("a", "m2", "duplicate in batch"), ("b", "m3", "duplicate in batch"), ("c", "m5", "claim_number already exists"), ("c", "m6", "claim_number already exists"),
+    ]
+    assert "hashpartitioning(claim_number" in plan(claims) and "message_id" not in "".join(x for x in plan(claims).splitlines() if "hashpartitioning" in x)
