@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from claimloom.llm import arrays
 from claimloom.llm.linking import linked, narrowed
-from claimloom.storage import materialize
+from claimloom.storage import discard, materialize
 
 SHINGLE = 5
 #: Similarity of a link, as a fraction.
@@ -196,6 +196,7 @@ def join(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = PA
     counted = dense.select(F.explode("tokens").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > rare).select("h")
     second = _second_index(dense, counted, part, whole).join(able.select("node", "rank"), "node").select("key", "node", "n", "rank")
     found = linked(single.union(second), sets_of, part, whole)
+    discard(met, able, dense)
 
     named = classes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = signed.select("id", "n", "set_key").join(named, "set_key", "left")

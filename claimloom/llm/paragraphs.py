@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from claimloom.llm import arrays
 from claimloom.llm.columns import unused
 from claimloom.llm.linking import linked, narrowed
-from claimloom.storage import materialize
+from claimloom.storage import discard, materialize
 
 SHINGLE, MIN_WORDS, PASSAGE_WORDS = 5, 6, 16
 #: Words of joined short pieces, words above which a piece is also cut inside, and the reach of such a cut.
@@ -265,7 +265,9 @@ def _shared(keyed: DataFrame, found: DataFrame) -> DataFrame:
     met = materialize(dealt.join(shared, "key").distinct(), "bands")
     held = met.groupBy("node").agg((-F.count(F.lit(1))).alias("rank"))
     sizes = found.select("node", "n").join(narrowed(materialize(held, "held").select("node")), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"))
-    return materialize(met.join(held.join(sizes, "node"), "node").select("key", "node", "n", "rank"), "buckets")
+    buckets = materialize(met.join(held.join(sizes, "node"), "node").select("key", "node", "n", "rank"), "buckets")
+    discard(met)
+    return buckets
 
 
 def repeated(
@@ -299,20 +301,25 @@ def _repeated(docs: DataFrame, id: str, text: str, part: int, whole: int, recall
         return _sets(chosen, size, least).dropDuplicates(["node"])
 
     clusters = linked(buckets, sets_of, part, whole, blocks_only=True)
-    named = found.join(clusters, "node", "left").withColumn("cluster", F.coalesce("component", "node"))
-    totals = named.groupBy("cluster").agg(F.count(F.lit(1)).alias("of"), F.min(F.struct("id", "place", "key", "row")).alias("origin")).where("of > 1")
-    again = named.join(totals.drop("of"), "cluster")
-    in_text = Window.partitionBy("key", "row").orderBy("place")  # the paragraphs of one row
+    discard(buckets)
+    # what is repeated is settled by node, and the first occurrence of linked nodes by cluster, before whole rows are moved
+    tallies = found.groupBy("node").agg(F.count(F.lit(1)).alias("of"), F.min(F.struct("id", "place", "key", "row")).alias("origin"))
+    tallies = materialize(tallies.join(clusters, "node", "left").where("of > 1 or component is not null").drop("of"), "tallies")
+    alone, joined = tallies.where("component is null"), tallies.where("component is not null")
+    origins = joined.groupBy("component").agg(F.min("origin").alias("origin"))
+    named = alone.select("node", "origin").union(joined.drop("origin").join(origins, "component").select("node", "origin"))
+    removed = ~((F.col("row") == F.col("origin.row")) & (F.col("place") == F.col("origin.place")))
+    again = found.join(named, "node").select(
+        "id", "key", "row", "place", "first", "last", "begin", "end", F.col("origin.id").alias("component_id"), F.col("origin.place").alias("first_place"), removed.alias("removed")
+    )
+    in_text = Window.partitionBy("row").orderBy("place")  # the paragraphs of one row
     before = F.max("last").over(in_text.rowsBetween(Window.unboundedPreceding, -1))
     placed = again.withColumn("before", F.coalesce(before, F.lit(-1 - least)))
     placed = placed.withColumn("island", F.sum((F.col("first") > F.col("before") + least).cast("int")).over(in_text))
     fresh = F.greatest(F.col("last") - F.greatest("first", F.col("before") + 1) + 1, F.lit(0))
-    passages = placed.withColumn("run", F.sum(fresh).over(Window.partitionBy("key", "row", "island")))
-    removed = ~((F.col("row") == F.col("origin.row")) & (F.col("place") == F.col("origin.place")))
-    return passages.where(F.col("run") >= passage).select(
-        "id", "key", "row", "place", "begin", "end", (F.col("last") - F.col("first") + 1).alias("words"),
-        F.col("origin.id").alias("component_id"), F.col("origin.place").alias("first_place"), removed.alias("removed"),
-    )
+    passages = placed.withColumn("run", F.sum(fresh).over(Window.partitionBy("row", "island")))
+    words = (F.col("last") - F.col("first") + 1).alias("words")
+    return passages.where(F.col("run") >= passage).select("id", "key", "row", "place", "begin", "end", words, "component_id", "first_place", "removed")
 
 
 def merged(spans: Column) -> Column:
