@@ -28,12 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.graph import components
-from claimloom.storage import materialize
+from claimloom.storage import discard, materialize
 
 #: Rows of node ids up to which a list of nodes is broadcast to a scan; beyond that it is joined by shuffle.
 BROADCAST_NODES = 1_000_000
-#: Members of a block of step 2, and tokens of a matrix product at a time.
-BLOCK, TOKENS = 1_024, 4_096
+#: Members and differing tokens of a block of step 2, tokens of a matrix product at a time, pairs of members counted at a time, and
+#: how many pairs of a product cost one that is counted.
+BLOCK, BLOCK_TOKENS, TOKENS, CELLS, SPARSE = 1_024, 1 << 18, 2_048, 1 << 20, 64
 _ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
@@ -73,8 +74,11 @@ def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], par
     fit = F.lit(True) if blocks_only else sizes_allow(F.col("n"), F.col("n_star"), part, whole)
     pairs = materialize(members.where(fit).select(F.col("star").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = materialize(token_sets(nodes), "sets")
+    # a star's only member has nobody to be compared with, so its differences are not kept
+    counted = pairs.join(pairs.groupBy("a").agg((F.count(F.lit(1)) > 1).alias("several")), "a")
     differences = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
-    first = with_overlap(pairs, materialize(token_sets(nodes), "sets"), differences.alias("d"))
+    first = with_overlap(counted, sets, F.when(F.col("several"), differences).alias("d"), F.col("several"))
     # With n and m the sizes, a link allows (n + m) * share differences, and linked sizes are at most whole / part apart.
     # most: those of any link of the member; near: those of a member with a partner that is linked with the star;
     # wide: those of any partner of a near member. A member that is not near has unlinked partners only.
@@ -86,14 +90,17 @@ def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], par
     if not blocks_only:
         first = first.withColumn("d", F.when(F.col("far") <= F.col("wide"), F.col("d")))
     first = materialize(first.drop("wide"), "stars")
-    links = first.where("link").select("a", "b")
-    outside = first.where("not link").select("a").distinct()
+    discard(sets, pairs)
+    links = materialize(first.where("link").select("a", "b"), "links")
+    used = [links]
+    outside = first.where("several and not link").select("a").distinct()
     if outside.limit(1).count():
         before = materialize(components(links), "before").select(F.col("node").alias("b"), "component")
         facts = first.join(narrowed(outside), "a", "left_semi").join(before, "b", "left").select(
             F.col("a").alias("star"), F.col("b").alias("node"), F.col("n_b").cast("bigint").alias("n"), "far", "most", "near", "link", "d", F.coalesce("component", "b").alias("part_of")
         )
         facts = materialize(facts, "facts")
+        used += [facts]
         loose = F.lit(True) if blocks_only else F.col("far") <= F.col("near")
         links = links.union(_by_differences(facts.where("d is not null"), loose, part, whole))
         if not blocks_only:
@@ -101,7 +108,9 @@ def linked(buckets: DataFrame, token_sets: Callable[[DataFrame], DataFrame], par
     apart = members.where(~fit)
     if not blocks_only and apart.limit(1).count():
         links = links.union(_by_sizes(members, apart, token_sets, part, whole))
-    return components(links)
+    out = components(links)
+    discard(members, first, *used)
+    return out
 
 
 def _far_pairs(members: DataFrame, loose: DataFrame, part: int, whole: int) -> DataFrame:
@@ -117,47 +126,106 @@ def _far_pairs(members: DataFrame, loose: DataFrame, part: int, whole: int) -> D
 def _by_differences(facts: DataFrame, loose: Column, part: int, whole: int) -> DataFrame:
     """Links (a, b) of step 2 from the unlinked members that are `loose`. Sets of sizes n and m are linked exactly when their symmetric
     difference is at most (n + m) * (whole - part) / (whole + part)."""
-    counts = facts.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.size("d")) / BLOCK_TOKENS))
+    counts = facts.groupBy("star").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("held")).where("held > 1").drop("held")
     row = F.struct("node", "n", "far", "part_of", "d")
-    dealt = facts.join(counts, "star").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    x, y = (t.groupBy("star", "block").agg(F.collect_list(row).alias(k)) for t, k in ((dealt.where(~F.col("link") & loose), "x"), (dealt, "y")))
-    met = x.join(y.withColumnRenamed("block", "other"), "star").repartition(F.col("star"), F.col("block"), F.col("other")).select("x", "y")
+    dealt = facts.join(counts, "star").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("mate", ~F.col("link") & loose)
+    x = dealt.where("mate").groupBy("star", "block").agg(F.collect_list(row).alias("x"))
+    y = dealt.groupBy("star", "block", "mate").agg(F.collect_list(row).alias("y")).withColumnRenamed("block", "other")
+    # two blocks of unlinked members meet once
+    met = x.join(y, "star").where(~F.col("mate") | (F.col("other") >= F.col("block")))
+    met = met.repartition(F.col("star"), F.col("block"), F.col("other"), F.col("mate")).select("x", "y")
     kind = facts.schema["node"].dataType.simpleString()
     away, all_ = whole - part, whole + part
 
     def work(batches):
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n_x, far_x, n_y, far_y = (np.array([r[k] for r in rows]) for rows in (left, right) for k in ("n", "far"))
-                apart = far_x[:, None] + far_y[None, :] - 2 * _intersections([r["d"] for r in left], [r["d"] for r in right])
-                linked_ = apart * all_ <= (n_x[:, None] + n_y[None, :]) * away
-                part_of = np.unique([r["part_of"] for r in left + right], return_inverse=True)[1]
-                linked_ &= part_of[: len(left), None] != part_of[None, len(left) :]
-                i, j = np.nonzero(linked_)
-                yield pa.RecordBatch.from_pydict({"a": [left[k]["node"] for k in i], "b": [right[k]["node"] for k in j]}, schema)
+            sides = [column.flatten() for column in batch.columns]
+            cuts = [np.append(0, np.cumsum(column.value_lengths().to_numpy())) for column in batch.columns]
+            nodes = [side.field("node") for side in sides]
+            parts = pa.concat_arrays([side.field("part_of") for side in sides]).dictionary_encode().indices.to_numpy()
+            parts = parts[: len(sides[0])], parts[len(sides[0]) :]
+            (n_x, n_y), (far_x, far_y) = ([side.field(k).to_numpy().astype(np.int64) for side in sides] for k in ("n", "far"))
+            for first, last in _cells(*cuts):
+                (x0, x1), (y0, y1) = ((c[first], c[last]) for c in cuts)
+                i, j, common = _intersections(*(_lists(side.field("d"), c, first, last) for side, c in zip(sides, cuts, strict=True)))
+                i, j = i + x0, j + y0
+                linked_ = (far_x[i] + far_y[j] - 2 * common) * all_ <= (n_x[i] + n_y[j]) * away
+                linked_ &= parts[0][i] != parts[1][j]
+                yield pa.RecordBatch.from_arrays([nodes[0].take(pa.array(i[linked_])), nodes[1].take(pa.array(j[linked_]))], schema=schema)
 
     schema = pa.schema([("a", _ARROW[kind]), ("b", _ARROW[kind])])
     return met.mapInArrow(work, f"a {kind}, b {kind}").distinct()
 
 
-def _intersections(left: list[list[int]], right: list[list[int]]) -> np.ndarray:
-    """Sizes of the intersections of each list of `left` with each of `right`, by products of 0/1 matrices."""
-    sizes = [np.array([len(x) for x in rows]) for rows in (left, right)]
-    owners = [np.repeat(np.arange(len(s)), s) for s in sizes]
-    tokens = [np.array([t for x in rows for t in x], np.int64) for rows in (left, right)]
-    common = np.intersect1d(*tokens)
-    out = np.zeros((len(left), len(right)), np.float32)
-    for first in range(0, len(common), TOKENS):
-        some = common[first : first + TOKENS]
+def _cells(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of rows, given where the members of each row begin on both sides, with about CELLS pairs of members or one row."""
+    ends = np.cumsum(np.diff(x) * np.diff(y))
+    runs, first = [], 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CELLS, "right")))
+        runs.append((first, last))
+        first = last
+    return runs
+
+
+def _lists(lists: pa.Array, cuts: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members of each row, tokens of each member, tokens) of the rows from `first` to `last`."""
+    some = lists.slice(cuts[first], cuts[last] - cuts[first])
+    return np.diff(cuts[first : last + 1]), some.value_lengths().to_numpy(), some.flatten().to_numpy()
+
+
+def _intersections(left: tuple[np.ndarray, ...], right: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, size of the intersection) of each member of `left` with each one of `right` in the same row."""
+    (rows_x, sizes_x, tokens_x), (rows_y, sizes_y, tokens_y) = left, right
+    row_x, begin_y = np.repeat(np.arange(len(rows_x)), rows_x), np.cumsum(rows_y) - rows_y
+    begin = np.cumsum(rows_y[row_x]) - rows_y[row_x]  # the first cell of each member of x
+    i = np.repeat(np.arange(len(row_x)), rows_y[row_x])
+    j = np.arange(len(i)) - begin[i] + begin_y[row_x[i]]
+    owner_x, owner_y = np.repeat(np.arange(len(sizes_x)), sizes_x), np.repeat(np.arange(len(sizes_y)), sizes_y)
+    row_y = np.repeat(np.arange(len(rows_y)), rows_y)
+    # tokens as numbers, other ones in each row
+    number = np.unique(np.concatenate((tokens_x, tokens_y)), return_inverse=True)[1]
+    kinds = int(number.max(initial=0)) + 1
+    key_x = row_x[owner_x] * kinds + number[: len(tokens_x)]
+    key_y = row_y[owner_y] * kinds + number[len(tokens_x) :]
+    order = np.argsort(key_y, kind="stable")
+    key_y, owner_y = key_y[order], owner_y[order]
+    low, high = np.searchsorted(key_y, key_x, "left"), np.searchsorted(key_y, key_x, "right")
+    common = np.zeros(len(i), np.int64)
+    if len(rows_x) == 1:  # two large blocks: tokens that many members have by products of 0/1 matrices
+        held_x = np.bincount(number[: len(tokens_x)], minlength=kinds)
+        held_y = np.bincount(number[len(tokens_x) :], minlength=kinds)
+        often = np.flatnonzero(held_x * held_y > len(i) / SPARSE)
+        common += _product(often, (number[: len(tokens_x)], owner_x, len(sizes_x)), (key_y, owner_y, len(sizes_y)))
+        high = np.where(np.isin(number[: len(tokens_x)], often), low, high)
+    meets = high - low
+    ends = np.cumsum(meets)
+    first = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + CELLS, "right")))
+        n = meets[first:last]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[first:last], n)
+        member = np.repeat(owner_x[first:last], n)
+        np.add(common, np.bincount(begin[member] + owner_y[at] - begin_y[row_x[member]], minlength=len(i)), out=common)
+        first = last
+    return i, j, common
+
+
+def _product(some: np.ndarray, *sides: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Sizes of the intersections, x by x, as far as they lie in the tokens `some`; a side has tokens, their members, members."""
+    out = np.zeros((sides[0][2], sides[1][2]), np.float32)
+    for first in range(0, len(some), TOKENS):
+        few = some[first : first + TOKENS]
         grids = []
-        for rows, owner, values in zip((left, right), owners, tokens, strict=True):
-            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
-            held = some[at] == values
-            grid = np.zeros((len(rows), len(some)), np.float32)
+        for values, owner, rows in sides:
+            at = np.minimum(np.searchsorted(few, values), len(few) - 1)
+            held = few[at] == values
+            grid = np.zeros((rows, len(few)), np.float32)
             grid[owner[held], at[held]] = 1
             grids.append(grid)
         out += grids[0] @ grids[1].T
-    return out.astype(np.int64)
+    return out.astype(np.int64).ravel()
 
 
 def _by_sizes(members: DataFrame, apart: DataFrame, token_sets: Callable[[DataFrame], DataFrame], part: int, whole: int) -> DataFrame:
@@ -171,4 +239,7 @@ def _verified(pairs: DataFrame, token_sets: Callable[[DataFrame], DataFrame], pa
     """The links among candidate pairs (a, b)."""
     pairs = materialize(pairs, "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return with_overlap(pairs, materialize(token_sets(nodes), "sets")).where(is_link(part, whole)).select("a", "b")
+    sets = materialize(token_sets(nodes), "sets")
+    links = materialize(with_overlap(pairs, sets).where(is_link(part, whole)).select("a", "b"), "links")
+    discard(pairs, sets)
+    return links

@@ -22,8 +22,8 @@ from claimloom.storage import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by its Python worker.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by its Python worker.
+BATCH_ROWS, BATCH_BYTES = 500, "4m"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def _small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
