@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from claimloom.llm import decontamination, graph, quality, secrets, toxicity, url_filters
+from claimloom.llm import arrays, decontamination, graph, quality, secrets, toxicity, url_filters
 from claimloom.llm.queries import URL_RULES
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -271,3 +271,16 @@ def test_held_out_is_crc32(spark):
 
     rows = spark.range(500).select("id", toxicity.is_held_out(F.col("id")).alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+
+
+def test_memory_is_given_back_when_a_task_ends(monkeypatch):
+    done = []
+    monkeypatch.setattr(arrays, "trim", lambda: done.append("trim"))
+
+    def work(batches):
+        held = bytearray(10)
+        for batch in batches:
+            yield batch + len(held)
+        done.append("work")
+
+    assert list(arrays.trimmed(work)([1, 2])) == [11, 12] and done == ["work", "trim"]

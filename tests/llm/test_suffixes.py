@@ -1,10 +1,13 @@
 import hashlib
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from claimloom.llm import suffixes
+from claimloom.llm.queries import op5_suffix_array
 
 
 def brute(texts, length):
@@ -70,3 +73,35 @@ def test_grams_with_many_strings_and_clashing_names(spark):
     docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in enumerate(rows)], "doc_id long, text string, key int, starts int, _starts int, of int")
     got = suffixes.dedup(docs, length=60, gram=20)
     assert {(r["key"], r["starts"], r["_starts"], r["of"]) for r in got.collect()} == {(1, 2, 3, 4)} and got.count() == len(rows)
+
+
+class Captured:
+    """In place of a table: gives the function that would run in its tasks."""
+
+    def mapInArrow(self, work, schema):
+        return work
+
+
+def test_runs_hold_little_beside_their_batch():
+    rng = random.Random(8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1_000)), pa.array(["".join(rng.choices("abcdefgh ", k=3_000)) for _ in range(1_000)])], names=["key", "text"])
+    work = suffixes.runs(Captured(), 400, 128)
+    sum(b.num_rows for b in work([batch.slice(0, 10)]))
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in work([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 1_000 and peak < 24 << 20
+
+
+def test_query_reads_small_batches(spark, tmp_path):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64m")
+    try:
+        spark.createDataFrame([(1, "x" * 500), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        found = op5_suffix_array(spark, str(tmp_path))
+        assert spark.conf.get(name) == "4m"
+        assert {(r["doc_id"], r["n_removed"]) for r in found.collect()} == {(1, 500), (2, 0)}
+    finally:
+        spark.conf.set(name, before)
