@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import weakref
 from array import array
 from collections import defaultdict
 from itertools import count
@@ -260,10 +261,10 @@ def merge_many(raws: list[bytes], vocabulary: Vocabulary) -> list[bytes]:
 
 
 class _Worker:
-    """Encodes the blocks of one task with a bounded cache of pre-tokens."""
+    """Encodes the blocks of one task with a bounded cache of pre-tokens. The vocabulary is the caller's to keep."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.vocabulary, self.cut, self.cache = vocabulary, regex.compile(pattern).findall, {}
+        self.vocabulary, self.cut, self.cache = weakref.proxy(vocabulary), regex.compile(pattern).findall, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         places = defaultdict(count().__next__)  # the block's different pre-tokens in order
@@ -319,7 +320,7 @@ def _mapped(df: DataFrame, source, added: dict[str, str], work) -> DataFrame:
     kept = [c for c in df.columns if c not in added]
     base = df.select(*[F.col(f"`{c}`") for c in kept])
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [f"`{c}` {kind}" for c, kind in added.items()]
-    return df.select(*[F.col(f"`{c}`") for c in kept], source.alias("_source")).mapInArrow(run, ", ".join(fields))
+    return df.select(*[F.col(f"`{c}`") for c in kept], source.alias("_source")).mapInArrow(arrays.trimmed(run), ", ".join(fields))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -369,14 +370,16 @@ def _both(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str, adde
     return _mapped(docs, F.coalesce(F.col(text), F.lit("")), added, work)
 
 
-_workers: dict[str, _Worker] = {}
+_workers: weakref.WeakKeyDictionary[Vocabulary, dict[str, _Worker]] = weakref.WeakKeyDictionary()
 
 
 def _worker(shared, pattern: str) -> _Worker:
-    """The Python worker's encoder for a broadcast vocabulary; kept over tasks, one at a time."""
+    """The Python worker's encoder for a broadcast vocabulary; kept over tasks, one at a time. It goes with the broadcast, which Spark
+    takes from a worker whose next task doesn't use it."""
     vocabulary = shared.value
-    held = _workers.get(pattern)
-    if held is None or held.vocabulary is not vocabulary:
+    held = _workers.get(vocabulary, {}).get(pattern)
+    if held is None:
         _workers.clear()
-        held = _workers[pattern] = _Worker(vocabulary, pattern)
+        held = _Worker(vocabulary, pattern)
+        _workers[vocabulary] = {pattern: held}
     return held

@@ -50,7 +50,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "t
 
     def emit(batches):
         for batch in batches:
-            for first, offsets, data in arrays.blocks(batch.column(1)):
+            for first, offsets, data in arrays.blocks(batch.column(1), arrays.SMALL_BLOCK_BYTES):
                 _, _, texts, hashes = _words(data, offsets)
                 counts = np.bincount(texts, minlength=len(offsets) - 1)
                 for size in sorted({window, *counts[(counts > 0) & (counts < window)].tolist()}):
@@ -66,7 +66,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, text: str = "t
                     )
 
     source = benchmark.where(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return source.mapInArrow(emit, "item string, size int, h bigint, v bigint").distinct()
+    return source.mapInArrow(arrays.trimmed(emit), "item string, size int, h bigint, v bigint").distinct()
 
 
 class _Lookup:
@@ -150,7 +150,7 @@ def _scan_broadcast(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame
         lookup = shared.value
         for batch in batches:
             out = []
-            for _, offsets, data in arrays.blocks(batch.column(batch.num_columns - 1)):
+            for _, offsets, data in arrays.blocks(batch.column(batch.num_columns - 1), arrays.SMALL_BLOCK_BYTES):
                 starts, ends, texts, hashes = _words(data, offsets)
                 at, sizes, items = lookup.hits(hashes, texts)
                 out += _summary(data, offsets, starts, ends, texts, at, sizes, lookup.items[items])
@@ -158,7 +158,7 @@ def _scan_broadcast(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame
 
     kept = docs.withColumn("scan", F.coalesce(F.col(text), F.lit("")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return kept.mapInArrow(scan, f"{fields}, {SCAN_SCHEMA}" if fields else SCAN_SCHEMA)
+    return kept.mapInArrow(arrays.trimmed(scan), f"{fields}, {SCAN_SCHEMA}" if fields else SCAN_SCHEMA)
 
 
 def _scan_joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
@@ -167,7 +167,7 @@ def _scan_joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
 
     def emit(batches):
         for batch in batches:
-            for first, offsets, data in arrays.blocks(batch.column(0)):
+            for first, offsets, data in arrays.blocks(batch.column(0), arrays.SMALL_BLOCK_BYTES):
                 _, _, texts, hashes = _words(data, offsets)
                 for size in sizes:
                     at = np.flatnonzero(arrays.same_text(texts, size))
@@ -181,7 +181,7 @@ def _scan_joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
     def rebuild(batches):
         for batch in batches:
             hits, out = batch.column(batch.num_columns - 1).to_pylist(), []
-            for first, offsets, data in arrays.blocks(batch.column(batch.num_columns - 2)):
+            for first, offsets, data in arrays.blocks(batch.column(batch.num_columns - 2), arrays.SMALL_BLOCK_BYTES):
                 starts, ends, texts, _ = _words(data, offsets)
                 base = np.searchsorted(texts, np.arange(len(offsets)))
                 rows = [(int(base[k]) + x["word"], x["size"], x["item"]) for k in range(len(offsets) - 1) for x in hits[first + k] or []]
@@ -191,12 +191,12 @@ def _scan_joined(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
 
     body = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(body.alias("text"), F.sha2(body, 256).alias("key")).dropDuplicates(["key"])
-    hits = texts.mapInArrow(emit, "key string, word bigint, size int, h bigint, v bigint").join(windows, ["size", "h", "v"])
+    hits = texts.mapInArrow(arrays.trimmed(emit), "key string, word bigint, size int, h bigint, v bigint").join(windows, ["size", "h", "v"])
     hits = hits.groupBy("key").agg(F.collect_list(F.struct("word", "size", "item")).alias("hits"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     names = [F.col(f"d.`{c}`") for c in docs.columns]
     joined = docs.alias("d").join(hits.alias("x"), F.sha2(F.coalesce(F.col(f"d.`{text}`"), F.lit("")), 256) == F.col("x.key"), "left")
-    return joined.select(*names, F.coalesce(F.col(f"d.`{text}`"), F.lit("")).alias("body"), "x.hits").mapInArrow(rebuild, f"{fields}, {SCAN_SCHEMA}")
+    return joined.select(*names, F.coalesce(F.col(f"d.`{text}`"), F.lit("")).alias("body"), "x.hits").mapInArrow(arrays.trimmed(rebuild), f"{fields}, {SCAN_SCHEMA}")
 
 
 def scan(

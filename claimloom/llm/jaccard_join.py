@@ -88,7 +88,7 @@ def signatures(docs: DataFrame, id: str, text: str, part: int, whole: int, size:
 
     def run(batches):
         for batch in batches:
-            for first, offsets, data in arrays.blocks(batch.column(1)):
+            for first, offsets, data in arrays.blocks(batch.column(1), arrays.SMALL_BLOCK_BYTES):
                 rows = len(offsets) - 1
                 owner, h = shingle_sets(data, offsets, size)
                 cuts = np.searchsorted(owner, np.arange(rows + 1))
@@ -100,7 +100,7 @@ def signatures(docs: DataFrame, id: str, text: str, part: int, whole: int, size:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), pa.array(n), pa.array(keys, pa.binary()), _lists(bounds, h[at])], names=["id", "n", "set_key", "prefix"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, n bigint, set_key binary, prefix array<bigint>")
+    return docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(arrays.trimmed(run), f"id {kind}, n bigint, set_key binary, prefix array<bigint>")
 
 
 def token_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
@@ -108,13 +108,13 @@ def token_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for first, offsets, data in arrays.blocks(batch.column(1)):
+            for first, offsets, data in arrays.blocks(batch.column(1), arrays.SMALL_BLOCK_BYTES):
                 owner, h = shingle_sets(data, offsets, size)
                 cuts = np.searchsorted(owner, np.arange(len(offsets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(offsets) - 1), _lists(cuts, h)], names=["id", "tokens"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(run, f"id {kind}, tokens array<bigint>").where("size(tokens) > 0")
+    return docs.select(F.col(id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(arrays.trimmed(run), f"id {kind}, tokens array<bigint>").where("size(tokens) > 0")
 
 
 def _level(n: int, part: int, whole: int) -> int:
@@ -163,7 +163,7 @@ def _second_index(sets: DataFrame, frequent: DataFrame, part: int, whole: int) -
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(nodes, pa.int32())), pa.array(sizes, pa.int64())], names=["key", "node", "n"])
 
     kind = sets.schema["node"].dataType.simpleString()
-    return sets.join(common, "node", "left").select("node", "tokens", "often").mapInArrow(run, f"key bigint, node {kind}, n bigint")
+    return sets.join(common, "node", "left").select("node", "tokens", "often").mapInArrow(arrays.trimmed(run), f"key bigint, node {kind}, n bigint")
 
 
 def join(docs: DataFrame, id: str = "doc_id", text: str = "text", part: int = PART, whole: int = WHOLE, size: int = SHINGLE, rare: int = RARE) -> DataFrame:

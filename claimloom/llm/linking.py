@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.llm import arrays
 from claimloom.llm.graph import components
 from claimloom.storage import discard, materialize
 
@@ -155,7 +156,7 @@ def _by_differences(facts: DataFrame, loose: Column, part: int, whole: int) -> D
                 yield pa.RecordBatch.from_arrays([nodes[0].take(pa.array(i[linked_])), nodes[1].take(pa.array(j[linked_]))], schema=schema)
 
     schema = pa.schema([("a", _ARROW[kind]), ("b", _ARROW[kind])])
-    return met.mapInArrow(work, f"a {kind}, b {kind}").distinct()
+    return met.mapInArrow(arrays.trimmed(work), f"a {kind}, b {kind}").distinct()
 
 
 def _cells(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:

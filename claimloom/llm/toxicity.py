@@ -408,4 +408,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
 
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [f"`{out}` double"])
-    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_lowered")).mapInArrow(run, fields)
+    return docs.select(*[F.col(f"`{c}`") for c in kept.columns], F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_lowered")).mapInArrow(arrays.trimmed(run), fields)

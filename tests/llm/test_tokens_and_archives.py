@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import random
 import time
+import weakref
 
 import numpy as np
 import public_tokenizers
@@ -151,3 +152,17 @@ def test_checked_digests(spark, vocabulary, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts(3))), "doc_id long, text string").repartition(1)
     whole = {r["doc_id"]: (bytes(r["ids"]), hashlib.sha256(r["decoded"]).hexdigest()) for r in bpe.round_trip(docs, vocabulary, public_tokenizers.PATTERN).collect()}
     assert whole == {r["doc_id"]: (bytes(r["ids"]), r["decoded_sha256"]) for r in bpe.checked(docs, vocabulary, public_tokenizers.PATTERN).collect()}
+
+
+def test_cache_goes_with_its_vocabulary():
+    """A worker whose next tasks are of another step must not hold the tokenizer any longer."""
+
+    class Shared:
+        value = bpe.Vocabulary({bytes([b]): b for b in range(256)} | {b"ab": 256})
+
+    shared = Shared()
+    held = bpe._worker(shared, "[a-z]+")
+    assert held.encode(["abc"]) == [np.array([256, 99], "<u4").tobytes()] and bpe._worker(shared, "[a-z]+") is held
+    gone = weakref.ref(Shared.value)
+    del Shared.value, held
+    assert gone() is None and not len(bpe._workers)
