@@ -139,6 +139,24 @@ def test_chain_hashes_canonical_json(spark):
         last[entity] = digest
 
 
+def test_a_long_chain_is_one_chain(spark):
+    """Over 1,000 records of one entity link to each other like the first ones; records without an entity have no chain."""
+    t0 = __import__("datetime").datetime(2020, 1, 1)
+    rows = [(i, None if i == 3 else i % 50 // 49, t0 + __import__("datetime").timedelta(seconds=i % 700), "user", "edit", json.dumps({"k": i})) for i in range(1_300)]
+    chain = audit.build_chain(spark.createDataFrame(rows, EVENTS).repartition(5))
+    got = {r["event_id"]: r for r in chain.collect()}
+    last, seq = {}, {}
+    for i, entity, _, actor, kind, payload in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[2], r[0])):
+        prev, seq[entity] = last.get(entity, ""), seq.get(entity, 0) + 1
+        material = json.dumps({"prev_hash": prev, "actor_type": actor, "event_type": kind, "payload": json.loads(payload)}, sort_keys=True)
+        last[entity] = hashlib.sha256(material.encode()).hexdigest()
+        assert (got[i]["seq"], got[i]["prev_hash"], got[i]["hash"]) == (seq[entity], prev, last[entity])
+    assert len(got) == 1_299 and max(seq.values()) > 1_000
+    edited = chain.withColumn("payload", F.when(F.col("event_id") == 501, "{}").otherwise(F.col("payload")))
+    assert audit.verify_chain(chain).count() == 0
+    assert [r["first_bad_event"] for r in audit.verify_chain(edited).collect()] == [501]
+
+
 @pytest.mark.parametrize("segment_rows", [10_000, 7])
 def test_verification_finds_the_edited_row(spark, segment_rows):
     _, events = log(spark)
