@@ -105,3 +105,22 @@ def test_query_reads_small_batches(spark, tmp_path):
         assert {(r["doc_id"], r["n_removed"]) for r in found.collect()} == {(1, 500), (2, 0)}
     finally:
         spark.conf.set(name, before)
+
+
+def test_no_broadcast_grows_with_the_texts(spark):
+    """Runs meet their texts by a shuffle: lists of all wanted runs do not pass the driver. A text that comes often is read once or more often, with one result."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        rng = random.Random(6)
+        rows = ["".join(rng.choices("abcdefgh ", k=90)) for _ in range(20)]
+        texts = spark.createDataFrame([(i % 20, rows[i % 20]) for i in range(45)], "key long, text string")
+        wanted = suffixes.runs(texts, 60, 20).select("h", "c", "key", "first", "last").distinct()
+        pieces = suffixes._pieces(texts, wanted, 60, 20)
+        plan = pieces._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+        got = {(r["h"], r["c"]): bytes(r["piece"]).decode() for r in pieces.collect()}
+        assert got == {(r["h"], r["c"]): rows[r["key"]][r["first"] : r["last"] + 60] for r in wanted.collect()}
+    finally:
+        spark.conf.set(name, before)
